@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from glossmill.llm import q_lookalikes, q_near_copies
+from glossmill.llm import q_lookalikes, q_near_copies, q_neighbours
 
-_MODULES = [q_lookalikes, q_near_copies]
+_MODULES = [q_lookalikes, q_near_copies, q_neighbours]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
