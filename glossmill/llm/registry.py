@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from glossmill.llm import q_lookalikes, q_near_copies, q_neighbours, q_pieces, q_sentences
+from glossmill.llm import q_lookalikes, q_near_copies, q_neighbours, q_pieces, q_scan_noise, q_sentences
 
-_MODULES = [q_lookalikes, q_pieces, q_near_copies, q_sentences, q_neighbours]
+_MODULES = [q_lookalikes, q_pieces, q_near_copies, q_sentences, q_scan_noise, q_neighbours]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
