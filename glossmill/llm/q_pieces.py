@@ -17,7 +17,7 @@ def _items(spark: SparkSession, folder: str) -> DataFrame:
     """Every text with the limits of its field; `size_limits` holds a row a field."""
     limits = table(spark, folder, "size_limits").select("field_name", "max_chars", "overlap_chars")
     texts = [table(spark, folder, t).select(F.lit(f"{t}.{c}").alias("field_name"), F.col(i).alias("item_id"), F.col(c).alias("text")) for t, c, i in FIELDS]
-    return reduce(DataFrame.unionByName, [x.join(F.broadcast(limits.filter(F.col("field_name") == f"{t}.{c}")), "field_name") for x, (t, c, _) in zip(texts, FIELDS, strict=True)])
+    return reduce(DataFrame.unionByName, texts).join(F.broadcast(limits.filter(F.col("field_name").isin([f"{t}.{c}" for t, c, _ in FIELDS]))), "field_name")
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
