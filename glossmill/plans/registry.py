@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from glossmill.plans import reference_checks
+from glossmill.plans import ingest, quality, reference_checks, retrieval
 
-QUERIES = {**reference_checks.QUERIES}
-ORACLE = {**reference_checks.ORACLE}
+_MODULES = [reference_checks, ingest, retrieval, quality]
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
