@@ -46,7 +46,8 @@ SIMILAR_IDEOGRAPHS = (
 SIMILAR_LETTERS = {"m": ["rn", "nn"], "l": ["1", "i", "|"], "i": ["1", "l", "|"], "o": ["0"], "g": ["9", "q"], "s": ["5"], "w": ["vv"], "d": ["cl"], "b": ["6"], "e": ["c"], "a": ["4"], "z": ["2"], "t": ["7"], "n": ["ri"], "h": ["li"], "u": ["ii"]}
 
 _PAGE_LINE = r"(?U)^[\s\-－—–·•\[\]〔〕()（）|]*(?:[pP]\.\s*|第\s*)?([0-9０-９]{1,4})(?:\s*/\s*[0-9]{1,4})?\s*[页頁]?[\s\-－—–·•\[\]〔〕()（）|]*$"
-_LECTURE = r"第[0-9０-９□■口丨一二三四五六七八九十百\s]{0,5}[讲講]|第[0-9□■口丨一]{1,5}$|第[0-9]{1,4}[一口丨□■]"
+# A lecture mark with one of its characters damaged at most, and what stands for a damaged character.
+_LECTURE = r"第[0-9０-９一二三四五六七八九十百□■口丨\s]{1,6}[讲講□■口丨一]|[□■口丨一][0-9０-９一二三四五六七八九十百]{1,5}[讲講]"
 _HYPHEN = r"([A-Za-zÀ-ÖØ-öø-ÿ]+)[-‐¬­][^\S\n]*\n\s*([a-zß-öø-ÿ]+)"
 
 
@@ -95,7 +96,7 @@ def heading_key(line: str, simplified: dict[int, str]) -> str:
     line = look_form(line).translate(simplified)
     line = re.sub(r"第\s*\d+\s*页|[pP]\.\s*\d+", "", line)
     line = re.sub(_LECTURE, "", re.sub(r"\s", "", line))
-    return re.sub(r"讲义|[\W\d_]", "", line)
+    return re.sub(r"(?<=....)(?:讲义|讲[口丨一]?|[口丨一]义)$", "", re.sub(r"[\W\d_]", "", line))
 
 
 def _without_one(key: Column) -> Column:
@@ -157,7 +158,7 @@ class ScanNoise:
         alone = self.lines.select("item_id", "text_id", "line_no", "line", "page_start", "page_end", F.regexp_extract(plain, _PAGE_LINE, 1).alias("number"), plain.rlike(r"^\s*\d+\s*$").alias("bare"))
         alone = alone.filter(F.col("number") != "")
         beside = headers.withColumn("number", F.regexp_extract(plain, r"(?:^|[^\d/])(\d{1,4})(?:\s*/\s*\d+)?(?=\D|$)", 1)).filter(F.col("number") != "").withColumn("bare", F.lit(False))
-        stuck = self.texts.select("item_id", "text_id", F.lit(0).alias("line_no"), F.regexp_extract("text", r"^\s*(\d{1,4})(?=[^\d\s.,/:%~\-]|\s+[A-Z\"“])", 1).alias("number"), "page_start", "page_end")
+        stuck = self.texts.select("item_id", "text_id", F.lit(0).alias("line_no"), F.regexp_extract("text", r"^\s*(\d{1,4})(?=[^\d\s.,/:%~\-枚克钱两分升斗斤铢例味]|\s+[A-Z\"“])", 1).alias("number"), "page_start", "page_end")
         stuck = stuck.filter(F.col("number") != "").withColumn("line", F.col("number")).withColumn("bare", F.lit(True))
         both = alone.unionByName(beside.select(alone.columns)).unionByName(stuck.select(alone.columns))
         first = F.col("number").cast("int") - F.col("page_start")
