@@ -96,7 +96,7 @@ def heading_key(line: str, simplified: dict[int, str]) -> str:
     line = look_form(line).translate(simplified)
     line = re.sub(r"第\s*\d+\s*页|[pP]\.\s*\d+", "", line)
     line = re.sub(_LECTURE, "", re.sub(r"\s", "", line))
-    return re.sub(r"(?<=....)(?:讲义|讲[口丨一]?|[口丨一]义)$", "", re.sub(r"[\W\d_]", "", line))
+    return re.sub(r"(?<=...)讲义$|(?<=....)(?:讲[口丨一]?|[口丨一]义)$", "", re.sub(r"[\W\d_]", "", line))
 
 
 def _without_one(key: Column) -> Column:
