@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossmill.llm.sentences import sentence_units
+from glossmill.llm.sentences import lexicon_words, sentence_texts, sentence_units
 from glossmill.session import table
 
 
@@ -14,20 +14,19 @@ def heading_of(title: str = "title", path: str = "source_path"):
     return F.coalesce(F.col(title), F.regexp_extract(path, r"([^/\\]+)\.\w+$", 1))
 
 
+def _given(spark: SparkSession, folder: str) -> tuple:
+    paragraphs = table(spark, folder, "paragraphs").withColumn("heading", heading_of())
+    return paragraphs, "paragraph_id", "text", "heading", lexicon_words(table(spark, folder, "lexicon"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """The end of every sentence of every paragraph."""
-    paragraphs = table(spark, folder, "paragraphs").withColumn("heading", heading_of())
-    terms = [r[0] for r in table(spark, folder, "lexicon").select("term").dropna().distinct().collect()]
-    return sentence_units(paragraphs, "paragraph_id", "text", "heading", terms).withColumnRenamed("item_id", "paragraph_id")
+    return sentence_units(*_given(spark, folder)).withColumnRenamed("item_id", "paragraph_id")
 
 
 def p4_sentences(spark: SparkSession, folder: str) -> DataFrame:
     """The sentences themselves, numbered, with start and end."""
-    texts = table(spark, folder, "paragraphs").select("paragraph_id", "text").distinct()
-    order = Window.partitionBy("paragraph_id").orderBy("end_pos")
-    ends = p4_found(spark, folder).withColumn("sentence_no", F.row_number().over(order)).withColumn("start_pos", F.coalesce(F.lag("end_pos").over(order), F.lit(0)))
-    cut = F.expr("substring(text, start_pos + 1, end_pos - start_pos)")
-    return ends.join(texts, "paragraph_id").select("paragraph_id", "sentence_no", "start_pos", "end_pos", F.regexp_replace(cut, r"(?U)^\s+", "").alias("sentence"))
+    return sentence_texts(*_given(spark, folder)).withColumnRenamed("item_id", "paragraph_id")
 
 
 QUERIES = {"p4_found": p4_found, "p4_sentences": p4_sentences}

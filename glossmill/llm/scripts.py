@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-from functools import cache
-
 from pyspark.sql import SparkSession
 
-
-@cache
-def _map() -> dict[int, str]:
-    spark = SparkSession.getActiveSession()
-    chars = [chr(c) for c in range(0x4E00, 0xA000)]
-    change = spark._jvm.com.ibm.icu.text.Transliterator.getInstance("Traditional-Simplified")
-    plain = change.transliterate("\n".join(chars)).split("\n")
-    return {ord(a): b for a, b in zip(chars, plain, strict=True) if a != b and len(b) == 1}
+_MADE: dict[int, str] = {}
 
 
 def simplified_map(spark: SparkSession) -> dict[int, str]:
     """A table for `str.translate`: about 3,000 characters, made once on the driver."""
-    return _map()
+    if not _MADE:
+        chars = [chr(c) for c in range(0x4E00, 0xA000)]
+        change = spark._jvm.com.ibm.icu.text.Transliterator.getInstance("Traditional-Simplified")
+        plain = change.transliterate("\n".join(chars)).split("\n")
+        _MADE.update({ord(a): b for a, b in zip(chars, plain, strict=True) if a != b and len(b) == 1})
+    return _MADE

@@ -279,6 +279,18 @@ def _line_ends(text: str, headings: frozenset[str]) -> list[int]:
     return ends
 
 
+def _units_of(words: dict[str, float]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for item, text, title in batch[["item_id", "text", "title"]].itertuples(index=False):
+                headings = frozenset({_bare(re.sub(r"\s*p\d+$", "", title))}) if isinstance(title, str) else frozenset()
+                ends = sentence_ends(text, words, headings)
+                starts = [0, *ends][: len(ends)]
+                yield pd.DataFrame({"item_id": item, "sentence_no": range(len(ends)), "start_pos": starts, "end_pos": ends, "sentence": [text[a:b].strip() for a, b in zip(starts, ends, strict=True)]})
+
+    return run
+
+
 def _ends_of(words: dict[str, float]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -291,8 +303,28 @@ def _ends_of(words: dict[str, float]):
     return run
 
 
-def sentence_units(df: DataFrame, item_id: str, text: str, title: str | None = None, lexicon: list[str] = ()) -> DataFrame:
-    """(item_id, end_pos): one row per sentence. `lexicon` adds words to the lattice; it is a small given list."""
+#: Terms that may be spread to all tasks.
+MOST_TERMS = 100_000
+
+
+def _items(df: DataFrame, item_id: str, text: str, title: str | None) -> DataFrame:
     items = df.select(F.col(item_id).alias("item_id"), F.col(text).alias("text"), (F.col(title) if title else F.lit(None).cast("string")).alias("title"))
-    items = items.filter(F.col("text").isNotNull() & F.col("item_id").isNotNull()).distinct()
-    return items.mapInPandas(_ends_of(add_words(list(lexicon))), "item_id string, end_pos int").distinct()
+    return items.filter(F.col("text").isNotNull() & F.col("item_id").isNotNull()).distinct()
+
+
+def lexicon_words(lexicon: DataFrame, term: str = "term") -> list[str]:
+    """The terms of a small given table, for the lattice."""
+    terms = lexicon.select(term).dropna().distinct()
+    if terms.count() > MOST_TERMS:
+        raise ValueError("the lexicon is too large to be spread")
+    return [r[0] for r in terms.collect()]
+
+
+def sentence_units(df: DataFrame, item_id: str, text: str, title: str | None = None, lexicon: list[str] = ()) -> DataFrame:
+    """(item_id, end_pos): one row per sentence. `lexicon` adds words to the lattice."""
+    return _items(df, item_id, text, title).mapInPandas(_ends_of(add_words(list(lexicon))), "item_id string, end_pos int").distinct()
+
+
+def sentence_texts(df: DataFrame, item_id: str, text: str, title: str | None = None, lexicon: list[str] = ()) -> DataFrame:
+    """(item_id, sentence_no, start_pos, end_pos, sentence), cut where the text is, so that no text is joined to its sentences."""
+    return _items(df, item_id, text, title).mapInPandas(_units_of(add_words(list(lexicon))), "item_id string, sentence_no int, start_pos int, end_pos int, sentence string")

@@ -1,6 +1,6 @@
 import pytest
 
-from glossmill.llm.sentences import first_word, sentence_ends, sentence_units, add_words, _WORDS
+from glossmill.llm.sentences import _WORDS, add_words, first_word, sentence_ends, sentence_texts, sentence_units
 
 
 def split(text, **kw):
@@ -52,3 +52,5 @@ def test_table(spark):
     got = sorted((r.item_id, r.end_pos) for r in sentence_units(df, "pid", "text", "title").collect())
     assert got == [("a", 2), ("a", 4), ("d", 9), ("d", 21)]
     assert sentence_units(df.limit(0), "pid", "text").count() == 0
+    texts = [(r.item_id, r.sentence_no, r.start_pos, r.end_pos, r.sentence) for r in sentence_texts(df, "pid", "text", "title").collect()]
+    assert sorted(texts) == [("a", 0, 0, 2, "一。"), ("a", 1, 2, 4, "二。"), ("d", 0, 0, 9, "Ein Satz."), ("d", 1, 9, 21, "Noch einer.")]
