@@ -282,11 +282,14 @@ def _line_ends(text: str, headings: frozenset[str]) -> list[int]:
 def _units_of(words: dict[str, float]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            out = []
             for item, text, title in batch[["item_id", "text", "title"]].itertuples(index=False):
                 headings = frozenset({_bare(re.sub(r"\s*p\d+$", "", title))}) if isinstance(title, str) else frozenset()
-                ends = sentence_ends(text, words, headings)
-                starts = [0, *ends][: len(ends)]
-                yield pd.DataFrame({"item_id": item, "sentence_no": range(len(ends)), "start_pos": starts, "end_pos": ends, "sentence": [text[a:b].strip() for a, b in zip(starts, ends, strict=True)]})
+                start = 0
+                for no, end in enumerate(sentence_ends(text, words, headings)):
+                    out.append((item, no, start, end, text[start:end].strip()))
+                    start = end
+            yield pd.DataFrame(out, columns=["item_id", "sentence_no", "start_pos", "end_pos", "sentence"])
 
     return run
 
