@@ -44,6 +44,8 @@ CLAUSE = 12
 _LINK = r"(?:https?://)?(?:[A-Za-z0-9-]+\.)+[a-z]{3,8}(?:[/?][^\s，,)>\]]*)?"
 # groups: link, tag, leader with its page; private characters stand for them among the symbols
 _SPECIAL = re.compile(rf"({_LINK})|(#\w+#?)|(\s*(?:…|\.\.\.|·{{3,}})[….·]*\s*\d+)")
+#: What every link, tag or leader holds; most pages have none of it.
+_MAY = re.compile(r"[.#…·](?:(?<=\.)[A-Za-z]{3}|(?<=#)\w|(?<=…)[….·]*\s*\d|(?<=\.)\.\.[….·]*\s*\d|(?<=·)··[….·]*\s*\d)")
 LINK, TAG, LEADER = "\ue000", "\ue001", "\ue002"
 _STANDS = [LINK, TAG, LEADER]
 _SYMBOL = re.compile(r"[A-Za-zÀ-ÿ]+|[0-9]+(?:\.[0-9]+)?|\n|[^\S\n]+|.", re.S)
@@ -65,7 +67,7 @@ def symbols(text: str) -> tuple[list, list[int]]:
 
     for x in _STANDS:
         text = text.replace(x, "\ue003")
-    out = _SYMBOL.findall(_SPECIAL.sub(put, text))
+    out = _SYMBOL.findall(_SPECIAL.sub(put, text) if _MAY.search(text) else text)
     sizes = list(map(len, out))
     out = ["<0>" if "0" <= x < ":" else x for x in out]
     if real:
@@ -80,18 +82,21 @@ def symbols(text: str) -> tuple[list, list[int]]:
 
 def dense_repeats(s: list, reach: int = REACH) -> list[int]:
     """Changes of depth at each symbol: positive sums are covered by a maximal substring found three times within `reach`."""
-    far = -(10**9)
-    nxt, link, length, pos, before = [{}], [-1], [0], [far], [far]
-    depth = [0] * (len(s) + 1)
-    last = 0
-    for i, c in enumerate(s):
-        cur = len(nxt)
-        nxt.append({})
-        length.append(length[last] + 1)
-        pos.append(i)
-        before.append(far)
-        p = last
-        last = cur
+    n, far = len(s), -(10**9)
+    most = 2 * n + 2
+    nxt: list = [None] * most
+    link, length, pos, before = [0] * most, [0] * most, [far] * most, [far] * most
+    nxt[0], link[0] = {}, -1
+    depth = [0] * (n + 1)
+    last = top = 0
+    i = -1
+    for c in s:
+        i += 1
+        cur = top = top + 1
+        nxt[cur] = {}
+        length[cur] = i + 1
+        pos[cur] = i
+        p, last = last, cur
         t = nxt[p]
         while c not in t:
             t[c] = cur
@@ -99,39 +104,41 @@ def dense_repeats(s: list, reach: int = REACH) -> list[int]:
             if p < 0:
                 break
             t = nxt[p]
-        if p < 0:
-            link.append(0)
-            continue
-        q = t[c]
-        size = length[p] + 1
-        if size == length[q]:
-            link.append(q)
         else:
-            k = len(nxt)
-            nxt.append(nxt[q].copy())
-            length.append(size)
-            link.append(k)
-            link.append(link[q])
-            pos.append(pos[q])
-            before.append(before[q])
-            link[q] = k
-            while p >= 0 and nxt[p].get(c) == q:
-                nxt[p][c] = k
+            q = t[c]
+            size = length[p] + 1
+            if size == length[q]:
+                link[cur] = q
+            else:
+                k = top = top + 1
+                nxt[k] = nxt[q].copy()
+                length[k], link[k], pos[k], before[k] = size, link[q], pos[q], before[q]
+                link[q] = link[cur] = k
+                t[c] = k
                 p = link[p]
-            q = k
-        found = False
-        size = length[q]
-        while size > 1:  # all substrings that end here and were there before, longest first
-            j, h = pos[q], before[q]
-            if not found and i - h <= reach:
-                found = True
-                for e in (i, j, h):
-                    depth[e + 1 - size] += 1
-                    depth[e + 1] -= 1
-            before[q] = j
-            pos[q] = i
-            q = link[q]
-            size = length[q]
+                while p >= 0:
+                    t = nxt[p]
+                    if t[c] != q:
+                        break
+                    t[c] = k
+                    p = link[p]
+                q = k
+            # All substrings of two or more symbols that end here and were there before, longest first.
+            found = False
+            while size > 1:
+                j, h = pos[q], before[q]
+                if not found and i - h <= reach:
+                    found = True
+                    depth[i + 1 - size] += 1
+                    depth[i + 1] -= 1
+                    depth[j + 1 - size] += 1
+                    depth[j + 1] -= 1
+                    depth[h + 1 - size] += 1
+                    depth[h + 1] -= 1
+                before[q] = j
+                pos[q] = i
+                q = link[q]
+                size = length[q]
     for kind in (LINK, TAG):
         places = [i for i, c in enumerate(s) if c == kind] if kind in s else []
         for a, b, c in zip(places, places[1:], places[2:], strict=False):
