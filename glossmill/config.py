@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 class Domain:
     """Vocabulary of a collection. All operators take one; none has words of its own."""
 
+    # Sentence marks, lengths, windows and measures of the project's own units.
     sentence_marks: str = "。！？!?；;"
     paragraph_chars: int = 900
     window: int = 6
@@ -32,11 +33,12 @@ class Domain:
     #: Words of a question that say nothing about its topic.
     scaffold: tuple[str, ...] = ("请问", "关于", "怎么煎服", "的用量是多少", "用量如何掌握", "主治哪些证候", "出自哪一讲", "有什么禁忌", "如何区分", "什么", "怎么", "如何", "哪些", "多少", "与")
     questions: tuple[str, ...] = ("{t}这一段主要讲什么？", "{t}用量如何掌握？", "{t}有什么注意事项？")
+    # Weights of the kinds of retrieval units.
     weights: dict[str, float] = field(default_factory=lambda: {"sentence": 1.0, "window": 1.1, "paragraph": 0.9, "question": 1.15})
 
 
 DOMAIN = Domain()
-#: Bounds of the public interface.
+# Bounds of the public interface and the constant of reciprocal-rank fusion.
 MOST_RESULTS, MOST_INTERNAL, RANK_CONSTANT = 100, 400, 60
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossmill.functions.text import known_terms, ngrams, occurrences, one_spaced  # noqa: F401
+from glossmill.functions.text import ngrams, occurrences
+from glossmill.session import written
 
 
 def query_terms(text: Column, scaffold: tuple[str, ...], most: int = 64) -> Column:
@@ -47,7 +48,7 @@ def bm25(rows: DataFrame, row_id: str, text: str, queries: DataFrame) -> DataFra
     length of a row is its number of trigrams.
     """
     asked = queries.select("query_id", F.explode("terms").alias("term")).filter(F.length("term") >= 3).distinct()
-    hits = term_rows(rows, row_id, text, asked.select("term").distinct())
+    hits = written(term_rows(rows, row_id, text, asked.select("term").distinct()))  # counted and scored
     df_ = hits.groupBy("term").agg(F.count("*").alias("df"))
     size = rows.filter(F.col(text).isNotNull()).agg(F.count("*").alias("n_rows"), F.avg(F.greatest(F.length(text) - 2, F.lit(0))).alias("avg_len"))
     # One row, from an aggregate.

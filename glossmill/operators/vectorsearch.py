@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossmill.session import written
+
 #: Query vectors that are multiplied at once; more queries come in further blocks.
 BLOCK, MOST_QUERY_BYTES = 512, 256 << 20
 
@@ -21,7 +23,7 @@ def exact_top(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     a window ranks what the tasks found. Rows of null vectors or scores not
     above 0 are left out; ties go to the smaller id.
     """
-    q = queries.filter(F.col("vector").isNotNull()).select("query_id", "vector").dropDuplicates(["query_id"])
+    q = written(queries.filter(F.col("vector").isNotNull()).select("query_id", "vector").dropDuplicates(["query_id"]))
     n, width = q.count(), q.select(F.max(F.size("vector"))).first()[0] or 0
     if n * width * 8 > MOST_QUERY_BYTES:
         raise ValueError("split the query set: it doesn't fit the bound for spreading")

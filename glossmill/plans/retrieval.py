@@ -18,7 +18,7 @@ def _units_with_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """(row_id, vector, weight, paragraph_id, unit_type) of units that have a vector; vectors at length 1."""
     v = table(spark, folder, "unit_vectors").filter(F.col("embedding").isNotNull()).groupBy("unit_id").agg(F.min("embedding").alias("v"))
     u = store.latest(table(spark, folder, "retrieval_units").select("unit_id", "paragraph_id", "unit_type", "weight"), "unit_id", "weight", "paragraph_id")
-    return v.join(u, "unit_id").select(F.col("unit_id").alias("row_id"), unit_length(F.col("v")).alias("vector"), F.coalesce("weight", F.lit(1.0)).alias("weight"), "paragraph_id", "unit_type")
+    return written(v.join(u, "unit_id").select(F.col("unit_id").alias("row_id"), unit_length(F.col("v")).alias("vector"), F.coalesce("weight", F.lit(1.0)).alias("weight"), "paragraph_id", "unit_type"))
 
 
 def k1_vector_topk(spark: SparkSession, folder: str) -> DataFrame:
