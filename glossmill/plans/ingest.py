@@ -163,6 +163,8 @@ e as (select *, regexp_extract(s, '([^/]*)/*$', 1) as x from d), f as (select *,
 select paragraph_id, public_path, concat_ws(' ', regexp_extract(public_path, '([^/\\\\]+)$', 1), case when page_end is null or page_end = page_start then 'p' || page_start else 'p' || page_start || '-' || page_end end) as citation from f""",
     "f56_json_attributes": """with k as (select distinct knowledge_unit_id, attributes_json as j from knowledge_units)
 select knowledge_unit_id, case when json_valid(j) then json_extract_string(j, '$.dose') end as dose, case when json_valid(j) then try_cast(json_extract_string(j, '$.n') as bigint) end as n from k""",
+    "f39_strip_tags": rf"""with d as (select doc_id, regexp_replace(regexp_replace(text, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g') as text
+from documents where regexp_matches(text, '<[A-Za-z/][^>]*>')) select doc_id, length(trim({C.BARE.format("text", " ")})) as n_plain from d""",
     "g1_retrieval_units": f"{_UNITS} select * from units",
     "g3_unit_counts": f"{_UNITS} select unit_type, count(*) as n, sum(length(text)) as n_chars from units group by 1",
     "g10_trigram_frequencies": f"""with {C.LIVE}, g as (select distinct paragraph_id, substr(low, i, 3) as gram from (select paragraph_id, lower(text) as low from live), unnest(generate_series(1, length(low) - 2)) as x(i))

@@ -196,7 +196,7 @@ hyb as (select *, row_number() over (partition by query_id order by fusion_score
 _CASE_ROWS = "select query_id as case_id, relevant, forbidden from judged"
 
 
-def _metrics(ranking: str, ks: tuple[int, ...] = (1, 5, 10)) -> str:
+def _metrics(ranking: str, cases: str = _CASE_ROWS, ks: tuple[int, ...] = (1, 5, 10)) -> str:
     """Metrics of `ranking`(case_id, row_id, rank) as CTEs `pos`, `per` and `mets`."""
     parts = ["select case_id, 'reciprocal_rank' as metric, coalesce(1.0 / first_good, 0) as value from per"]
     for k in ks:
@@ -207,7 +207,7 @@ def _metrics(ranking: str, ks: tuple[int, ...] = (1, 5, 10)) -> str:
         }.items():
             parts.append(f"select case_id, '{name}@{k}', {value} from per")
     sums = ", ".join(f"sum(good) filter (rank <= {k}) as g{k}, sum(bad) filter (rank <= {k}) as b{k}, sum(good / log2(rank + 1)) filter (rank <= {k}) as d{k}, sum(hits / rank) filter (rank <= {k} and good = 1) as p{k}" for k in ks)
-    return f"""cr as ({_CASE_ROWS}),
+    return f"""cr as ({cases}),
 pos as (select r.case_id, r.rank, list_contains(cr.relevant, r.row_id)::int as good, list_contains(cr.forbidden, r.row_id)::int as bad,
   sum(list_contains(cr.relevant, r.row_id)::int) over (partition by r.case_id order by r.rank) as hits from ({ranking}) r join cr using (case_id)),
 agg as (select case_id, min(rank) filter (good = 1) as first_good, {sums} from pos group by 1),
@@ -216,6 +216,7 @@ mets as ({" union all ".join(parts)})"""
 
 
 _TEXT_RANKING = "select query_id as case_id, row_id, rank from chan where rank <= 10"
+_CHANNEL_CASES = "select c || '|' || query_id as case_id, relevant, forbidden from judged, (values ('text'), ('knowledge'), ('graph'), ('hybrid')) v(c)"
 _SPLIT = "with " + f"{C.LIVE}, {C.CASES}, asked as (select query_id || '#' || (i - 1) as query_id, terms[i] as term from cases, unnest(generate_series(1, len(terms))) as g(i) where length(terms[i]) >= 3), {_ROWS}, {C.BM25}"
 ORACLE = {
     "k1_vector_topk": f"with {_VEC} select query_id, row_id, round(score, 6) as score, rank from top where rank <= 10",
@@ -242,6 +243,10 @@ select query_id, row_id as paragraph_id, round(fusion_score, 9) as fusion_score,
 f as (select query_id, row_id, sum(1 / (60 + rank)) as fusion_score, max(score) as raw, least(16, count(*)) as n_seen from b group by 1, 2)
 select query_id, row_id as paragraph_id, round(fusion_score, 9) as fusion_score, n_seen, row_number() over (partition by query_id order by fusion_score desc, raw desc, row_id) as rank from f qualify rank <= 10""",
     "e1_ranked_metrics": f"{_BASE}, {_CHANNEL}, {_metrics(_TEXT_RANKING)} select case_id, metric, round(value, 6) as value from mets",
+    "e2_mean_metrics": f"""{_BASE}, {_CHANNEL}, {_KNOW}, {_NAV}, {_GRAPH.replace("LIMIT", "40")}, {_FUSE},
+rk as (select channel, query_id, row_id, rank from chans union all select 'hybrid', query_id, row_id, rank from hyb),
+{_metrics("select channel || '|' || query_id as case_id, row_id, rank from rk where rank <= 10", _CHANNEL_CASES)}
+select split_part(case_id, '|', 1) as channel, metric, round(avg(value), 6) as value from mets group by 1, 2""",
     "q1_intents": "select task_type, intent, count(*) as n from (select task_type, case "
     + " ".join(f"when regexp_matches(query, '{'|'.join(words)}') then '{name}'" for name, words in DOMAIN.intents)
     + " else 'general' end as intent from (select distinct case_id, query, task_type from eval_cases)) group by all",
