@@ -5,8 +5,17 @@ directions, shifted at random and put in the order of a Hilbert curve; several
 such orders are made. Spark range-partitions and sorts the rows of all orders
 by (order, key). In each partition a window slides over the sorted rows, and
 every vector is compared with the `window` rows on either side by one matrix
-product a block. The best of all orders are merged per vector and ranked by
-their exact cosine.
+product a block. The k-th best cosine found in all orders is a lower bound for
+each vector.
+
+A group of near copies may hold far more rows than a window, so the windows
+only give the bound. The rows are then packed in the first order into blocks of
+`BLOCK` bytes, and every pair of blocks meets in one matrix product unless the
+angle between their centres, less their radii, shows that no row of one can
+reach the bound of a row of the other. What reaches it is ranked by its exact
+cosine: nothing is lost, at any density. Where vectors lie apart in all
+dimensions few blocks are ruled out and the work grows with the square of the
+rows.
 
 Identical vectors become one row first, so that a vector shared by a third of
 all units costs one row; of such a class the k + 1 smallest ids stand as
@@ -32,6 +41,9 @@ from glossmill.session import written
 
 #: Orders, projected dimensions, bits of a dimension, rows compared on either side.
 ORDERS, DIMS, BITS, WINDOW = 12, 8, 7, 256
+#: Bytes of the vectors of a block.
+BLOCK = 1 << 20
+_BLOCKS = "block string, width int, cids array<string>, vectors binary, bounds array<double>, centre array<double>, radius double, low double"
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -119,6 +131,100 @@ def _windows(k: int, least: float, window: int):
     return run
 
 
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    x = vectors.astype(np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _first_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for _, rows in batch.groupby("width", sort=False):
+            yield rows.assign(key=curve_keys(_unit(np.stack(rows["vector"].to_numpy())), 0))
+
+
+def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Blocks of rows that follow each other in the sorted partition; in a block rows lie by their smallest unit id."""
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("uid")
+        x = np.stack(rows["vector"].to_numpy()).astype(np.float32)
+        unit = _unit(x)
+        centre = unit.sum(axis=0)
+        centre = centre / np.linalg.norm(centre) if np.linalg.norm(centre) > 1e-9 else unit[0]
+        radius = float(np.arccos(np.clip(unit @ centre, -1, 1)).max())
+        return pd.DataFrame([{
+            "block": rows["cid"].min(), "width": int(rows["width"].iat[0]), "cids": rows["cid"].tolist(), "vectors": x.tobytes(), "bounds": rows["bound"].tolist(),
+            "centre": centre.tolist(), "radius": radius, "low": float(rows["bound"].min()),
+        }])
+
+    rest: pd.DataFrame | None = None
+    for batch in batches:
+        rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        while len(rest):
+            width = rest["width"].iat[0]
+            most, own = max(1, BLOCK // (4 * int(width))), int((rest["width"] == width).sum())
+            if own < most and own == len(rest):
+                break
+            yield pack(rest.iloc[: min(most, own)])
+            rest = rest.iloc[min(most, own) :].reset_index(drop=True)
+    if rest is not None and len(rest):
+        yield pack(rest)
+
+
+def _reach(cosine: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, cosine) of the k best of each row that reach its bound; ties go to the first column."""
+    i, j = np.nonzero(cosine >= bounds[:, None] - 1e-9)
+    value = cosine[i, j]
+    order = np.lexsort((j, -value, i))
+    i, j, value = i[order], j[order], value[order]
+    kept = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[kept], j[kept], value[kept]
+
+
+def _meet(k: int, least: float):
+    """All rows of one block against all of another, in both directions."""
+
+    def run(pairs: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for p in pairs.itertuples():
+            x, y = (_unit(np.frombuffer(v, dtype=np.float32).reshape(-1, p.width)) for v in (p.a_vectors, p.b_vectors))
+            a_cids, b_cids, a_bounds, b_bounds = np.asarray(p.a_cids, object), np.asarray(p.b_cids, object), np.asarray(p.a_bounds), np.asarray(p.b_bounds)
+            for at in range(0, len(x), 512):
+                cosine = x[at : at + 512] @ y.T
+                if p.a == p.b:
+                    own = np.arange(at, at + len(cosine))
+                    cosine[own - at, own] = -9
+                i, j, value = _reach(cosine, np.maximum(a_bounds[at : at + 512], -2), k)
+                found.append((a_cids[at + i], b_cids[j], value))
+                if p.a != p.b:
+                    i, j, value = _reach(cosine.T, np.maximum(b_bounds, -2), k)
+                    found.append((b_cids[i], a_cids[at + j], value))
+        cid, near, value = (np.concatenate(x) for x in zip(*found, strict=True))
+        fine = value >= max(least, -2)
+        return pd.DataFrame({"cid": cid[fine], "near": near[fine], "cosine": value[fine]})
+
+    return run
+
+
+def _complete(classes: DataFrame, bounds: DataFrame, k: int, least: float) -> DataFrame:
+    """(cid, near, cosine): all that may be among the k best, from every pair of blocks that the bounds don't rule out."""
+    rows = classes.join(bounds, "cid", "left").withColumn("bound", F.coalesce("bound", F.lit(float(least))))
+    kind = classes.schema["uid"].dataType.simpleString()
+    rows = rows.select("width", "cid", "uid", "vector", "bound").mapInPandas(_first_keys, f"width int, cid string, uid {kind}, vector array<float>, bound double, key long")
+    rows = rows.repartitionByRange("width", "key").sortWithinPartitions("width", "key", "cid")
+    blocks = written(rows.mapInPandas(_packed, _BLOCKS))
+    a, b = ([F.col(c).alias(f"{side}_{c}") for c in ("centre", "radius", "low")] for side in "ab")
+    # A few hundred bytes for each MB of vectors.
+    pairs = blocks.select("width", F.col("block").alias("a"), *a).join(F.broadcast(blocks.select("width", F.col("block").alias("b"), *b)), "width").filter("a <= b")
+    dot = F.aggregate(F.zip_with("a_centre", "b_centre", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    one = lambda c: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))
+    apart = F.acos(one(dot)) - F.col("a_radius") - F.col("b_radius")
+    pairs = pairs.filter(apart <= F.acos(one(F.least("a_low", "b_low"))) + 1e-6).select("width", "a", "b")
+    for side in "ab":
+        pairs = pairs.join(blocks.select(F.col("block").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("cids", "vectors", "bounds")]), side)
+    return pairs.groupBy("a", "b").applyInPandas(_meet(k, least), "cid string, near string, cosine double")
+
+
 def nearest(df: DataFrame, unit_id: str, vector: str, k: int = 5, least: float = -2.0, window: int = WINDOW) -> DataFrame:
     """(unit_id, neighbour_id, cosine): the k most similar other units with a cosine of at least `least`."""
     v = F.transform(F.col(vector), lambda x: x.cast("float"))
@@ -130,11 +236,13 @@ def nearest(df: DataFrame, unit_id: str, vector: str, k: int = 5, least: float =
     first = Window.partitionBy("cid").orderBy("uid")
     ids = member.select("cid", "uid").withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k + 1)
     ids = ids.groupBy("cid").agg(F.sort_array(F.collect_list("uid")).alias("uids"))
-    classes = member.groupBy("cid").agg(F.first("vector").alias("vector")).withColumn("width", F.size("vector"))
-    rows = classes.mapInPandas(_ordered, "width int, ord int, key long, cid string, vector array<float>")
+    classes = member.groupBy("cid").agg(F.first("vector").alias("vector"), F.min("uid").alias("uid")).withColumn("width", F.size("vector"))
+    rows = classes.drop("uid").mapInPandas(_ordered, "width int, ord int, key long, cid string, vector array<float>")
     rows = rows.repartitionByRange("width", "ord", "key").sortWithinPartitions("width", "ord", "key", "cid")
     pairs = rows.mapInPandas(_windows(k, least, window), "cid string, near string, cosine double")
     pairs = pairs.groupBy("cid", "near").agg(F.max("cosine").alias("cosine"))
+    bounds = pairs.groupBy("cid").agg(F.sort_array(F.collect_list("cosine"), False).alias("c")).filter(F.size("c") >= k).select("cid", F.col("c")[k - 1].alias("bound"))
+    pairs = _complete(classes, bounds, k, least)
     near = ids.select(F.col("cid").alias("near"), F.col("uids").alias("near_uids"))
     # No more than k classes are needed: each has a unit of its own.
     best = Window.partitionBy("cid").orderBy(F.desc("cosine"), F.col("near_uids")[0])

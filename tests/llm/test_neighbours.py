@@ -43,3 +43,18 @@ def test_dirt_ties_and_copies(spark):
     assert sorted(near["c0"]) == ["c1", "c2", "c3"] and sorted(near["c8"]) == ["c0", "c1", "c2"]
     assert sorted(near["q"]) == ["c0", "c1", "c2"] and not {"n", "z", "nan", "hole", "e", "o", "w"} & set(near)
     assert nearest(df.limit(0), "uid", "v").count() == 0
+
+
+def test_group_of_near_copies_far_larger_than_the_window(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 16))
+    x[:1000] = x[0] / np.linalg.norm(x[0]) + 0.02 * rng.normal(size=(1000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "uid int, v array<float>")
+    unit = x.astype(np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    cosine = unit @ unit.T
+    np.fill_diagonal(cosine, -9)
+    top = np.argsort(-cosine, axis=1)[:, :5]
+    for least in (0.85, -2.0):
+        got = {(r.unit_id, r.neighbour_id) for r in nearest(df, "uid", "v", 5, least, window=8).collect()}
+        assert got == {(i, int(j)) for i in range(len(x)) for j in top[i] if cosine[i, j] >= least}
