@@ -68,13 +68,15 @@ def best(scored: DataFrame, limit: int, *ties: Column) -> DataFrame:
 def text_channel(rows: DataFrame, row_id: str, text: str, queries: DataFrame, limit: int = 10, candidates: int = 200) -> DataFrame:
     """(query_id, row_id, score, rank): the greater of a score by BM25 rank and a score by matched terms.
 
-    0.45 + 0.35 (1 - i / n) for place i of n by BM25; 0.5 + 0.08 per matched
-    term, + 0.12 if all match; at most 1.
+    0.45 + 0.35 (1 - i / n) for place i of the n <= `candidates` best by BM25;
+    0.5 + 0.08 per matched term, + 0.12 if all match, for every row with a
+    term; at most 1.
     """
     scored = F.broadcast(queries.select("query_id", F.size("terms").alias("n_terms"))).join(bm25(rows, row_id, text, queries), "query_id")
-    ranked = best(scored, candidates, F.col("row_id"))
-    n = F.count("*").over(Window.partitionBy("query_id"))
-    by_rank = 0.45 + 0.35 * (1 - (F.col("rank") - 1) / n)
+    # A row past the candidates by BM25 may be first by its terms.
+    ranked = scored.select("query_id", "row_id", "n_terms", "matched", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id")).alias("place"))
+    n = F.least(F.count("*").over(Window.partitionBy("query_id")), F.lit(candidates))
+    by_rank = F.when(F.col("place") <= candidates, 0.45 + 0.35 * (1 - (F.col("place") - 1) / n)).otherwise(0.0)
     by_terms = 0.5 + 0.08 * F.size("matched") + F.when(F.size("matched") == F.col("n_terms"), 0.12).otherwise(0.0)
     merged = ranked.select("query_id", "row_id", F.least(F.lit(1.0), F.greatest(by_rank, by_terms)).alias("score"))
     return best(merged, limit, F.col("row_id"))

@@ -183,3 +183,12 @@ def test_streamed_ingest_equals_batch(spark, folder, tmp_path):
     counts = arrivals_per_hour(paragraph_stream(spark, str(source)))
     counts.writeStream.format("memory").queryName("hours").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
     assert spark.table("hours").agg(F.sum("n_paragraphs")).first()[0] > 0
+
+
+def test_text_channel_scores_terms_past_the_candidates(spark):
+    terms = ["白云草", "头痛发", "青木香", "石上泉"]
+    rows = [(f"s{t}{i:02d}", term * 3) for t, term in enumerate(terms) for i in range(20)] + [("long", "".join(terms) + "字" * 6000)]
+    rows = spark.createDataFrame(rows, "id string, text string")
+    q = spark.createDataFrame([("q", terms)], "query_id string, terms array<string>")
+    first = textindex.text_channel(rows, "id", "text", q, 10, candidates=50).filter("rank = 1").collect()
+    assert [(r.row_id, round(r.score, 6)) for r in first] == [("long", 0.94)]
