@@ -11,7 +11,7 @@ from glossmill.session import table
 
 
 def _noise(spark: SparkSession, folder: str) -> ScanNoise:
-    paragraphs = table(spark, folder, "paragraphs").select(F.col("paragraph_id").alias("item_id"), "text", heading_of().alias("title"), "page_start", "page_end")
+    paragraphs = table(spark, folder, "paragraphs").select(F.col("paragraph_id").alias("item_id"), "doc_id", "text", heading_of().alias("title"), "page_start", "page_end")
     return ScanNoise(paragraphs, table(spark, folder, "lexicon"))
 
 

@@ -7,8 +7,10 @@
    the fuzzy match is a join on keys with one character left out.
 2. Page numbers: numbers alone on a line, beside a header or stuck to the start
    of a text. Their distance from the page that the text is said to be on is
-   counted over the corpus; distances of numbering sequences recur, and only
-   numbers that follow one are page numbers.
+   counted in each document; a distance that `REPEATS` different numbers share
+   there and that stands out from the distances round it is a numbering
+   sequence, and only numbers that follow one are page numbers. Distances that
+   recur over the whole corpus count too, for documents with few pages.
 3. Hyphenation: a letter, a hyphen, a line break and a small letter, unless the
    corpus vocabulary has the hyphenated word and not the joined one.
 4. Misread terms: lexicon terms in which one character was taken for another
@@ -26,7 +28,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossmill.llm.lookalikes import look_form
@@ -34,6 +36,8 @@ from glossmill.session import written
 
 #: Texts that a heading opens at least; part of all numbers on own lines that a numbering sequence has at least.
 REPEATS, SEQUENCE_PART, LONGEST_HEADER = 3, 0.05, 28
+#: A distance stands out if it has so many times the mean of the `ROUND` distances on either side.
+STANDS_OUT, ROUND = 4, 10
 #: The lexicon is spread to all tasks; above this many terms it is refused.
 MOST_TERMS = 100_000
 
@@ -106,7 +110,7 @@ def _without_one(key: Column) -> Column:
 
 
 class ScanNoise:
-    """The noise of a corpus: `paragraphs`(item_id, text, title, page_start, page_end)."""
+    """The noise of a corpus: `paragraphs`(item_id, text, title, page_start, page_end), with doc_id if documents are known."""
 
     def __init__(self, paragraphs: DataFrame, lexicon: DataFrame):
         from glossmill.llm.scripts import simplified_map
@@ -117,9 +121,10 @@ class ScanNoise:
             raise ValueError("the lexicon is too large to be spread")
         self.terms = sorted({r[0] for r in lexicon.select("term").dropna().collect() if len(r[0]) > 2})
         rows = paragraphs.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull())
-        rows = rows.select("item_id", "text", F.regexp_replace("title", r"\s*p\d+$", "").alias("title"), "page_start", F.coalesce("page_end", "page_start").alias("page_end"))
+        doc = F.col("doc_id").cast("string") if "doc_id" in paragraphs.columns else F.lit(None).cast("string")
+        rows = rows.select("item_id", doc.alias("doc_id"), "text", F.regexp_replace("title", r"\s*p\d+$", "").alias("title"), "page_start", F.coalesce("page_end", "page_start").alias("page_end"))
         self.texts = written(rows.distinct().withColumn("text_id", F.xxhash64("text")))
-        lines = self.texts.select("item_id", "text_id", "page_start", "page_end", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+        lines = self.texts.select("item_id", "doc_id", "text_id", "page_start", "page_end", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
         short = (F.length("line") <= LONGEST_HEADER) & ~F.col("line").rlike(r"[，。；：？！「」『』“”\"…、,;:?!]")
         lines = lines.filter(short & (F.trim("line") != ""))
         self.lines = written(self._with_keys(lines))
@@ -150,27 +155,33 @@ class ScanNoise:
         forms = headings.select(F.explode(_without_one(F.col("key"))).alias("form")).distinct()
         mine = self.lines.filter(F.length("key") >= 3).select("key").distinct().withColumn("form", F.explode(_without_one(F.col("key"))))
         matched = mine.join(forms, "form", "left_semi").select("key").distinct()
-        return self.lines.join(matched, "key", "left_semi").select("item_id", "text_id", "line_no", "line", "page_start", "page_end")
+        return self.lines.join(matched, "key", "left_semi").select("item_id", "doc_id", "text_id", "line_no", "line", "page_start", "page_end")
 
     def page_numbers(self, headers: DataFrame) -> DataFrame:
         """(item_id, text_id, line_no, part): what of a line is a page number."""
         plain = F.regexp_replace(F.translate("line", "０１２３４５６７８９", "0123456789"), _LECTURE, "")
-        alone = self.lines.select("item_id", "text_id", "line_no", "line", "page_start", "page_end", F.regexp_extract(plain, _PAGE_LINE, 1).alias("number"), plain.rlike(r"^\s*\d+\s*$").alias("bare"))
+        alone = self.lines.select("item_id", "doc_id", "text_id", "line_no", "line", "page_start", "page_end", F.regexp_extract(plain, _PAGE_LINE, 1).alias("number"), plain.rlike(r"^\s*\d+\s*$").alias("bare"))
         alone = alone.filter(F.col("number") != "")
         beside = headers.withColumn("number", F.regexp_extract(plain, r"(?:^|[^\d/])(\d{1,4})(?:\s*/\s*\d+)?(?=\D|$)", 1)).filter(F.col("number") != "").withColumn("bare", F.lit(False))
-        stuck = self.texts.select("item_id", "text_id", F.lit(0).alias("line_no"), F.regexp_extract("text", r"^\s*(\d{1,4})(?=[^\d\s.,/:%~\-枚克钱两分升斗斤铢例味]|\s+[A-Z\"“])", 1).alias("number"), "page_start", "page_end")
+        stuck = self.texts.select("item_id", "doc_id", "text_id", F.lit(0).alias("line_no"), F.regexp_extract("text", r"^\s*(\d{1,4})(?=[^\d\s.,/:%~\-枚克钱两分升斗斤铢例味]|\s+[A-Z\"“])", 1).alias("number"), "page_start", "page_end")
         stuck = stuck.filter(F.col("number") != "").withColumn("line", F.col("number")).withColumn("bare", F.lit(True))
         both = alone.unionByName(beside.select(alone.columns)).unionByName(stuck.select(alone.columns))
         first = F.col("number").cast("int") - F.col("page_start")
         last = F.col("number").cast("int") - F.col("page_end")
         both = written(both.withColumn("off", F.array_distinct(F.array(first, last))))
-        counted = both.filter((F.abs(first) < 100) | (F.abs(last) < 100)).select(F.explode("off").alias("off")).groupBy("off").count()
+        each = both.withColumn("off", F.explode("off")).filter(F.col("off").isNotNull())
         total = both.count()
-        # At most 1 / SEQUENCE_PART distances pass.
-        runs = [r["off"] for r in counted.filter((F.col("count") >= max(3, SEQUENCE_PART * total)) & F.col("off").isNotNull()).collect()]
-        follows = F.arrays_overlap("off", F.array(*[F.lit(x) for x in runs])) if runs else F.lit(False)
-        decorated = ~F.col("bare") & F.col("page_start").isNull()
-        return both.filter(F.coalesce(follows, F.lit(False)) | decorated).select("item_id", "text_id", "line_no", F.col("line").alias("part"))
+        # At most 2 / SEQUENCE_PART distances pass.
+        runs = [r["off"] for r in each.groupBy("off").count().filter(F.col("count") >= max(3, SEQUENCE_PART * total)).collect()]
+        inside = each.filter(F.col("doc_id").isNotNull()).groupBy("doc_id", "off").agg(F.count_distinct("number").alias("numbers"))
+        # A document has no more distances than pages and numbers of four digits allow.
+        near = F.sum("numbers").over(Window.partitionBy("doc_id").orderBy("off").rangeBetween(-ROUND, ROUND)) - F.col("numbers")
+        inside = inside.withColumn("near", near).filter((F.col("numbers") >= REPEATS) & (F.col("numbers") >= STANDS_OUT * F.col("near") / (2 * ROUND)))
+        follows = each.join(inside.select("doc_id", "off"), ["doc_id", "off"], "left_semi").select("item_id", "text_id", "line_no", "line")
+        if runs:
+            follows = follows.unionByName(each.filter(F.col("off").isin(runs)).select(follows.columns))
+        decorated = both.filter(~F.col("bare") & F.col("page_start").isNull()).select(follows.columns)
+        return follows.unionByName(decorated).distinct().withColumnRenamed("line", "part")
 
     def hyphenations(self) -> DataFrame:
         """(item_id, text_id, head, tail): words broken across lines."""

@@ -55,3 +55,12 @@ def test_empty(spark):
     lexicon = spark.createDataFrame([], "term string, term_type string, lang string")
     noise = ScanNoise(df, lexicon)
     assert noise.kinds().count() == 0 and noise.repaired().count() == 0
+
+
+def test_every_document_has_its_own_distance(spark):
+    rows = [(f"d{d}-{i}", f"d{d}", f"〔{i * 7 + d * 13 + 5}〕\n凡肺津受病，先看头顶{d}{i}。", None, i * 7, i * 7) for d in range(30) for i in range(1, 5)]
+    rows += [(f"x{i}", "hot", f"甲\n{i % 9 + 1}\n乙{i}", None, i, i) for i in range(200)]
+    df = spark.createDataFrame(rows, "item_id string, doc_id string, text string, title string, page_start int, page_end int")
+    lexicon = spark.createDataFrame([], "term string, term_type string, lang string")
+    found = {r.item_id for r in ScanNoise(df, lexicon).kinds().filter("noise_kind = 'page_number'").collect()}
+    assert {r[0] for r in rows if r[1] != "hot"} <= found
