@@ -2,11 +2,15 @@
 
 For every page a suffix automaton is built over its symbols (ideographs and
 other single characters, whole Latin words, numbers, links and tags as one
-symbol each). While it grows, every state keeps the last two places where its
-substring ended; when a maximal repeated substring of two or more symbols ends
-for the third time within `REACH` symbols, the characters of the three
-occurrences count as covered. Natural pages repeat phrases too, but not that
-densely.
+symbol each). The number of places where the substrings of a state end, the
+first and the last of them, are then summed once over the states in the order
+of their length. A maximal repeated substring of two or more symbols counts if
+it occurs three times or more and its occurrences are `REACH` symbols apart or
+less on average: phrases recur everywhere, but densely only where a page is
+stuffed. In lines without clauses a substring of `LONG` symbols or more counts
+at any distance, and so do items of two or more symbols between separators that
+the page holds `ITEM_TIMES` times or more. All occurrences are covered, and three
+links or tags within `ROW` symbols. The work is linear in the page.
 
 Coverage is combined with missing clause structure, line by line:
 
@@ -29,15 +33,17 @@ from __future__ import annotations
 
 import gc
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
+from operator import mul
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: See above. The thresholds lie in wide gaps between the two kinds of lines (README).
-REACH, BARE_COVER, CLAUSE_COVER, VARIETY, SPAN = 80, 0.34, 0.3, 0.44, 80
+REACH, LONG, ROW, ITEM_TIMES, BARE_COVER, CLAUSE_COVER, VARIETY, SPAN = 40, 24, 80, 5, 0.34, 0.3, 0.44, 80
 #: A clause has at least so many ideographs, a Latin word counting for three.
 CLAUSE = 12
 
@@ -48,6 +54,9 @@ _SPECIAL = re.compile(rf"({_LINK})|(#\w+#?)|(\s*(?:…|\.\.\.|·{{3,}})[….·]*
 _MAY = re.compile(r"[.#…·](?:(?<=\.)[A-Za-z]{3}|(?<=#)\w|(?<=…)[….·]*\s*\d|(?<=\.)\.\.[….·]*\s*\d|(?<=·)··[….·]*\s*\d)")
 LINK, TAG, LEADER = "\ue000", "\ue001", "\ue002"
 _STANDS = [LINK, TAG, LEADER]
+#: What stands between the items of a list.
+_BETWEEN = set("\n ,，、;；|/")
+_ITEM = re.compile(r"[^\n ,，、;；|/]{2,}")
 _SYMBOL = re.compile(r"[A-Za-zÀ-ÿ]+|[0-9]+(?:\.[0-9]+)?|\n|[^\S\n]+|.", re.S)
 _SENTENCE = re.compile(r"[^。！？!?；;\n.…]*(?:\.(?!\s|$)[^。！？!?；;\n.…]*|(?<=\b[A-Za-z])\.[^。！？!?；;\n.…]*)*(?:[。！？!?；;]+|\.|……)?[”\"’」』）)]*")
 _LETTER = re.compile(r"[一-鿿぀-ヿ㐀-䶿豈-﫿]")
@@ -80,14 +89,13 @@ def symbols(text: str) -> tuple[list, list[int]]:
     return out, sizes
 
 
-def dense_repeats(s: list, reach: int = REACH) -> list[int]:
-    """Changes of depth at each symbol: positive sums are covered by a maximal substring found three times within `reach`."""
-    n, far = len(s), -(10**9)
-    most = 2 * n + 2
+def suffix_automaton(s: list) -> tuple[int, list[int], list[int], list[int], list[int]]:
+    """(states, their suffix links, greatest lengths and first ends, the state of every prefix)."""
+    most = 2 * len(s) + 2
     nxt: list = [None] * most
-    link, length, pos, before = [0] * most, [0] * most, [far] * most, [far] * most
+    link, length, first = [0] * most, [0] * most, [-1] * most
     nxt[0], link[0] = {}, -1
-    depth = [0] * (n + 1)
+    prefix = []
     last = top = 0
     i = -1
     for c in s:
@@ -95,7 +103,8 @@ def dense_repeats(s: list, reach: int = REACH) -> list[int]:
         cur = top = top + 1
         nxt[cur] = {}
         length[cur] = i + 1
-        pos[cur] = i
+        first[cur] = i
+        prefix.append(cur)
         p, last = last, cur
         t = nxt[p]
         while c not in t:
@@ -112,7 +121,7 @@ def dense_repeats(s: list, reach: int = REACH) -> list[int]:
             else:
                 k = top = top + 1
                 nxt[k] = nxt[q].copy()
-                length[k], link[k], pos[k], before[k] = size, link[q], pos[q], before[q]
+                length[k], link[k], first[k] = size, link[q], first[q]
                 link[q] = link[cur] = k
                 t[c] = k
                 p = link[p]
@@ -122,31 +131,83 @@ def dense_repeats(s: list, reach: int = REACH) -> list[int]:
                         break
                     t[c] = k
                     p = link[p]
-                q = k
-            # All substrings of two or more symbols that end here and were there before, longest first.
-            found = False
-            while size > 1:
-                j, h = pos[q], before[q]
-                if not found and i - h <= reach:
-                    found = True
-                    depth[i + 1 - size] += 1
-                    depth[i + 1] -= 1
-                    depth[j + 1 - size] += 1
-                    depth[j + 1] -= 1
-                    depth[h + 1 - size] += 1
-                    depth[h + 1] -= 1
-                before[q] = j
-                pos[q] = i
-                q = link[q]
-                size = length[q]
+    return top + 1, link, length, first, prefix
+
+
+def repeats(s: list, reach: float = REACH, long: int = LONG) -> tuple[list[int], list[int]]:
+    """For every symbol the length of the longest dense substring that ends there, and of the longest dense or long one; 0 if there is none."""
+    states, link, length, first, prefix = suffix_automaton(s)
+    inner = set(link[1:states])  # the other states are the ends of one substring only
+    times, ends = [0] * states, first[:states]
+    for i, v in enumerate(prefix):
+        if v in inner:
+            times[v] += 1
+            if i > ends[v]:
+                ends[v] = i
+        else:
+            p = link[v]
+            times[p] += 1
+            ends[p] = i
+    inner.discard(0)
+    order = sorted(inner, key=length.__getitem__, reverse=True)
+    for v in order:  # longer substrings before their suffixes
+        p = link[v]
+        times[p] += times[v]
+        if ends[v] > ends[p]:
+            ends[p] = ends[v]
+    near, far = [0] * states, [0] * states
+    for v in reversed(order):
+        n, size = times[v], length[v]
+        if n < 3 or size < 2:
+            near[v], far[v] = near[link[v]], far[link[v]]
+        elif ends[v] - first[v] <= (n - 1) * reach:
+            near[v] = far[v] = size
+        else:
+            near[v], far[v] = near[link[v]], size if size >= long else far[link[v]]
+    return [near[v] or near[link[v]] for v in prefix], [far[v] or far[link[v]] for v in prefix]
+
+
+def _spread(lengths: list[int]) -> list[bool]:
+    """Which symbols lie in a substring of the length given at its last symbol."""
+    out = [False] * len(lengths)
+    left = 0
+    for i in [i for i, size in enumerate(lengths) if size][::-1]:
+        start, stop = i + 1 - lengths[i], left if out[i] else i + 1
+        if start < stop:
+            out[start:stop] = [True] * (stop - start)
+            left = start
+    return out
+
+
+def covered(s: list, text: str) -> tuple[list[bool], list[bool]]:
+    """Whether each symbol of `text` is covered, in lines of sentences and in lines without clauses.
+
+    Long substrings and items of a list count in the latter only: forms and
+    instructions repeat whole clauses.
+    """
+    near, far = repeats(s)
+    same = near == far
+    near = _spread(near)
+    far = near[:] if same else _spread(far)
+    items = _ITEM.findall(text)
+    if len(items) - len(set(items)) >= ITEM_TIMES - 1 and Counter(items).most_common(1)[0][1] >= ITEM_TIMES:
+        places_of: dict[tuple, list[int]] = {}
+        start = 0
+        for i in [i for i, c in enumerate([*s, "\n"]) if c in _BETWEEN]:
+            if i - start > 1:
+                places_of.setdefault(tuple(s[start:i]), []).append(start)
+            start = i + 1
+        for item, places in places_of.items():
+            if len(places) >= ITEM_TIMES:
+                for at in places:
+                    far[at : at + len(item)] = [True] * len(item)
     for kind in (LINK, TAG):
         places = [i for i, c in enumerate(s) if c == kind] if kind in s else []
         for a, b, c in zip(places, places[1:], places[2:], strict=False):
-            if c - a <= reach:
-                for e in (a, b, c):
-                    depth[e] += 1
-                    depth[e + 1] -= 1
-    return depth
+            if c - a <= ROW:
+                for x in (near, far):
+                    x[a] = x[b] = x[c] = True
+    return near, far
 
 
 def clause_share(line: str) -> float:
@@ -177,25 +238,20 @@ def variety(line: str) -> float:
 def stuffed_share(text: str) -> float:
     """Share of the characters of a page that lie in stuffed lines."""
     s, sizes = symbols(text)
-    depth = dense_repeats(s)
-    ends = list(accumulate(sizes))
-    over = list(accumulate([size if level > 0 else 0 for size, level in zip(sizes, accumulate(depth), strict=False)]))
-    lines: list[tuple[int, int, int]] = []  # start, characters, covered characters
-    start = before = 0
-    for i in [i for i, c in enumerate(s) if c == "\n"]:
-        lines.append((start, ends[i] - 1 - start, over[i] - before - (over[i] - over[i - 1] if i else over[i])))
-        start, before = ends[i], over[i]
-    lines.append((start, len(text) - start, (over[-1] if over else 0) - before))
-    bare = bare_covered = stuffed = total = 0
-    for start, n, covered in lines:
+    near, far = covered(s, text)
+    ends = [0, *accumulate(sizes)]
+    over = [[0, *accumulate(map(mul, sizes, x))] for x in ((near, far) if near != far else (near,))]
+    bare = bare_covered = stuffed = total = first = 0
+    for last in [*[i for i, c in enumerate(s) if c == "\n"], len(s)]:
+        n, in_near, in_far = ends[last] - ends[first], over[0][last] - over[0][first], over[-1][last] - over[-1][first]
+        line, first = text[ends[first] : ends[last]], last + 1
         if not n:
             continue
         total += n
-        line = text[start : start + n]
         if clause_share(line) < 0.5:
             bare += n
-            bare_covered += covered
-        elif covered >= CLAUSE_COVER * n and variety(line) <= VARIETY:
+            bare_covered += in_far
+        elif in_near >= CLAUSE_COVER * n and variety(line) <= VARIETY:
             stuffed += n
     if bare and bare_covered >= BARE_COVER * bare:
         stuffed += bare

@@ -1,6 +1,7 @@
 import random
+import time
 
-from glossmill.llm.spam_pages import LINK, TAG, dense_repeats, spam_pages, stuffed_share, symbols
+from glossmill.llm.spam_pages import LINK, TAG, _spread, repeats, spam_pages, stuffed_share, symbols
 
 R = random.Random(5)
 GOODS, WORDS = ["足浴包", "汐瑶梅饮", "艾条"], ["哪里买", "代理", "价格", "官网", "批发", "图片"]
@@ -16,31 +17,44 @@ VERSE = "\n".join("".join(R.choices(HAN, k=11)) if i % 3 else "莫忘" + "".join
 CONTENTS = "\n".join("".join(R.choices(HAN, k=5)) + f" …… {i * 7}" for i in range(30))
 
 
-def naive_cover(s, reach):
-    """Covered symbols by brute force: maximal substrings ending at i whose last three occurrences lie within reach."""
-    n = len(s)
-    covered = [False] * n
-    for i in range(n):
+def naive_repeats(s, reach, long):
+    """By brute force: the longest dense, and the longest dense or long, substring that ends at each symbol."""
+    near, far = [0] * len(s), [0] * len(s)
+    for i in range(len(s)):
         for size in range(i + 1, 1, -1):
-            x = s[i + 1 - size : i + 1]
-            ends = [e for e in range(size - 1, i + 1) if s[e + 1 - size : e + 1] == x]
-            if len(ends) >= 3 and i - ends[-3] <= reach:
-                for e in ends[-3:]:
-                    for k in range(e + 1 - size, e + 1):
-                        covered[k] = True
-                break
-    return covered
+            ends = [e for e in range(size - 1, len(s)) if s[e + 1 - size : e + 1] == s[i + 1 - size : i + 1]]
+            if len(ends) < 3:
+                continue
+            dense = ends[-1] - ends[0] <= (len(ends) - 1) * reach
+            far[i] = far[i] or (size if dense or size >= long else 0)
+            near[i] = near[i] or (size if dense else 0)
+    return near, far
 
 
 def test_automaton_against_brute_force():
     for seed in range(30):
         rng = random.Random(seed)
-        s = [rng.choice("abc") for _ in range(rng.randint(3, 45))]
-        depth, out = 0, []
-        for step in dense_repeats(s, 20)[:-1]:
-            depth += step
-            out.append(depth > 0)
-        assert out == naive_cover(s, 20), s
+        s = [rng.choice("abc") for _ in range(rng.randint(0, 60))]
+        assert repeats(s, 8, 4) == naive_repeats(s, 8, 4), s
+
+
+def test_covered_symbols_are_those_of_the_substrings():
+    for seed in range(30):
+        rng = random.Random(seed)
+        lengths = [rng.choice([0, 0, 0, rng.randint(0, i + 1)]) for i in range(40)]
+        want = [any(i + 1 - size <= k <= i for i, size in enumerate(lengths)) for k in range(40)]
+        assert _spread(lengths) == want, lengths
+
+
+def test_lists_of_any_period_and_very_long_pages():
+    words = ["".join(R.choices(HAN, k=R.randint(2, 4))) for _ in range(120)]
+    assert stuffed_share("，".join(words[:30] * 100)) > 0.9  # a period of 120 symbols
+    assert stuffed_share("，".join(words * 25)) > 0.9  # 480 symbols
+    assert stuffed_share("，".join(R.choice(words[:60]) for _ in range(1200))) > 0.9  # no order
+    began = time.time()
+    assert stuffed_share("买" * 1_000_000) > 0.9
+    assert stuffed_share("\n".join(f"https://www.a{i}.example/{i} {words[i % 120] * 9}" for i in range(2000))) > 0.5
+    assert time.time() - began < 20
 
 
 def test_kinds_of_pages():
