@@ -89,22 +89,17 @@ def symbols(text: str) -> tuple[list, list[int]]:
     return out, sizes
 
 
-def suffix_automaton(s: list) -> tuple[int, list[int], list[int], list[int], list[int]]:
-    """(states, their suffix links, greatest lengths and first ends, the state of every prefix)."""
-    most = 2 * len(s) + 2
-    nxt: list = [None] * most
-    link, length, first = [0] * most, [0] * most, [-1] * most
-    nxt[0], link[0] = {}, -1
-    prefix = []
-    last = top = 0
-    i = -1
+def suffix_automaton(s: list) -> tuple[list[int], list[int], list[int]]:
+    """Suffix links, greatest lengths and first ends of the states: 0 is the empty one, 1 to n are the prefixes, clones follow."""
+    n = len(s)
+    nxt: list = [{} for _ in range(n + 1)]
+    link = [0] * (n + 1)
+    link[0] = -1
+    length = list(range(n + 1))
+    first = list(range(-1, n))
+    last = cur = 0
     for c in s:
-        i += 1
-        cur = top = top + 1
-        nxt[cur] = {}
-        length[cur] = i + 1
-        first[cur] = i
-        prefix.append(cur)
+        cur += 1
         p, last = last, cur
         t = nxt[p]
         while c not in t:
@@ -119,9 +114,11 @@ def suffix_automaton(s: list) -> tuple[int, list[int], list[int], list[int], lis
             if size == length[q]:
                 link[cur] = q
             else:
-                k = top = top + 1
-                nxt[k] = nxt[q].copy()
-                length[k], link[k], first[k] = size, link[q], first[q]
+                k = len(link)
+                nxt.append(nxt[q].copy())
+                length.append(size)
+                link.append(link[q])
+                first.append(first[q])
                 link[q] = link[cur] = k
                 t[c] = k
                 p = link[p]
@@ -131,23 +128,23 @@ def suffix_automaton(s: list) -> tuple[int, list[int], list[int], list[int], lis
                         break
                     t[c] = k
                     p = link[p]
-    return top + 1, link, length, first, prefix
+    return link, length, first
 
 
 def repeats(s: list, reach: float = REACH, long: int = LONG) -> tuple[list[int], list[int]]:
     """For every symbol the length of the longest dense substring that ends there, and of the longest dense or long one; 0 if there is none."""
-    states, link, length, first, prefix = suffix_automaton(s)
-    inner = set(link[1:states])  # the other states are the ends of one substring only
-    times, ends = [0] * states, first[:states]
-    for i, v in enumerate(prefix):
+    link, length, first = suffix_automaton(s)
+    inner = set(link)  # the other states are the ends of one substring only
+    inner.discard(-1)
+    times, ends = [0] * len(link), first[:]
+    for v, p in enumerate(link[1 : len(s) + 1], 1):
         if v in inner:
             times[v] += 1
-            if i > ends[v]:
-                ends[v] = i
+            if v > ends[v]:
+                ends[v] = v - 1
         else:
-            p = link[v]
             times[p] += 1
-            ends[p] = i
+            ends[p] = v - 1
     inner.discard(0)
     order = sorted(inner, key=length.__getitem__, reverse=True)
     for v in order:  # longer substrings before their suffixes
@@ -155,7 +152,7 @@ def repeats(s: list, reach: float = REACH, long: int = LONG) -> tuple[list[int],
         times[p] += times[v]
         if ends[v] > ends[p]:
             ends[p] = ends[v]
-    near, far = [0] * states, [0] * states
+    near, far = [0] * len(link), [0] * len(link)
     for v in reversed(order):
         n, size = times[v], length[v]
         if n < 3 or size < 2:
@@ -164,7 +161,8 @@ def repeats(s: list, reach: float = REACH, long: int = LONG) -> tuple[list[int],
             near[v] = far[v] = size
         else:
             near[v], far[v] = near[link[v]], size if size >= long else far[link[v]]
-    return [near[v] or near[link[v]] for v in prefix], [far[v] or far[link[v]] for v in prefix]
+    up = link[1 : len(s) + 1]
+    return [x or near[p] for x, p in zip(near[1:], up)], [x or far[p] for x, p in zip(far[1:], up)]  # noqa: B905
 
 
 def _spread(lengths: list[int]) -> list[bool]:
@@ -239,14 +237,23 @@ def stuffed_share(text: str) -> float:
     """Share of the characters of a page that lie in stuffed lines."""
     s, sizes = symbols(text)
     near, far = covered(s, text)
+    if True not in far:
+        return 0.0
     ends = [0, *accumulate(sizes)]
-    over = [[0, *accumulate(map(mul, sizes, x))] for x in ((near, far) if near != far else (near,))]
-    bare = bare_covered = stuffed = total = first = 0
+    over_near = [0, *accumulate(map(mul, sizes, near))]
+    over_far = [0, *accumulate(map(mul, sizes, far))] if near != far else over_near
+    lines = []
+    first = 0
     for last in [*[i for i, c in enumerate(s) if c == "\n"], len(s)]:
-        n, in_near, in_far = ends[last] - ends[first], over[0][last] - over[0][first], over[-1][last] - over[-1][first]
-        line, first = text[ends[first] : ends[last]], last + 1
-        if not n:
-            continue
+        if ends[last] > ends[first]:
+            lines.append((ends[first], ends[last], over_near[last] - over_near[first], over_far[last] - over_far[first]))
+        first = last + 1
+    # Where no line reaches a limit, no set of lines does.
+    if not any(a >= CLAUSE_COVER * (end - start) or b >= BARE_COVER * (end - start) for start, end, a, b in lines):
+        return 0.0
+    bare = bare_covered = stuffed = total = 0
+    for start, end, in_near, in_far in lines:
+        n, line = end - start, text[start:end]
         total += n
         if clause_share(line) < 0.5:
             bare += n
