@@ -3,12 +3,16 @@
 Each distinct value is brought to two forms in one vectorised pass:
 
 * `folded`: compatibility normalisation in composed form, full case folding,
-  every white space one blank, default-ignorable characters removed. Values
-  with different `folded` forms cannot look alike.
+  every white space one blank, default-ignorable characters removed: the form
+  to compare by where case and fonts don't matter.
 * `form`: the same, but what the eye can tell apart stays apart: case, raised,
   lowered, circled and squared characters, fractions, mathematical fonts.
   Letters and ideographs of the same shape become one. Two values look alike
-  exactly if their `form` is equal.
+  exactly if their `form` is equal; it decides finer than `folded`.
+
+Same shapes are listed for Greek, Cyrillic, Armenian and Cherokee letters, kana,
+phonetic signs and radicals against Latin letters and ideographs; other scripts
+keep their letters.
 
 Defined results: null gives null and is no look-alike of anything; an empty or
 invisible value gives an empty form; equal values are no pair; duplicate rows
@@ -26,6 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from glossmill.llm.pairing import named_pairs, pairs_within
+from glossmill.session import written
+
 # Default-ignorable code points of the Unicode standard.
 IGNORABLE = [
     (0x00AD, 0x00AD), (0x034F, 0x034F), (0x061C, 0x061C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F),
@@ -36,6 +43,7 @@ IGNORABLE = [
 SAME_SHAPE = (
     "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX οo νv ϲc ϳj ϹC "
     "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ХX ԚQ ԜW аa еe оo рp сc уy хx ѕs іi јj һh ԁd ԛq ԝw ӏl "
+    "օo հh ոn սu ցg ՕO ՍU ՏS ԼL ᎪA ᏴB ᏟC ᎠD ᎬE ᏀG ᎻH ᎥI ᎫJ ᏦK ᏞL ᎷM ᏢP ᏒR ᏚS ᎢT ᏙV ᎳW ᏃZ ѵv ѴV ԌG "
     "カ力 ロ口 エ工 タ夕 ト卜 ハ八 ニ二 ヘへ ー一 ㄧ一 ㄚ丫 ㄏ厂 ㄙ厶 ㄦ儿 ㄈ匚 ㄇ冂 ㄐ丩 ㇐一 ㇑丨 ㇠乙 "
     "⺟母 ⺠民 ⻁虎 ⻄西 ⻅见 ⻉贝 ⻋车 ⻑長 ⻓长 ⻔门 ⻘青 ⻙韦 ⻚页 ⻛风 ⻜飞 ⻝食 ⻢马 ⻤鬼 ⻥鱼 ⻨麦 ⻩黄 ⻬齐 ⻮齿 ⻰龙 ⻳龟"
 )
@@ -113,15 +121,10 @@ def look_alike_pairs(items: DataFrame) -> DataFrame:
     Classes are found on distinct values, keyed by 128-bit digests, so that
     copies of one value cost one row until the last join names their ids.
     """
-    keyed = items.withColumn("value_key", F.md5("value"))
-    values = consistent_forms(items, "value").select(
-        F.md5("value").alias("value_key"), F.md5("folded").alias("folded_key"), F.md5("form").alias("form_key")
-    )
-    members = keyed.select("field_name", "item_id", "value_key").join(values, "value_key")
-    distinct = members.select("field_name", "folded_key", "form_key", "value_key").distinct()
-    several = distinct.groupBy("field_name", "folded_key", "form_key").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    alike = members.join(several, ["field_name", "folded_key", "form_key"])
-    a = alike.select("field_name", "form_key", F.col("value_key").alias("value_a"), F.col("item_id").alias("a"))
-    b = alike.select("field_name", "form_key", F.col("value_key").alias("value_b"), F.col("item_id").alias("b"))
-    pairs = a.join(b, ["field_name", "form_key"]).filter((F.col("value_a") < F.col("value_b")) & (F.col("a") != F.col("b")))
-    return pairs.select("field_name", F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()
+    keyed = items.select("field_name", "item_id", F.md5("value").alias("value"))
+    forms = written(consistent_forms(items, "value").select(F.md5("value").alias("value"), F.md5("form").alias("form")))
+    # Only values of a form that others share can be in a pair.
+    shared = forms.join(forms.groupBy("form").agg(F.count("*").alias("n")).filter("n > 1").select("form"), "form")
+    members = written(keyed.join(shared, "value"))
+    pairs = pairs_within(members.select("field_name", "form", "value").distinct(), ["field_name", "form"], "value")
+    return named_pairs(pairs.drop("form"), members.drop("form"), ["field_name"])

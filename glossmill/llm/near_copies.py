@@ -6,18 +6,18 @@ three-character sequences of either that is in both.
 1. Exact copies (equal without white space) become one value.
 2. Each value gets 128 minimum hashes of its sequences; of these, one bit each
    makes a 128-bit sketch, and groups of `ROWS` make bucket keys.
-3. Rows are hashed to buckets and sorted by bucket. A block of buckets is laid
-   out vertically: one wide integer per bit of the sketch, one bit position per
-   row. For each distance d between rows, the planes are XORed with themselves
-   shifted by d, and carry-save adders count differing bits of all rows of the
-   block at once. Rows whose count passes the radius are masked out, and the
-   block is left as soon as no row remains.
-4. The pairs left are compared exactly, on the sets of sequences packed
-   without loss into longs.
-
-A bucket of more than `CHUNK` rows is cut into chunks by a hash of the value,
-and every pair of chunks becomes a block of its own: no task holds more than
-two chunks of a bucket, and no pair is lost. Two values of similarity 0.7 share
+3. Rows are hashed to buckets and sorted by bucket, in one shuffle. A block of
+   buckets is laid out vertically: one wide integer per bit of the sketch, one
+   bit position per row. For each distance d between rows, the planes are XORed
+   with themselves shifted by d, and carry-save adders count differing bits of
+   all rows of the block at once. Rows whose count passes the radius are masked
+   out, and the block is left as soon as no row remains.
+4. The pairs left are compared exactly, on the sets of sequences of their texts.
+
+Rows of a bucket of more than `CHUNK` rows are handed on as they stream by,
+without being gathered; they are cut into chunks by a hash of the value, and
+every pair of chunks becomes a block of its own: no task holds more than two
+chunks of a bucket, and no pair is lost. Two values of similarity 0.7 share
 no bucket with a probability of 0.015 %, and pass the radius all but with a
 probability of 2e-7; higher similarity makes both smaller.
 
@@ -35,7 +35,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
+from glossmill.llm.pairing import named_pairs
 from glossmill.session import written
 
 #: Hashes of a sketch, hashes of a bucket key, bits by which sketches may differ, rows of a bucket's chunk.
@@ -79,10 +81,7 @@ def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for k in range(ROWS):
                 keys = (keys ^ (low[:, k::ROWS] >> np.uint64(7))) * _MIX
                 keys ^= keys >> np.uint64(32)
-        yield pd.DataFrame({
-            "field_no": batch["field_no"], "value_id": batch["value_id"], "n": [len(s) for s in sets],
-            "s0": packed[:, 0], "s1": packed[:, 1], "grams": sets, "keys": list(keys.view(np.int64)),
-        })
+        yield pd.DataFrame({"value_id": batch["value_id"], "n": [len(s) for s in sets], "s0": packed[:, 0], "s1": packed[:, 1], "keys": list(keys.view(np.int64))})
 
 
 def _wide(column: np.ndarray) -> int:
@@ -152,39 +151,100 @@ def sliced_pairs(sketch: np.ndarray, sizes: np.ndarray, radius: int = RADIUS) ->
     return i[differing <= radius], j[differing <= radius]
 
 
-def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by block; whole blocks are compared together, the last waits for the next batch."""
+def _compared(rows: pd.DataFrame, block: list[str]) -> pd.DataFrame:
+    """(a, b) of the rows of each block, sorted by it, that are within the radius; in a block of two chunks only pairs across them."""
+    if not len(rows):
+        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    at = rows[block].to_numpy()
+    new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]).any(axis=1)])
+    sizes = np.diff(np.r_[new, len(rows)])
+    rows, sizes = rows[np.repeat(sizes > 1, sizes)], sizes[sizes > 1]
+    if not len(sizes):
+        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    order = np.argsort(-np.repeat(sizes, sizes), kind="stable")
+    rows, sizes = rows.iloc[order], -np.sort(-sizes)
+    i, j = sliced_pairs(rows[["s0", "s1"]].to_numpy(np.int64), sizes)
+    v, n = rows["value_id"].to_numpy(), rows["n"].to_numpy()
+    ok = (np.minimum(n[i], n[j]) >= 0.7 * np.maximum(n[i], n[j]) - 1e-9) & (v[i] != v[j])
+    if "part" in rows:
+        part, low, high = (rows[c].to_numpy() for c in ("part", "low", "high"))
+        ok &= (np.minimum(part[i], part[j]) == low[i]) & (np.maximum(part[i], part[j]) == high[i])
+    a, b = v[i[ok]], v[j[ok]]
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+
+_FOUND = "a long, b long, key long, n int, s0 long, s1 long"
+
+
+def _found(pairs: pd.DataFrame | None = None, held: pd.DataFrame | None = None) -> pd.DataFrame:
+    """Rows of `_FOUND`: pairs (n is 0), or rows of large buckets (a is the value) that are handed on."""
+    if held is None:
+        return pairs.assign(key=0, n=0, s0=0, s1=0)
+    return held.rename(columns={"value_id": "a"}).assign(b=0)[["a", "b", "key", "n", "s0", "s1"]]
+
+
+def _buckets(chunk: int):
+    """Rows sorted by key; whole buckets are compared together, the last one waits for the next batch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest, large = None, None
+        for batch in batches:
+            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            rest = None
+            key = rows["key"].to_numpy()
+            if large is not None and len(rows):
+                other = key != large
+                more = int(np.argmax(other)) if other.any() else len(key)
+                yield _found(held=rows.iloc[:more])
+                rows, key = rows.iloc[more:], key[more:]
+            if not len(rows):
+                continue
+            large = None
+            cut = int(np.argmax(key == key[-1]))
+            rest, done = rows.iloc[cut:].reset_index(drop=True), rows.iloc[:cut]
+            if cut:
+                size = done.groupby("key")["key"].transform("size").to_numpy()
+                if (size > chunk).any():
+                    yield _found(held=done[size > chunk])
+                yield _found(_compared(done[size <= chunk], ["key"]))
+            if len(rest) > chunk:
+                large = rest["key"].iat[0]
+                yield _found(held=rest)
+                rest = None
+        if rest is not None:
+            yield _found(_compared(rest, ["key"]))
+
+    return run
+
+
+def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by (key, low, high): every block holds the rows of one or two chunks of a bucket."""
+    block = ["key", "low", "high"]
     rest: pd.DataFrame | None = None
-
-    def compared(rows: pd.DataFrame) -> pd.DataFrame:
-        block = rows[["key", "low", "high"]].to_numpy()
-        new = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]).any(axis=1)])
-        sizes = np.diff(np.r_[new, len(rows)])
-        keep = np.repeat(sizes > 1, sizes)
-        rows, sizes = rows[keep], sizes[sizes > 1]
-        if not len(sizes):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        order = np.argsort(-np.repeat(sizes, sizes), kind="stable")
-        rows, sizes = rows.iloc[order], -np.sort(-sizes)
-        i, j = sliced_pairs(rows[["s0", "s1"]].to_numpy(np.int64), sizes)
-        v, n, part = (rows[c].to_numpy() for c in ("value_id", "n", "part"))
-        low, high = rows["low"].to_numpy(), rows["high"].to_numpy()
-        most, least = np.maximum(n[i], n[j]), np.minimum(n[i], n[j])
-        mine = (np.minimum(part[i], part[j]) == low[i]) & (np.maximum(part[i], part[j]) == high[i])
-        ok = (least >= 0.7 * most - 1e-9) & mine & (v[i] != v[j])
-        a, b = v[i[ok]], v[j[ok]]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-
     for batch in batches:
         rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-        block = rows[["key", "low", "high"]].to_numpy()
-        last = np.flatnonzero((block != block[-1]).any(axis=1)) if len(rows) else []
+        if not len(rows):
+            continue
+        at = rows[block].to_numpy()
+        last = np.flatnonzero((at != at[-1]).any(axis=1))
         cut = int(last[-1]) + 1 if len(last) else 0
-        rest = rows.iloc[cut:]
+        rest = rows.iloc[cut:].reset_index(drop=True)
         if cut:
-            yield compared(rows.iloc[:cut])
+            yield _compared(rows.iloc[:cut], block)
     if rest is not None and len(rest):
-        yield compared(rest)
+        yield _compared(rest, block)
+
+
+@F.pandas_udf(DoubleType())
+def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Share of the distinct sequences of either text that are in both."""
+
+    def one(x: str, y: str) -> float:
+        x, y = grams(x), grams(y)
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        return common / (len(x) + len(y) - common)
+
+    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
 def close_values(values: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -194,22 +254,21 @@ def close_values(values: DataFrame, threshold: float = 0.7) -> DataFrame:
     """
     if threshold < 0.7:
         raise ValueError("buckets and radius are laid out for a similarity of 0.7 or more")
-    made = written(values.mapInPandas(_sketches, "field_no int, value_id long, n int, s0 long, s1 long, grams array<long>, keys array<long>"))
-    rows = made.select("value_id", "n", "s0", "s1", F.explode("keys").alias("key"))
-    large = rows.groupBy("key").count().filter(F.col("count") > CHUNK)
-    parts = F.coalesce(F.ceil(F.col("count") / CHUNK), F.lit(1)).cast("int")
-    rows = rows.join(large, "key", "left").withColumn("parts", parts).drop("count")
-    rows = rows.withColumn("part", F.pmod(F.hash("value_id"), "parts").cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "value_id", "n", "s0", "s1")
-    near = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInPandas(_blocks, "a long, b long").distinct()
-    sets = made.select("field_no", F.col("value_id"), "grams")
-    a = sets.select("field_no", F.col("value_id").alias("a"), F.col("grams").alias("of_a"))
-    b = sets.select(F.col("field_no").alias("field_b"), F.col("value_id").alias("b"), F.col("grams").alias("of_b"))
-    both = near.join(a, "a").join(b, "b").filter(F.col("field_no") == F.col("field_b"))
-    both = both.withColumn("common", F.size(F.array_intersect("of_a", "of_b")))
-    either = F.size("of_a") + F.size("of_b") - F.col("common")
-    return both.filter(F.col("common") >= F.lit(threshold) * either - 1e-9).select("field_no", "a", "b")
+    made = values.mapInPandas(_sketches, "value_id long, n int, s0 long, s1 long, keys array<long>")
+    rows = made.select(F.explode("keys").alias("key"), "value_id", "n", "s0", "s1")
+    found = written(rows.repartition("key").sortWithinPartitions("key").mapInPandas(_buckets(CHUNK), _FOUND))
+    near, large = found.filter("n = 0").select("a", "b"), found.filter("n > 0").withColumnRenamed("a", "value_id")
+    if large.limit(1).count():
+        parts = large.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
+        large = large.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("value_id"), F.col("parts")).cast("int"))
+        large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        large = large.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "value_id", "n", "s0", "s1")
+        block = ["key", "low", "high"]
+        near = near.unionByName(large.repartition(*block).sortWithinPartitions(*block).mapInPandas(_chunks, "a long, b long"))
+    a = values.select("field_no", F.col("value_id").alias("a"), F.col("value").alias("of_a"))
+    b = values.select(F.col("field_no").alias("field_b"), F.col("value_id").alias("b"), F.col("value").alias("of_b"))
+    both = near.distinct().join(a, "a").join(b, "b").filter(F.col("field_no") == F.col("field_b"))
+    return both.filter(similarity("of_a", "of_b") >= threshold - 1e-9).select("field_no", "a", "b")
 
 
 def numbered_values(items: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -234,24 +293,21 @@ def near_copy_pairs(items: DataFrame, fields: list[str], threshold: float = 0.7)
     close = close_values(values, threshold)
     shared = members.groupBy("field_no", "value_id").agg(F.count("*").alias("n")).filter("n > 1")
     pairs = close.unionByName(shared.select("field_no", F.col("value_id").alias("a"), F.col("value_id").alias("b")))
-    a = members.select(F.col("value_id").alias("a"), F.col("item_id").alias("item_a"))
-    b = members.select(F.col("value_id").alias("b"), F.col("item_id").alias("item_b"))
-    named = pairs.join(a, "a").join(b, "b").filter((F.col("a") != F.col("b")) | (F.col("item_a") < F.col("item_b")))
-    named = named.filter(F.col("item_a") != F.col("item_b"))
+    named = named_pairs(pairs, members.withColumnRenamed("value_id", "value"), ["field_no"])
     name = F.array(*map(F.lit, fields))[F.col("field_no") - 1]
-    return named.select(name.alias("field_name"), F.least("item_a", "item_b").alias("id_a"), F.greatest("item_a", "item_b").alias("id_b")).distinct()
+    return named.select(name.alias("field_name"), "id_a", "id_b")
 
 
-def components(nodes: DataFrame, links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, label): the smallest node id of each connected component.
 
     Each round every node takes the smallest label among its own and its
     neighbours', then the label's label; written to the shared folder per
-    round, until nothing changes.
+    round, until nothing changes: labels only fall, so it ends.
     """
     both = written(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
     labels = written(nodes.select("node", F.col("node").alias("label")))
-    for _ in range(most_rounds):
+    while True:
         seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(seen, labels["node"] == seen["a"], "left")
         step = step.select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("next"))
@@ -261,7 +317,6 @@ def components(nodes: DataFrame, links: DataFrame, most_rounds: int = 60) -> Dat
         if not labels.filter("label != old").limit(1).count():
             return labels.select("node", "label")
         labels = labels.select("node", "label")
-    raise RuntimeError(f"components did not settle within {most_rounds} rounds")
 
 
 def near_copy_groups(items: DataFrame, fields: list[str], threshold: float = 0.7) -> DataFrame:

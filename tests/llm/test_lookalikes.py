@@ -28,6 +28,15 @@ def test_pairs_against_brute_force_with_dirt(spark):
     assert got == want and ("a", "b") in got and ("a", "d") not in got and ("f", "g") in got
 
 
+def test_hot_values_and_classes_are_split_without_loss(spark, monkeypatch):
+    rows = [(f"{i:03d}", "喜丹 3" if i % 3 else "喜丹" + "　" * (i % 5) + " 3") for i in range(60)] + [(f"x{i}", "喜丹 3" + "\u200b" * i) for i in range(12)]
+    items = records(spark.createDataFrame(rows, "id string, text string"), "f", "id", "text")
+    whole = {tuple(r) for r in look_alike_pairs(items).collect()}
+    want = {("f", min(a, b), max(a, b)) for (a, x), (b, y) in itertools.combinations(rows, 2) if x != y and look_form(x) == look_form(y)}
+    monkeypatch.setattr("glossmill.llm.pairing.CHUNK", 4)
+    assert whole == want == {tuple(r) for r in look_alike_pairs(items).collect()}
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "id string, text string")
     assert look_alike_pairs(records(df, "f", "id", "text")).count() == 0

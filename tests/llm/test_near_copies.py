@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 
 from glossmill.llm import near_copies as nc
 from glossmill.llm.lookalikes import records
@@ -54,9 +55,20 @@ def test_large_buckets_are_cut_without_loss(spark, monkeypatch):
     items = records(spark.createDataFrame(rows, "id string, text string"), "f", "id", "text")
     whole = {tuple(r) for r in nc.near_copy_pairs(items, ["f"]).collect()}
     monkeypatch.setattr(nc, "CHUNK", 2)
+    monkeypatch.setattr("glossmill.llm.pairing.CHUNK", 2)
     assert {tuple(r) for r in nc.near_copy_pairs(items, ["f"]).collect()} == whole
 
 
+def test_a_bucket_that_spans_batches_is_handed_on_whole():
+    rng = np.random.default_rng(2)
+    rows = pd.DataFrame({"key": np.repeat([1, 2, 3, 4], [2, 25, 3, 9]), "value_id": np.arange(39), "n": 50, "s0": rng.integers(0, 9, 39), "s1": 0})
+    for size in (1, 4, 7, 39):
+        out = pd.concat(nc._buckets(8)(iter([rows.iloc[k : k + size].reset_index(drop=True) for k in range(0, 39, size)])))
+        held, pairs = out[out["n"] > 0], out[out["n"] == 0]
+        assert sorted(held["a"]) == [*range(2, 27), *range(30, 39)]
+        assert len(pairs) == 1 + 3 and pairs["a"].isin([0, 27, 28]).all()
+
+
 def test_groups(spark):
     chain = "".join(chr(0x4E00 + i) for i in range(200))
     rows = [("a", chain[0:100]), ("b", chain[8:108]), ("c", chain[16:116]), ("d", chain[0:100]), ("e", "另一篇完全不同的文字"), ("f", None)]
