@@ -19,7 +19,7 @@ without being gathered; they are cut into chunks by a hash of the value, and
 every pair of chunks becomes a block of its own: no task holds more than two
 chunks of a bucket, and no pair is lost. Two values of similarity 0.7 share
 no bucket with a probability of 0.015 %, and pass the radius all but with a
-probability of 2e-7; higher similarity makes both smaller.
+probability of 0.004 %; higher similarity makes both smaller.
 
 Defined results: nulls are no records; texts of fewer than three characters are
 like equal texts only; an id is never paired with itself; duplicate rows count
@@ -30,6 +30,7 @@ results.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -41,29 +42,37 @@ from glossmill.llm.pairing import named_pairs
 from glossmill.session import written
 
 #: Hashes of a sketch, hashes of a bucket key, bits by which sketches may differ, rows of a bucket's chunk.
-HASHES, ROWS, RADIUS, CHUNK = 128, 4, 40, 4096
+HASHES, ROWS, RADIUS, CHUNK = 128, 4, 36, 4096
+#: Sequences that are hashed at once.
+AT_ONCE = 512
 _RNG = np.random.default_rng(7)
 _MUL = _RNG.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, HASHES, dtype=np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def grams(text: str) -> np.ndarray:
-    """The distinct three-character sequences, 21 bits a character; a shorter text is one sequence."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    if len(codes) < 3:
-        codes = np.concatenate([codes, np.full(3 - len(codes), 0x1FFFFF, np.int64)])
-    return np.unique((codes[:-2] << 42) | (codes[1:-1] << 21) | codes[2:])
-
-
-def minimum_hashes(sequences: np.ndarray) -> np.ndarray:
-    """HASHES minimum hashes of a set, in pieces of bounded size."""
-    x = sequences.astype(np.uint64)
+def minimum_hashes(texts: list[str]) -> np.ndarray:
+    """HASHES minimum hashes of the sequences of each text, for groups of texts at once and for long texts in pieces."""
+    texts = [x.ljust(3, "\U0010ffff") for x in texts]
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    ends = np.cumsum([len(x) for x in texts])
+    inside = np.ones(len(codes) - 2, bool)  # sequences that reach over an end belong to no text
+    inside[ends[:-1] - 1] = inside[ends[:-1] - 2] = False
+    x = ((codes[:-2] << np.uint64(42)) | (codes[1:-1] << np.uint64(21)) | codes[2:])[inside]
     x = (x ^ (x >> np.uint64(31))) * _MIX
     x ^= x >> np.uint64(29)
-    low = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(x), 4096):
-        low = np.minimum(low, (x[at : at + 4096, None] * _MUL + _ADD).min(axis=0))
+    stop = ends - 2 * np.arange(1, len(texts) + 1)
+    start = np.r_[0, stop[:-1]]
+    low = np.empty((len(texts), HASHES), np.uint64)
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(stop, start[first] + AT_ONCE, side="right")))
+        if last == first + 1:
+            pieces = [(x[k : min(k + AT_ONCE, stop[first]), None] * _MUL + _ADD).min(axis=0) for k in range(start[first], stop[first], AT_ONCE)]
+            low[first] = np.minimum.reduce(pieces)
+        else:
+            low[first:last] = np.minimum.reduceat(x[start[first] : stop[last - 1], None] * _MUL + _ADD, start[first:last] - start[first], axis=0)
+        first = last
     return low
 
 
@@ -72,8 +81,7 @@ def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         if not len(batch):
             continue
-        sets = [grams(t) for t in batch["value"]]
-        low = np.stack([minimum_hashes(s) for s in sets])
+        low = minimum_hashes(batch["value"].tolist())
         bits = (low * _MIX) >> np.uint64(63)
         packed = np.packbits(bits.astype(np.uint8), axis=1, bitorder="little").view(np.int64)
         with np.errstate(over="ignore"):
@@ -81,7 +89,7 @@ def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for k in range(ROWS):
                 keys = (keys ^ (low[:, k::ROWS] >> np.uint64(7))) * _MIX
                 keys ^= keys >> np.uint64(32)
-        yield pd.DataFrame({"value_id": batch["value_id"], "n": [len(s) for s in sets], "s0": packed[:, 0], "s1": packed[:, 1], "keys": list(keys.view(np.int64))})
+        yield pd.DataFrame({"value_id": batch["value_id"], "s0": packed[:, 0], "s1": packed[:, 1], "keys": list(keys.view(np.int64))})
 
 
 def _wide(column: np.ndarray) -> int:
@@ -164,8 +172,8 @@ def _compared(rows: pd.DataFrame, block: list[str]) -> pd.DataFrame:
     order = np.argsort(-np.repeat(sizes, sizes), kind="stable")
     rows, sizes = rows.iloc[order], -np.sort(-sizes)
     i, j = sliced_pairs(rows[["s0", "s1"]].to_numpy(np.int64), sizes)
-    v, n = rows["value_id"].to_numpy(), rows["n"].to_numpy()
-    ok = (np.minimum(n[i], n[j]) >= 0.7 * np.maximum(n[i], n[j]) - 1e-9) & (v[i] != v[j])
+    v = rows["value_id"].to_numpy()
+    ok = v[i] != v[j]
     if "part" in rows:
         part, low, high = (rows[c].to_numpy() for c in ("part", "low", "high"))
         ok &= (np.minimum(part[i], part[j]) == low[i]) & (np.maximum(part[i], part[j]) == high[i])
@@ -173,14 +181,14 @@ def _compared(rows: pd.DataFrame, block: list[str]) -> pd.DataFrame:
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
 
-_FOUND = "a long, b long, key long, n int, s0 long, s1 long"
+_FOUND = "a long, b long, held boolean, key long, s0 long, s1 long"
 
 
 def _found(pairs: pd.DataFrame | None = None, held: pd.DataFrame | None = None) -> pd.DataFrame:
-    """Rows of `_FOUND`: pairs (n is 0), or rows of large buckets (a is the value) that are handed on."""
+    """Rows of `_FOUND`: pairs, or rows of large buckets (a is the value) that are handed on."""
     if held is None:
-        return pairs.assign(key=0, n=0, s0=0, s1=0)
-    return held.rename(columns={"value_id": "a"}).assign(b=0)[["a", "b", "key", "n", "s0", "s1"]]
+        return pairs.assign(held=False, key=0, s0=0, s1=0)
+    return held.rename(columns={"value_id": "a"}).assign(b=0, held=True)[["a", "b", "held", "key", "s0", "s1"]]
 
 
 def _buckets(chunk: int):
@@ -235,16 +243,22 @@ def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _compared(rest, block)
 
 
+@lru_cache(maxsize=2048)
+def sequences(text: str) -> frozenset[str]:
+    """The distinct three-character sequences; a shorter text is one sequence."""
+    return frozenset(map("".join, zip(text, text[1:], text[2:]))) or frozenset((text,))  # noqa: B905
+
+
 @F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of the distinct sequences of either text that are in both."""
 
     def one(x: str, y: str) -> float:
-        x, y = grams(x), grams(y)
-        common = len(np.intersect1d(x, y, assume_unique=True))
+        x, y = sequences(x), sequences(y)
+        common = len(x & y)
         return common / (len(x) + len(y) - common)
 
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    return pd.Series(map(one, a, b), dtype="float64")
 
 
 def close_values(values: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -254,15 +268,15 @@ def close_values(values: DataFrame, threshold: float = 0.7) -> DataFrame:
     """
     if threshold < 0.7:
         raise ValueError("buckets and radius are laid out for a similarity of 0.7 or more")
-    made = values.mapInPandas(_sketches, "value_id long, n int, s0 long, s1 long, keys array<long>")
-    rows = made.select(F.explode("keys").alias("key"), "value_id", "n", "s0", "s1")
+    made = values.mapInPandas(_sketches, "value_id long, s0 long, s1 long, keys array<long>")
+    rows = made.select(F.explode("keys").alias("key"), "value_id", "s0", "s1")
     found = written(rows.repartition("key").sortWithinPartitions("key").mapInPandas(_buckets(CHUNK), _FOUND))
-    near, large = found.filter("n = 0").select("a", "b"), found.filter("n > 0").withColumnRenamed("a", "value_id")
+    near, large = found.filter("not held").select("a", "b"), found.filter("held").withColumnRenamed("a", "value_id")
     if large.limit(1).count():
         parts = large.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
         large = large.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("value_id"), F.col("parts")).cast("int"))
         large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        large = large.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "value_id", "n", "s0", "s1")
+        large = large.select("key", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "value_id", "s0", "s1")
         block = ["key", "low", "high"]
         near = near.unionByName(large.repartition(*block).sortWithinPartitions(*block).mapInPandas(_chunks, "a long, b long"))
     a = values.select("field_no", F.col("value_id").alias("a"), F.col("value").alias("of_a"))

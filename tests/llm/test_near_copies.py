@@ -10,7 +10,8 @@ from glossmill.llm.lookalikes import records
 
 
 def similarity(a, b):
-    x, y = (set(nc.grams(re.sub(r"\s+", "", t)).tolist()) for t in (a, b))
+    x, y = (re.sub(r"\s+", "", t) for t in (a, b))
+    x, y = ({t[i : i + 3] for i in range(max(1, len(t) - 2))} for t in (x, y))
     return len(x & y) / len(x | y)
 
 
@@ -37,6 +38,14 @@ def test_pairs_against_brute_force(spark):
     assert got == want and ("z1", "z2") in got and ("z5", "z6") in got and ("z1", "z3") not in got
 
 
+def test_minimum_hashes_of_texts_of_any_length():
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcd𢌱") for _ in range(n)) for n in (0, 1, 2, 3, 4, 700, 5, 3000, 40, 1024, 1026, 1)]
+    alone = np.stack([nc.minimum_hashes([t])[0] for t in texts])
+    assert (nc.minimum_hashes(texts) == alone).all()
+    assert (nc.minimum_hashes(["abcabcabc"]) == nc.minimum_hashes(["abcabc"])).all() and (nc.minimum_hashes(["abc"]) != nc.minimum_hashes(["abd"])).any()
+
+
 def test_sliced_distances_are_exact():
     rng = np.random.default_rng(1)
     sizes = np.array([90, 40, 7, 3, 2, 2])
@@ -61,10 +70,10 @@ def test_large_buckets_are_cut_without_loss(spark, monkeypatch):
 
 def test_a_bucket_that_spans_batches_is_handed_on_whole():
     rng = np.random.default_rng(2)
-    rows = pd.DataFrame({"key": np.repeat([1, 2, 3, 4], [2, 25, 3, 9]), "value_id": np.arange(39), "n": 50, "s0": rng.integers(0, 9, 39), "s1": 0})
+    rows = pd.DataFrame({"key": np.repeat([1, 2, 3, 4], [2, 25, 3, 9]), "value_id": np.arange(39), "s0": rng.integers(0, 9, 39), "s1": 0})
     for size in (1, 4, 7, 39):
         out = pd.concat(nc._buckets(8)(iter([rows.iloc[k : k + size].reset_index(drop=True) for k in range(0, 39, size)])))
-        held, pairs = out[out["n"] > 0], out[out["n"] == 0]
+        held, pairs = out[out["held"]], out[~out["held"]]
         assert sorted(held["a"]) == [*range(2, 27), *range(30, 39)]
         assert len(pairs) == 1 + 3 and pairs["a"].isin([0, 27, 28]).all()
 
