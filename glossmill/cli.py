@@ -7,11 +7,11 @@ import json
 
 from pyspark.sql import functions as F
 
-from glossmill.config import DOMAIN, checked_limit
-from glossmill.operators import store, textindex
-from glossmill.operators.planner import cited_answers
+from glossmill.config import checked_limit
+from glossmill.operators.planner import cited_answers, run_plan
+from glossmill.operators.queries import query_terms
 from glossmill.plans import common, quality, retrieval
-from glossmill.session import session, table
+from glossmill.session import session
 
 COMMANDS = {"stats": quality.a1_store_counts, "doctor": quality.d2_mapping_audit, "evaluate": retrieval.e2_mean_metrics}
 
@@ -21,6 +21,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("folder")
     parser.add_argument("command", choices=[*COMMANDS, "search", "answer"])
     parser.add_argument("--query", default="")
+    parser.add_argument("--mode", default="hybrid", choices=[*retrieval.MODES, "hybrid"])
     parser.add_argument("--limit", type=int, default=8)
     a = parser.parse_args(argv)
     limit = checked_limit(a.limit)
@@ -28,10 +29,16 @@ def main(argv: list[str] | None = None) -> None:
     if a.command in COMMANDS:
         rows = COMMANDS[a.command](spark, a.folder)
     else:
-        q = spark.createDataFrame([("q", a.query)], "query_id string, query string").withColumn("terms", textindex.query_terms(F.col("query"), DOMAIN.scaffold))
-        p = store.live_paragraphs(table(spark, a.folder, "paragraphs"))
-        found = textindex.text_channel(p, "paragraph_id", "text", q, limit)
-        rows = cited_answers(q, found, p) if a.command == "answer" else found.join(p.select(F.col("paragraph_id").alias("row_id"), "title", "page_start", common.T.quote(F.col("text")).alias("quote")), "row_id").orderBy("rank")
+        q = spark.createDataFrame([("q", a.query)], "query_id string, query string")
+        q = q.join(query_terms(q, common.lexicon(spark, a.folder)), "query_id")
+        p = common.paragraphs(spark, a.folder)
+        if a.command == "answer":
+            plan = retrieval.plan_of(spark, a.folder, q)
+            fused = run_plan(plan, lambda x, n: retrieval.search(spark, a.folder, a.mode, x, n), limit, common.lexicon(spark, a.folder))
+            rows = cited_answers(q, fused.select("query_id", "row_id", "rank"), p)
+        else:
+            shown = p.select(F.col("paragraph_id").alias("row_id"), "title", "page_start", common.T.quote(F.col("text")).alias("quote"))
+            rows = retrieval.search(spark, a.folder, a.mode, q, limit).join(shown, "row_id").orderBy("rank")
     for line in rows.toJSON().take(max(limit, 100)):
         print(json.dumps(json.loads(line), ensure_ascii=False))
 

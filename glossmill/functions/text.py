@@ -18,6 +18,11 @@ def one_spaced(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at the ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def without_space(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\s+", "")
 
@@ -90,16 +95,64 @@ def ngrams(text: Column, n: int = 3) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"(?s)(?![\x{{DC00}}-\x{{DFFF}}])(?=(.{{{n}}}))"), F.lit(1)))
 
 
-def public_path(path: Column) -> Column:
-    """A path without private parts: decoded; absolute, drive, scheme and upward paths leave their file name only."""
-    decoded = path
-    for _ in range(3):
-        decoded = F.coalesce(F.try_url_decode(decoded), decoded)
+def folded(text: Column, scripts: tuple[str, str]) -> Column:
+    """Lower case in one script: characters of the first string become those of the second."""
+    return F.lower(F.translate(text, *scripts))
+
+
+def script_variants(term: Column, scripts: tuple[str, str], most: int = 8) -> Column:
+    """The term as it may be written in the other script: the first `most` combinations of the forms of its characters."""
+    forms: dict[str, list[str]] = {}
+    for other, plain in zip(*scripts, strict=True):
+        forms.setdefault(plain, []).append(other)
+    table = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for pair in forms.items() for x in pair])
+    chars = F.filter(F.split(term, ""), lambda c: c != "")
+    grown = lambda s, c: F.slice(F.flatten(F.transform(s, lambda p: F.transform(F.coalesce(table[c], F.array(c)), lambda f: F.concat(p, f)))), 1, most)
+    return F.aggregate(chars, F.array(F.lit("")), grown)
+
+
+def source_noise(text: Column) -> Column:
+    """Whether a text is a table of contents or stutters."""
+    return leaders(text) | repeated_phrase(text)
+
+
+def clean_source(text: Column, least: int = 12) -> Column:
+    """Whether a text is long enough and free of noise."""
+    spaced = one_spaced(text)
+    return (F.length(spaced) >= least) & ~source_noise(spaced)
+
+
+def without_page_head(text: Column, mark: str | None = None) -> Column:
+    """One-spaced text without the given mark (a pattern) and page number before its first ideograph."""
+    text = one_spaced(text)
+    if mark:
+        text = F.regexp_replace(text, f"^(?:{mark})", "")
+    return F.trim(F.regexp_replace(text, r"^\d{1,4}(?=[一-鿿])", ""))
+
+
+def public_path(path: Column, rounds: int = 8) -> Column:
+    """A path without private parts.
+
+    It is decoded until nothing changes, in at most `rounds` rounds; what is
+    still encoded then leaves no name at all. Absolute, drive, scheme and
+    upward paths, paths of a home folder, and those in which decoding brought
+    separators, queries or fragments to light leave their file name only.
+    """
+    decode = lambda p, _: F.coalesce(F.try_url_decode(F.regexp_replace(p, r"\+", "%2B")), p)
+    decoded = F.aggregate(F.array_repeat(F.lit(0), rounds), path, decode)
+    # An array of one element names the decoded path, so that it is made once.
+    return F.get(F.transform(F.array(decoded), lambda d: _shown(path, d)), F.lit(0))
+
+
+def _shown(path: Column, decoded: Column) -> Column:
     slashed = F.regexp_replace(F.trim(decoded), r"\\", "/")
-    name = F.regexp_extract(slashed, r"([^/]*)/*$", 1)
+    name = F.regexp_extract(F.regexp_replace(slashed, r"[?#].*$", ""), r"([^/]*)/*$", 1)
+    name = F.regexp_replace(F.regexp_replace(name, r"\p{Cntrl}", ""), r"^[._ ]+", "")
     tidy = F.regexp_replace(F.regexp_replace(slashed, r"^(?:\./+)+", ""), r"/(?:\./+|/+)", "/")
-    unsafe = slashed.rlike(r"^/|^[A-Za-z]:|^[A-Za-z][A-Za-z0-9+.-]*:|^~|(?:^|/)\.\.(?:/|$)")
-    return F.when(path.isNull() | (name == ""), F.lit("")).when(unsafe, F.concat(F.lit("pdfs/"), name)).otherwise(tidy)
+    brought = (F.length(F.regexp_replace(decoded, r"[^/\\]", "")) > F.length(F.regexp_replace(path, r"[^/\\]", "")))
+    unsafe = brought | slashed.rlike(r"^/|^[A-Za-z]:|^[A-Za-z][A-Za-z0-9+.-]*:|(?:^|/)~|(?:^|/)\.\.(?:/|$)|[?#\x00-\x1f]")
+    out = F.when(decoded.rlike("%[0-9A-Fa-f]{2}"), F.lit("pdfs/source.pdf")).when(unsafe, F.concat(F.lit("pdfs/"), F.when(name == "", "source.pdf").otherwise(name)))
+    return F.when(path.isNull() | (F.trim(path) == ""), F.lit("")).otherwise(out.otherwise(tidy))
 
 
 def citation(path: Column, first: Column, last: Column) -> Column:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -27,13 +31,28 @@ def embedding_tokens(text: Column) -> Column:
     return F.concat(words, *grams)
 
 
-def sparse_embedding(df: DataFrame, row_id: str, text: str, dims: int = 2048) -> DataFrame:
+@F.pandas_udf(LongType())
+def _blake_low(tokens: pd.Series) -> pd.Series:
+    """The lower 32 bits of the digest, which is read with its first byte as the highest."""
+    return tokens.map(lambda x: int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest()[4:], "big"))
+
+
+def token_dim(token: Column, dims: int, digest: str = "md5") -> Column:
+    """The component of a token: by MD5 in the JVM, or by 64-bit BLAKE2b in batches, which SQL can't repeat."""
+    if digest == "blake2b":
+        if dims & (dims - 1) or dims < 2:
+            raise ValueError("dims must be a power of two")
+        low = F.pmod(_blake_low(token), F.lit(dims))
+        return low.cast("int")
+    return F.pmod(F.conv(F.left(F.md5(token), F.lit(15)), 16, 10).cast("long"), F.lit(dims)).cast("int")
+
+
+def sparse_embedding(df: DataFrame, row_id: str, text: str, dims: int = 2048, digest: str = "md5") -> DataFrame:
     """(row_id, dim, value): hashed token counts at length 1, one row per component."""
     token = df.select(row_id, F.explode(embedding_tokens(F.col(text))).alias("token"))
-    dim = F.pmod(F.conv(F.left(F.md5("token"), F.lit(15)), 16, 10).cast("long"), F.lit(dims)).cast("int")
-    counts = token.groupBy(row_id, dim.alias("dim")).agg(F.count("*").alias("n"))
-    norm = counts.groupBy(row_id).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    return counts.join(norm, row_id).select(row_id, "dim", (F.col("n") / F.col("norm")).alias("value"))
+    counts = token.groupBy(row_id, token_dim(F.col("token"), dims, digest).alias("dim")).agg(F.count("*").alias("n"))
+    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(row_id)))
+    return counts.select(row_id, "dim", (F.col("n") / norm).alias("value"))
 
 
 def sparse_dot(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -8,15 +8,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossmill.config import DOMAIN, Domain
-from glossmill.functions.text import any_of, longest_terms, measures, quote, sentences, stable_id
+from glossmill.functions.text import any_of, clean_source, folded, longest_terms, measures, one_spaced, quote, sentences, source_noise, stable_id, without_page_head
+from glossmill.operators.textindex import TextIndex, best, bm25, build_index, term_rows
+from glossmill.operators.units import preparations
 
 
 def extract(paragraphs: DataFrame, domain: Domain = DOMAIN) -> DataFrame:
     """Knowledge units of paragraphs(paragraph_id, doc_id, text): one row per sentence, rule and subject."""
     s = paragraphs.filter(F.col("text").isNotNull()).select("paragraph_id", "doc_id", F.explode(sentences(F.col("text"), domain.sentence_marks)).alias("sentence"))
-    formulas = F.array_distinct(F.regexp_extract_all("sentence", F.lit(rf"[一-鿿]{{2,7}}?[{''.join(domain.formula_suffixes)}]"), F.lit(0)))
-    s = s.withColumn("formulas", formulas).withColumn("amounts", measures(F.col("sentence"), domain.measure))
-    s = s.withColumn("symptoms", longest_terms(F.col("sentence"), domain.symptom_terms))
+    s = s.withColumn("formulas", preparations(F.col("sentence"), domain)).withColumn("amounts", measures(F.col("sentence"), domain.measure))
+    s = s.withColumn("symptoms", longest_terms(F.col("sentence"), domain.vocabularies["sign"]))
     none = F.array().cast("array<string>")
     rules = [
         ("dosage", "has_dosage", 0.86, F.size("amounts") > 0, F.slice("formulas", 1, 1), F.array_join("amounts", "、")),
@@ -36,22 +37,30 @@ def extract(paragraphs: DataFrame, domain: Domain = DOMAIN) -> DataFrame:
     return units.withColumn("knowledge_unit_id", unit_id).dropDuplicates(["knowledge_unit_id"])
 
 
-def knowledge_scores(units: DataFrame, queries: DataFrame) -> DataFrame:
+def knowledge_index(units: DataFrame, domain: Domain = DOMAIN) -> TextIndex:
+    """The index over all that a knowledge unit says."""
+    return build_index(units, "knowledge_unit_id", ["subject", "predicate", "object", "evidence_quote", "unit_type"], domain)
+
+
+def knowledge_scores(index: TextIndex, units: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, paragraph_id, score, n_units): paragraphs by the terms that their units contain.
 
-    queries: query_id, terms. Terms meet units by an equi-join on their first
-    three characters among the trigrams of the unit, then by containment.
+    queries: query_id, terms. The greater of 0.62 + 0.08 a matched term + 0.14
+    if all match + 0.08 for units of the strong types, and of 0.55 + 0.25 (1 - i
+    / n) for place i of the n <= 200 units with a term of three characters or
+    more, in the order of document, page and id.
     """
-    fields = F.concat_ws("\n", "subject", "predicate", "object", "evidence_quote", "unit_type")
-    hay = units.select("knowledge_unit_id", "paragraph_id", "unit_type", F.lower(fields).alias("hay")).distinct()
-    asked = queries.select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term")).filter(F.length("term") >= 3)
-    asked = asked.withColumn("gram", F.left("term", F.lit(3)))
-    grams = hay.select("knowledge_unit_id", F.explode(F.array_distinct(F.regexp_extract_all("hay", F.lit(r"(?s)(?=(.{3}))"), F.lit(1)))).alias("gram"))
-    near = grams.join(F.broadcast(asked.select("gram").distinct()), "gram", "left_semi").join(asked, "gram").join(hay, "knowledge_unit_id").filter(F.contains("hay", "term"))
-    per = near.groupBy("query_id", "n_terms", "knowledge_unit_id", "paragraph_id", "unit_type").agg(F.count_distinct("term").alias("matched"))
+    asked = queries.select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term")).distinct()
+    hits = term_rows(index, asked.select("term"))
+    u = units.select(F.col("knowledge_unit_id").alias("row_id"), "paragraph_id", "doc_id", "page_start", "unit_type")
+    per = asked.join(hits, "term").groupBy("query_id", "n_terms", "row_id").agg(F.count("*").alias("matched"), F.max(F.length("term")).alias("longest")).join(u, "row_id")
+    full = F.col("longest") >= 3
+    order = Window.partitionBy("query_id").orderBy(F.desc(full), "doc_id", F.asc_nulls_last("page_start"), "row_id")
+    per = per.withColumn("place", F.row_number().over(order)).withColumn("n", F.least(F.lit(200), F.count(F.when(full, 1)).over(Window.partitionBy("query_id"))))
+    by_place = F.when(full & (F.col("place") <= 200), 0.55 + 0.25 * (1 - (F.col("place") - 1) / F.col("n"))).otherwise(0.0)
     strong = F.col("unit_type").isin("dosage", "method", "formula_pattern")
-    score = 0.62 + 0.08 * F.col("matched") + F.when(F.col("matched") == F.col("n_terms"), 0.14).otherwise(0.0) + F.when(strong, 0.08).otherwise(0.0)
-    return per.withColumn("score", score).groupBy("query_id", "paragraph_id").agg(F.max("score").alias("score"), F.count("*").alias("n_units"))
+    by_terms = 0.62 + 0.08 * F.col("matched") + F.when(F.col("matched") == F.col("n_terms"), 0.14).otherwise(0.0) + F.when(strong, 0.08).otherwise(0.0)
+    return per.withColumn("score", F.greatest(by_place, by_terms)).groupBy("query_id", "paragraph_id").agg(F.max("score").alias("score"), F.count("*").alias("n_units"))
 
 
 def top_units(units: DataFrame, limit: int = 5) -> DataFrame:
@@ -62,15 +71,55 @@ def top_units(units: DataFrame, limit: int = 5) -> DataFrame:
     return listed.select("paragraph_id", F.col("units.knowledge_unit_id").alias("unit_ids"))
 
 
-def guide_nodes(units: DataFrame, styles: dict[str, tuple[str, str]]) -> DataFrame:
-    """(node_id, node_type, badge, label, paragraph_id, content): navigation nodes, the best unit of each label.
+def guide_nodes(units: DataFrame, paragraphs: DataFrame, styles: dict[str, tuple[str, str]], preparation: tuple[str, str], domain: Domain = DOMAIN) -> DataFrame:
+    """(node_id, node_type, badge, label, path, paragraph_id, content, search_text): navigation nodes.
 
-    styles: unit_type to (node_type, badge); other types become ("note", "other").
+    One node of each knowledge unit without noise, labelled by its subject, or
+    its object if it has none; one of each preparation named in a clean
+    paragraph. styles: unit_type to (node_type, badge), other types become
+    ("note", "other"); preparation: that of the second kind.
     """
     styled = F.create_map(*[x for k, (a, b) in styles.items() for x in (F.lit(k), F.struct(F.lit(a).alias("node_type"), F.lit(b).alias("badge")))])
     other = F.struct(F.lit("note").alias("node_type"), F.lit("other").alias("badge"))
-    rows = units.withColumn("style", F.coalesce(styled[F.col("unit_type")], other)).select("style.node_type", "style.badge", F.col("subject").alias("label"), "paragraph_id", F.col("evidence_quote").alias("content"), "confidence", "knowledge_unit_id")
-    rows = rows.filter((F.length("content") >= 12) & F.col("label").isNotNull())
-    rank = F.struct(F.coalesce("confidence", F.lit(-1.0)), F.col("knowledge_unit_id"))
-    best = rows.groupBy("badge", "label").agg(F.max_by(F.struct("node_type", "paragraph_id", "content"), rank).alias("b"))
-    return best.select(stable_id(F.col("badge"), F.col("label")).alias("node_id"), "b.node_type", "badge", "label", "b.paragraph_id", "b.content")
+    name = F.regexp_extract("source_path", r"([^/\\\\]+)$", 1)
+    path = lambda badge, label: F.concat_ws(" > ", F.concat_ws(" ", name, F.concat(F.lit("p"), F.col("page_start").cast("string"))), badge, label)
+    said = without_page_head(F.coalesce("evidence_quote", F.lit("")))
+    label = F.trim(F.coalesce(F.when(F.trim("subject") != "", F.col("subject")), F.col("object"), F.lit("")))
+    u = units.withColumn("style", F.coalesce(styled[F.col("unit_type")], other)).withColumn("label", label).withColumn("said", said)
+    u = u.filter((F.col("label") != "") & ~source_noise(one_spaced(F.coalesce("evidence_quote", F.lit("")))))
+    content = F.coalesce(F.when(F.trim("object") != "", without_page_head(F.col("object"))), F.col("said"))
+    u = u.select(F.concat(F.lit("unit-"), "knowledge_unit_id").alias("node_id"), "style.node_type", "style.badge", "label", path(F.col("style.badge"), F.col("label")).alias("path"), "paragraph_id", content.alias("content"), F.concat_ws(" ", "unit_type", "predicate", "said").alias("more"))
+    p = paragraphs.filter(clean_source(F.col("text"))).withColumn("label", F.explode(preparations(F.col("text"), domain)))
+    kind, badge = (F.lit(x) for x in preparation)
+    quoted = without_page_head(quote(F.col("text"), 260))
+    p = p.select(F.concat(F.lit("preparation-"), stable_id(F.col("paragraph_id"), F.col("label"))).alias("node_id"), kind.alias("node_type"), badge.alias("badge"), "label", path(badge, F.col("label")).alias("path"), "paragraph_id", quoted.alias("content"), F.left("text", F.lit(600)).alias("more"))
+    both = u.unionByName(p)
+    return both.select("node_id", "node_type", "badge", "label", "path", "paragraph_id", "content", one_spaced(F.concat_ws(" ", "path", "content", "more")).alias("search_text"))
+
+
+def guide_index(nodes: DataFrame, domain: Domain = DOMAIN) -> TextIndex:
+    return build_index(nodes, "node_id", ["search_text"], domain)
+
+
+def guide_scores(index: TextIndex, nodes: DataFrame, queries: DataFrame, preferred: tuple[str, str], limit: int = 8, domain: Domain = DOMAIN) -> DataFrame:
+    """(query_id, node_id, badge, label, score, rank): the best nodes of queries(query_id, query, terms), one of each badge and label.
+
+    1 a term contained (of the first eight), + 1 / (1 + BM25) of the nodes that
+    BM25 ranks among the first 4 x limit, + 20 if the question holds the label,
+    + 5 for nodes of the preferred type, + 3 for the preferred badge. Ties go to
+    the longer path, then the smaller id.
+    """
+    ranked = best(bm25(index, queries.select("query_id", F.slice("terms", 1, 12).alias("terms"))).withColumn("score", F.round("score", 9)).filter("score > 0"), max(4 * limit, 16), F.col("row_id"))
+    by_rank = ranked.select("query_id", F.col("row_id").alias("node_id"), (1 / (1 + F.col("score"))).alias("part"))
+    asked = queries.select("query_id", F.explode(F.slice("terms", 1, 8)).alias("term")).distinct()
+    held = asked.join(term_rows(index, asked.select("term")), "term").select("query_id", F.col("row_id").alias("node_id"), F.lit(1.0).alias("part"))
+    per = by_rank.unionByName(held).groupBy("query_id", "node_id").agg(F.sum("part").alias("score"))
+    n = nodes.select("node_id", "node_type", "badge", "label", "path")
+    q = queries.select("query_id", folded(one_spaced(F.col("query")), domain.scripts).alias("low"))
+    named = F.contains("low", folded(F.col("label"), domain.scripts)) & (F.col("label") != "")
+    kind, badge = preferred
+    score = F.col("score") + F.when(named, 20.0).otherwise(0.0) + F.when(F.col("node_type") == kind, 5.0).otherwise(0.0) + F.when(F.col("badge") == badge, 3.0).otherwise(0.0)
+    rows = per.join(n, "node_id").join(q, "query_id").withColumn("score", F.round(score, 9))
+    ties = [F.desc("score"), F.desc(F.length("path")), F.col("node_id")]
+    one = rows.withColumn("first", F.row_number().over(Window.partitionBy("query_id", "badge", "label").orderBy(*ties))).filter("first = 1")
+    return one.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*ties))).filter(F.col("rank") <= limit).select("query_id", "node_id", "badge", "label", "score", "rank")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossmill.session import written
+
 
 def latest(df: DataFrame, key: str, *order: str) -> DataFrame:
     """The last row of each key by `order` (falling, nulls last), as a replacing insert leaves it.
@@ -69,7 +71,32 @@ def rule_violations(df: DataFrame, key: str, rules: dict[str, F.Column]) -> Data
     return broken.groupBy("rule").agg(F.count("*").alias("n"), F.min("id").alias("example"))
 
 
-def chain(evidence: DataFrame) -> DataFrame:
-    """Evidence with the ids before and after it in its document, in the order of recording."""
-    order = Window.partitionBy("document_id").orderBy("recorded_at", "evidence_id")
-    return evidence.select("evidence_id", "document_id", F.lag("evidence_id").over(order).alias("previous_id"), F.lead("evidence_id").over(order).alias("next_id"))
+def overall(audit: DataFrame) -> DataFrame:
+    """(code, status, n, example) of an audit with a row `overall`: error if there is one, else warning, else ok."""
+    worst = audit.agg(F.max(F.when(F.col("status") == "error", 2).when(F.col("status") == "warning", 1).otherwise(0)).alias("w"), F.count(F.when(F.col("status") != "ok", 1)).alias("n"))
+    row = worst.select(F.lit("overall").alias("code"), F.when(F.col("w") == 2, "error").when(F.col("w") == 1, "warning").otherwise("ok").alias("status"), "n", F.lit(None).cast("string").alias("example"))
+    return audit.unionByName(row)
+
+
+def chain(evidence: DataFrame, parts: int = 0) -> DataFrame:
+    """Evidence with the ids before and after it in its document, in the order of recording.
+
+    The whole table is sorted by document and time over all tasks, so that a
+    document with a third of the rows spreads over many; the neighbours of a
+    task's first and last row come from the tasks around it.
+    """
+    at = ["document_id", "recorded_at", "evidence_id"]
+    rows = evidence.select(*at)
+    ordered = rows.repartitionByRange(*([parts] if parts else []), *at).withColumn("part", F.spark_partition_id())
+    ordered = written(ordered.select(*at, "part"))
+    inside = Window.partitionBy("document_id", "part").orderBy("recorded_at", "evidence_id")
+    linked = ordered.withColumns({"before": F.lag("evidence_id").over(inside), "after": F.lead("evidence_id").over(inside)})
+    # One row for each document and task.
+    key = F.struct("recorded_at", "evidence_id")
+    ends = ordered.groupBy("document_id", "part").agg(F.min_by("evidence_id", key).alias("first"), F.max_by("evidence_id", key).alias("last"))
+    along = Window.partitionBy("document_id").orderBy("part")
+    ends = ends.select("document_id", "part", "first", "last", F.lag("last").over(along).alias("came"), F.lead("first").over(along).alias("comes"))
+    both = linked.join(ends, linked["document_id"].eqNullSafe(ends["document_id"]) & (linked["part"] == ends["part"]))
+    previous = F.when(F.col("evidence_id") == F.col("first"), F.col("came")).otherwise(F.col("before"))
+    following = F.when(F.col("evidence_id") == F.col("last"), F.col("comes")).otherwise(F.col("after"))
+    return both.select("evidence_id", linked["document_id"], previous.alias("previous_id"), following.alias("next_id"))

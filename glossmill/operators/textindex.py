@@ -1,23 +1,33 @@
-"""Trigram postings and BM25 search, for a whole set of queries in one job."""
+"""A stored trigram index and BM25 search in it, for a whole set of queries in one job."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossmill.functions.text import ngrams, occurrences
+from glossmill.config import DOMAIN, Domain
+from glossmill.functions.text import folded, ngrams, occurrences
 from glossmill.session import written
 
 
-def query_terms(text: Column, scaffold: tuple[str, ...], most: int = 64) -> Column:
-    """Terms of a question: words, and runs of ideographs (trigrams of runs longer than eight)."""
-    bare = F.lower(text)
-    for phrase in sorted(scaffold, key=len, reverse=True):
-        bare = F.replace(bare, F.lit(phrase), F.lit(" "))
-    words = F.regexp_extract_all(bare, F.lit(r"[a-z0-9_+-]{3,}"), F.lit(0))
-    runs = F.regexp_extract_all(bare, F.lit(r"[一-鿿]{3,}"), F.lit(0))
-    cut = F.flatten(F.transform(runs, lambda r: F.when(F.length(r) <= 8, F.array(r)).otherwise(F.regexp_extract_all(r, F.lit(r"(?=(.{3}))"), F.lit(1)))))
-    return F.slice(F.array_distinct(F.concat(words, cut)), 1, most)
+@dataclass(frozen=True)
+class TextIndex:
+    """docs(row_id, low), postings(gram, row_id) in the order of grams, size(n_rows, avg_len) of one row.
+
+    `low` is what is searched: all fields in lower case and one script, one a
+    line. The length of a row is its number of trigrams.
+    """
+
+    docs: DataFrame
+    postings: DataFrame
+    size: DataFrame
+
+
+def grams_of(low: Column) -> Column:
+    """Distinct trigrams, and pairs for terms of two."""
+    return F.concat(ngrams(low), ngrams(low, 2))
 
 
 def postings(rows: DataFrame, row_id: str, text: str) -> DataFrame:
@@ -25,37 +35,51 @@ def postings(rows: DataFrame, row_id: str, text: str) -> DataFrame:
     return rows.filter(F.col(text).isNotNull()).select(F.explode(ngrams(F.col(text))).alias("gram"), F.col(row_id).alias("row_id"))
 
 
-def term_rows(rows: DataFrame, row_id: str, text: str, terms: DataFrame) -> DataFrame:
-    """(term, row_id, tf, len): rows that contain a term, with its overlapping occurrences.
+def build_index(rows: DataFrame, row_id: str, fields: list[str], domain: Domain = DOMAIN) -> TextIndex:
+    """The index over the given text fields, written to the shared folder once; rows of nulls only are left out.
+
+    Postings lie in files by ranges of grams, so a search reads the row groups
+    of the grams it asks for.
+    """
+    low = folded(F.concat_ws("\n", *fields), domain.scripts)
+    known = F.coalesce(*fields).isNotNull()
+    docs = written(rows.filter(known & F.col(row_id).isNotNull()).select(F.col(row_id).alias("row_id"), low.alias("low")))
+    grams = docs.select(F.explode(grams_of(F.col("low"))).alias("gram"), "row_id")
+    ordered = written(grams.repartitionByRange("gram").sortWithinPartitions("gram"))
+    size = docs.agg(F.count("*").alias("n_rows"), F.avg(F.greatest(F.length("low") - 2, F.lit(0))).alias("avg_len"))
+    return TextIndex(docs, ordered, written(size))
+
+
+def term_rows(index: TextIndex, terms: DataFrame) -> DataFrame:
+    """(term, row_id, tf, len): rows that contain a term of terms(term) of two characters or more, with its overlapping occurrences.
 
-    Candidates are rows with all trigrams of the term, by an equi-join on the
-    postings, which only holds the grams asked for; then the text decides.
+    Candidates are rows with all grams of the term, by an equi-join on the
+    postings; then the text decides.
     """
-    grams = terms.select("term", F.explode(ngrams(F.col("term"))).alias("gram"))
+    asked = terms.filter(F.length("term") >= 2).distinct()
+    grams = written(asked.select("term", F.explode(F.when(F.length("term") == 2, F.array("term")).otherwise(ngrams(F.col("term")))).alias("gram")))
     need = grams.groupBy("term").agg(F.count("*").alias("need"))
-    wanted = postings(rows, row_id, text).join(grams, "gram")
+    wanted = index.postings.join(grams, "gram")
     candidates = wanted.groupBy("term", "row_id").agg(F.count("*").alias("have")).join(need, "term").filter("have = need")
-    texts = rows.select(F.col(row_id).alias("row_id"), F.lower(text).alias("low"))
-    found = candidates.select("term", "row_id").join(texts, "row_id")
+    found = candidates.select("term", "row_id").join(index.docs, "row_id")
     found = found.withColumn("tf", occurrences(F.col("low"), F.col("term"))).filter("tf > 0")
     return found.select("term", "row_id", "tf", F.greatest(F.length("low") - 2, F.lit(0)).alias("len"))
 
 
-def bm25(rows: DataFrame, row_id: str, text: str, queries: DataFrame) -> DataFrame:
-    """(query_id, row_id, score, matched): BM25 of queries(query_id, terms) over all rows.
+def bm25(index: TextIndex, queries: DataFrame) -> DataFrame:
+    """(query_id, row_id, score, matched): BM25 of queries(query_id, terms) over all rows of the index.
 
-    idf = ln((N - df + 0.5) / (df + 0.5)), at least 1e-6; k1 = 1.2, b = 0.75; the
-    length of a row is its number of trigrams.
+    idf = ln((N - df + 0.5) / (df + 0.5)), at least 1e-6; k1 = 1.2, b = 0.75.
+    Terms of two characters match, but add nothing to the score.
     """
-    asked = queries.select("query_id", F.explode("terms").alias("term")).filter(F.length("term") >= 3).distinct()
-    hits = written(term_rows(rows, row_id, text, asked.select("term").distinct()))  # counted and scored
+    asked = queries.select("query_id", F.explode("terms").alias("term")).filter(F.length("term") >= 2).distinct()
+    hits = written(term_rows(index, asked.select("term")))  # counted and scored
     df_ = hits.groupBy("term").agg(F.count("*").alias("df"))
-    size = rows.filter(F.col(text).isNotNull()).agg(F.count("*").alias("n_rows"), F.avg(F.greatest(F.length(text) - 2, F.lit(0))).alias("avg_len"))
     # One row, from an aggregate.
-    weighed = hits.join(df_, "term").join(F.broadcast(size))
+    weighed = hits.join(df_, "term").join(F.broadcast(index.size))
     idf = F.greatest(F.ln((F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("len") / F.col("avg_len")))
-    scored = weighed.select("term", "row_id", part.alias("part"))
+    scored = weighed.select("term", "row_id", F.when(F.length("term") >= 3, part).otherwise(0.0).alias("part"))
     return asked.join(scored, "term").groupBy("query_id", "row_id").agg(F.sum("part").alias("score"), F.sort_array(F.collect_set("term")).alias("matched"))
 
 
@@ -65,18 +89,19 @@ def best(scored: DataFrame, limit: int, *ties: Column) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
 
-def text_channel(rows: DataFrame, row_id: str, text: str, queries: DataFrame, limit: int = 10, candidates: int = 200) -> DataFrame:
+def text_channel(index: TextIndex, queries: DataFrame, limit: int = 10, candidates: int = 200) -> DataFrame:
     """(query_id, row_id, score, rank): the greater of a score by BM25 rank and a score by matched terms.
 
     0.45 + 0.35 (1 - i / n) for place i of the n <= `candidates` best by BM25;
     0.5 + 0.08 per matched term, + 0.12 if all match, for every row with a
     term; at most 1.
     """
-    scored = F.broadcast(queries.select("query_id", F.size("terms").alias("n_terms"))).join(bm25(rows, row_id, text, queries), "query_id")
+    scored = bm25(index, queries).join(queries.select("query_id", F.size("terms").alias("n_terms")), "query_id")
+    per = Window.partitionBy("query_id")
     # A row past the candidates by BM25 may be first by its terms.
-    ranked = scored.select("query_id", "row_id", "n_terms", "matched", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id")).alias("place"))
-    n = F.least(F.count("*").over(Window.partitionBy("query_id")), F.lit(candidates))
-    by_rank = F.when(F.col("place") <= candidates, 0.45 + 0.35 * (1 - (F.col("place") - 1) / n)).otherwise(0.0)
+    ranked = scored.withColumn("place", F.row_number().over(per.orderBy(F.desc(F.round("score", 9)), "row_id")))
+    n = F.least(F.count(F.when(F.col("score") > 0, 1)).over(per), F.lit(candidates))
+    by_rank = F.when((F.col("place") <= candidates) & (F.col("score") > 0), 0.45 + 0.35 * (1 - (F.col("place") - 1) / n)).otherwise(0.0)
     by_terms = 0.5 + 0.08 * F.size("matched") + F.when(F.size("matched") == F.col("n_terms"), 0.12).otherwise(0.0)
-    merged = ranked.select("query_id", "row_id", F.least(F.lit(1.0), F.greatest(by_rank, by_terms)).alias("score"))
+    merged = ranked.select("query_id", "row_id", F.round(F.least(F.lit(1.0), F.greatest(by_rank, by_terms)), 9).alias("score"))
     return best(merged, limit, F.col("row_id"))

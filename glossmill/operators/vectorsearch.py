@@ -1,4 +1,4 @@
-"""Exact and clustered vector search for a set of query vectors."""
+"""Exact vector search for a set of query vectors of any size."""
 
 from __future__ import annotations
 
@@ -9,29 +9,46 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossmill.functions.vectors import sparse_dot, sparse_embedding
 from glossmill.session import written
 
-#: Query vectors that are multiplied at once; more queries come in further blocks.
-BLOCK, MOST_QUERY_BYTES = 512, 256 << 20
+#: Bytes of the query vectors that are spread to the tasks at once, and queries multiplied at once.
+SPREAD_BYTES, BLOCK = 64 << 20, 512
 
 
 def exact_top(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, row_id, score, rank): rows(row_id, vector, weight) of greatest weighted inner product.
 
-    The query block is spread to the tasks once its size is known to be small;
-    each task keeps its best k per query from one matrix product per batch, and
-    a window ranks what the tasks found. Rows of null vectors or scores not
-    above 0 are left out; ties go to the smaller id.
+    Queries come in blocks of `SPREAD_BYTES`; each block is one pass over the
+    rows, in which every task keeps a running best k per query from one matrix
+    product per batch, and a window ranks what the tasks found. Rows of null
+    vectors or scores not above 0 are left out; ties go to the smaller id.
     """
-    q = written(queries.filter(F.col("vector").isNotNull()).select("query_id", "vector").dropDuplicates(["query_id"]))
-    n, width = q.count(), q.select(F.max(F.size("vector"))).first()[0] or 0
-    if n * width * 8 > MOST_QUERY_BYTES:
-        raise ValueError("split the query set: it doesn't fit the bound for spreading")
-    held = q.orderBy("query_id").collect()
+    q = queries.filter(F.col("vector").isNotNull()).groupBy("query_id").agg(F.min("vector").alias("vector"))
+    q = written(q.withColumn("width", F.size("vector")))
+    kinds = dict(rows.dtypes)
+    schema = f"query_id {dict(q.dtypes)['query_id']}, row_id {kinds['row_id']}, score double"
+    usable = rows.filter(F.col("vector").isNotNull()).select("row_id", "vector", F.coalesce("weight", F.lit(1.0)).alias("weight"))
+    out = None
+    for width, n in [(r["width"], r["n"]) for r in q.groupBy("width").agg(F.count("*").alias("n")).collect()]:
+        parts = max(1, -(-n * width * 8 // SPREAD_BYTES))
+        for part in range(parts):
+            mine = q.filter((F.col("width") == width) & (F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part))
+            found = usable.filter(F.size("vector") == width).mapInPandas(_search(mine.orderBy("query_id").collect(), k), schema)
+            out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = usable.sparkSession.createDataFrame([], schema)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id")
+    return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def _search(held: list, k: int):
     ids = np.array([r["query_id"] for r in held], dtype=object)
-    x = np.array([r["vector"] for r in held], np.float64).reshape(len(ids), width)
+    x = np.array([r["vector"] for r in held], np.float64)
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        floor = np.zeros(len(ids))  # the k-th best score so far
+        kept = [(np.empty(0), np.empty(0, object)) for _ in ids]
         for batch in batches:
             if not len(batch) or not len(ids):
                 continue
@@ -39,16 +56,38 @@ def exact_top(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             name, weight = batch["row_id"].to_numpy(), batch["weight"].to_numpy(np.float64)
             for at in range(0, len(ids), BLOCK):
                 score = (x[at : at + BLOCK] @ v.T) * weight
-                keep = min(k, score.shape[1])
-                floor = -np.partition(-score, keep - 1, axis=1)[:, keep - 1]
-                i, j = np.nonzero((score >= floor[:, None]) & (score > 0))
-                yield pd.DataFrame({"query_id": ids[at + i], "row_id": name[j], "score": score[i, j]})
+                i, j = np.nonzero((score >= floor[at : at + BLOCK, None]) & (score > 0))
+                for query in np.unique(i):
+                    mine = j[i == query]
+                    s, r = (np.concatenate(z) for z in zip(kept[at + query], (score[query, mine], name[mine]), strict=True))
+                    if len(s) > k:
+                        best = np.lexsort((r, -s))[:k]
+                        s, r = s[best], r[best]
+                        floor[at + query] = s[-1]
+                    kept[at + query] = (s, r)
+        for at in range(0, len(ids), BLOCK):
+            part = kept[at : at + BLOCK]
+            yield pd.DataFrame({"query_id": np.repeat(ids[at : at + BLOCK], [len(s) for s, _ in part]), "row_id": np.concatenate([r for _, r in part]), "score": np.concatenate([s for s, _ in part])})
 
-    kinds = dict(rows.dtypes)
-    usable = rows.filter(F.col("vector").isNotNull() & (F.size("vector") == width)).select("row_id", "vector", F.coalesce("weight", F.lit(1.0)).alias("weight"))
-    found = usable.mapInPandas(search, f"query_id {dict(q.dtypes)['query_id']}, row_id {kinds['row_id']}, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return run
+
+
+def sparse_units(units: DataFrame) -> DataFrame:
+    """(row_id, dim, value) of units(unit_id, text_for_embedding), to be written once for many searches."""
+    return sparse_embedding(units.select(F.col("unit_id").alias("row_id"), "text_for_embedding"), "row_id", "text_for_embedding")
+
+
+def sparse_top(vectors: DataFrame, units: DataFrame, queries: DataFrame, unit_limit: int = 120) -> DataFrame:
+    """(query_id, unit_id, paragraph_id, unit_type, score, rank): units(unit_id, paragraph_id, unit_type, weight) nearest to queries(query_id, query).
+
+    Both sides are hashed sparse vectors and meet by an equi-join on their
+    components; the score is weighted afterwards, ties go to the smaller id.
+    """
+    q = sparse_embedding(queries.select("query_id", "query"), "query_id", "query").withColumnRenamed("value", "q_value")
+    scored = sparse_dot(q, vectors).withColumnRenamed("row_id", "unit_id").join(units.select("unit_id", "paragraph_id", "unit_type", F.coalesce("weight", F.lit(1.0)).alias("weight")), "unit_id")
+    scored = scored.withColumn("score", F.round(F.col("score") * F.col("weight"), 9)).drop("weight")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "unit_id")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= unit_limit)
 
 
 def hits_to_paragraphs(hits: DataFrame, limit: int, most_hits: int = 5) -> DataFrame:
@@ -58,7 +97,7 @@ def hits_to_paragraphs(hits: DataFrame, limit: int, most_hits: int = 5) -> DataF
     """
     listed = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "unit_id"))), 1, most_hits)
     per = hits.groupBy("query_id", "paragraph_id").agg(F.max("score").alias("top"), F.count("*").alias("n_hits"), F.sort_array(F.collect_set("unit_type")).alias("unit_types"), listed.alias("l"))
-    score = F.col("top") + 0.03 * (F.size("unit_types") - 1) + 0.01 * F.least(F.lit(8), F.col("n_hits") - 1)
+    score = F.round(F.col("top") + 0.03 * (F.size("unit_types") - 1) + 0.01 * F.least(F.lit(8), F.col("n_hits") - 1), 9)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "paragraph_id")
     out = per.withColumn("score", score).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
     return out.select("query_id", "paragraph_id", "score", "n_hits", "unit_types", F.col("l.unit_id").alias("unit_ids"), "rank")

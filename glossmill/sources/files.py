@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CASE_SCHEMA = "case_id string, query string, task_type string, relevant_paragraph_ids array<string>, forbidden_paragraph_ids array<string>"
@@ -28,12 +28,22 @@ def write_lines(df: DataFrame, path: str) -> int:
     return seen.get["n"]
 
 
-def case_problems(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(cases, problems) of evaluation JSON lines; problems are (file, line, problem) rows.
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value): text lines with their number in their file, however the file is split.
 
-    Lines of a file keep their number through the file's order of blocks.
+    Lines are numbered inside each split; the lines of the splits before it,
+    one row each, are added.
     """
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line"), "value").filter(F.trim("value") != "")
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    blocks = rows.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("file", "block", "first", before.alias("before"))
+    return rows.join(blocks, ["file", "block"]).select("file", (F.col("at") - F.col("first") + F.col("before") + 1).alias("line"), "value")
+
+
+def case_problems(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(cases, problems) of evaluation JSON lines; problems are (file, line, problem) rows, lines counted from 1 in each file."""
+    lines = numbered_lines(spark, path).filter(F.trim("value") != "")
     parsed = lines.withColumn("c", F.from_json("value", CASE_SCHEMA + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     none = F.array().cast("array<string>")
     c = F.col
@@ -51,9 +61,10 @@ def case_problems(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return cases, problems
 
 
-def settings(df: DataFrame, keys: list[str], longest: int = 4096) -> dict[str, str]:
-    """Bounded values of a (key, value) table; longer values are left out."""
-    rows = df.filter(F.col("key").isin(keys) & (F.length("value") <= longest)).dropDuplicates(["key"]).limit(len(keys)).collect()
+def settings(df: DataFrame, keys: list[str], longest: int = 4096) -> dict[str, str | None]:
+    """The asked values of a (key, value) table; a value longer than the bound reads as None, so that it is seen to be unusable."""
+    value = F.when(F.length("value") <= longest, F.col("value"))
+    rows = df.filter(F.col("key").isin(keys)).select("key", value.alias("value")).dropDuplicates(["key"]).limit(len(keys)).collect()
     return {r["key"]: r["value"] for r in rows}
 
 

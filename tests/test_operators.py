@@ -1,13 +1,14 @@
+import hashlib
 import json
 import math
 
 import pytest
 from pyspark.sql import functions as F
 
-from glossmill.config import checked_limit
+from glossmill.config import Domain, checked_limit
 from glossmill.functions import text as T
-from glossmill.functions.vectors import dot, unit_length
-from glossmill.operators import evaluate, fusion, graph, knowledge, store, textindex, units, vectorsearch
+from glossmill.functions.vectors import dot, sparse_embedding, unit_length
+from glossmill.operators import build, evaluate, evidence, fusion, graph, knowledge, queries, store, textindex, units, vectorsearch
 from glossmill.operators.planner import cited_answers, intents
 from glossmill.sources import files
 
@@ -26,7 +27,7 @@ def test_text_functions(spark):
     assert one(spark, T.repeated_phrase(lit("脾阳脾阳 脾阳"))) and not one(spark, T.repeated_phrase(lit("脾阳脾阳")))
     assert one(spark, T.followed_safely(lit("木香饼干"), "木香饼", ("干",))) is False
     assert one(spark, T.ngrams(lit("ab𢌱c"))) == ["ab𢌱", "b𢌱c"]
-    paths = {"/home/x/a.pdf": "pdfs/a.pdf", "C:\\u\\a.pdf": "pdfs/a.pdf", "./pdfs//a.pdf": "pdfs/a.pdf", "a/../b.pdf": "pdfs/b.pdf", "file%3A%2F%2F%2Fb.pdf": "pdfs/b.pdf", "notes/b.pdf": "notes/b.pdf"}
+    paths = {"/home/x/a.pdf": "pdfs/a.pdf", "C:\\u\\a.pdf": "pdfs/a.pdf", "./pdfs//a.pdf": "pdfs/a.pdf", "a/../b.pdf": "pdfs/b.pdf", "file%3A%2F%2F%2Fb.pdf": "pdfs/b.pdf", "notes/b.pdf": "notes/b.pdf", "%252525252Fhome%25252Fx%252Fa.pdf": "pdfs/a.pdf", "x%2Fa.pdf": "pdfs/a.pdf", "a+b.pdf": "a+b.pdf", "~me/a.pdf": "pdfs/a.pdf", "s/a.pdf?key=1": "pdfs/a.pdf", "%" + "25" * 9 + "2Fa.pdf": "pdfs/source.pdf", " ": ""}
     for path, want in paths.items():
         assert one(spark, T.public_path(lit(path))) == want, path
     assert one(spark, T.citation(lit("pdfs/a.pdf"), lit(3), lit(4))) == "a.pdf p3-4"
@@ -37,6 +38,12 @@ def test_vectors(spark):
     assert one(spark, dot(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(3.0), F.lit(4.0)))) == 11
     assert one(spark, unit_length(F.array(F.lit(3.0), F.lit(4.0)))) == [0.6, 0.8]
     assert one(spark, unit_length(F.array(F.lit(0.0)))) == [0.0]
+    df = spark.createDataFrame([("a", "云 tea"), ("b", None), ("c", "")], "id string, text string")
+    for digest in ("md5", "blake2b"):
+        got = sparse_embedding(df, "id", "text", digest=digest).collect()
+        assert len(got) == 2 and all(math.isclose(r.value, math.sqrt(0.5)) and r.id == "a" for r in got)
+    want = {int(hashlib.blake2b(x.encode(), digest_size=8).hexdigest(), 16) % 2048 for x in ("云", "tea")}
+    assert {r.dim for r in got} == want
 
 
 def test_units(spark):
@@ -44,20 +51,104 @@ def test_units(spark):
     df = spark.createDataFrame([("p", "d", "t", text), ("q", "d", None, "一。"), ("r", "d", None, None)], "paragraph_id string, doc_id string, title string, text string")
     got = units.retrieval_units(df).collect()
     windows = sorted((r.sentence_start, r.sentence_end) for r in got if r.unit_type == "window")
-    assert windows == [(0, 5), (4, 9)]
+    assert windows == [(0, 0), (0, 5), (4, 9), (8, 10)]
     assert sum(r.unit_type == "sentence" for r in got) == 12 and len({r.unit_id for r in got}) == len(got)
     packed = spark.createDataFrame([(1, "一二三。四五。" + "六" * 900 + "。七。")], "doc_id long, text string")
     assert [len(r.text) for r in units.paragraphs_of(packed).orderBy("seq").collect()] == [7, 901, 2]
 
 
 def test_bm25_counts_and_order(spark):
-    rows = spark.createDataFrame([("a", "白云草治头痛，白云草"), ("b", "白云草"), ("c", "无关文字"), ("d", None)], "id string, text string")
-    q = spark.createDataFrame([("q", ["白云草", "头痛"]), ("n", ["没有的"])], "query_id string, terms array<string>")
-    got = {r.row_id: r for r in textindex.bm25(rows, "id", "text", q).collect()}
-    assert set(got) == {"a", "b"} and got["a"].matched == ["白云草"]
-    assert textindex.text_channel(rows, "id", "text", q).count() == 2
-    terms = spark.createDataFrame([("请问白云草 Tea 头痛怎么煎服",)], "q string").select(textindex.query_terms(F.col("q"), ("请问", "怎么煎服")).alias("t")).first().t
-    assert terms == ["tea", "白云草"]
+    rows = spark.createDataFrame([("a", "白雲草治头痛，白云草", None), ("b", "白云草", "题"), ("c", "无关文字", "头痛"), ("d", None, None), (None, "白云草", None)], "id string, text string, title string")
+    index = textindex.build_index(rows, "id", ["title", "text"])
+    q = spark.createDataFrame([("q", ["白云草", "头痛"]), ("n", ["没有的"]), ("e", [])], "query_id string, terms array<string>")
+    got = {r.row_id: r for r in textindex.bm25(index, q).collect()}
+    assert set(got) == {"a", "b", "c"} and got["a"].matched == ["头痛", "白云草"] and got["c"].matched == ["头痛"] and got["c"].score == 0
+    ranked = {r.row_id: r for r in textindex.text_channel(index, q).collect()}
+    assert set(ranked) == {"a", "b", "c"} and (ranked["a"].score, ranked["b"].score, ranked["c"].score) == (0.78, 0.8, 0.58)
+    empty = textindex.build_index(rows.limit(0), "id", ["title", "text"])
+    assert textindex.text_channel(empty, q).count() == 0
+
+
+def test_query_terms(spark):
+    domain = Domain(vocabularies={"sign": ("头痛", "偏头痛")}, scaffold=("请问", "怎么煎服"), generic=("这个",), script_pairs="頭头 雲云")
+    asked = {
+        "a": "请问白雲草 Tea 偏頭痛怎么煎服", "b": "头痛与偏头痛，用10 克白云草？", "c": "这个白云草花", "d": "", "e": "一二三四五六七八九", "f": "頭痛的", "g": "x",
+    }
+    q = spark.createDataFrame(list(asked.items()), "query_id string, query string")
+    lexicon = spark.createDataFrame([("白云草",), ("白云草花",), (None,)], "term string")
+    got = {r.query_id: r.terms for r in queries.query_terms(q, lexicon, domain).collect()}
+    assert got["a"] == ["偏头痛", "白云草", "tea"]
+    assert got["b"] == ["偏头痛", "白云草", "头痛", "10克", "10"]
+    assert got["c"] == ["白云草花"] and got["d"] == [] and got["f"] == ["头痛"] and got["g"] == []
+    assert got["e"] == ["一二三", "二三四", "三四五", "四五六", "五六七", "六七八", "七八九"]
+    assert one(spark, queries.useful_terms(F.array(F.lit("12"), F.lit("x"), F.lit("所以"), F.lit("白云")))) == ["白云"]
+    assert one(spark, T.script_variants(F.lit("头云"), domain.scripts)) == ["頭雲"] and one(spark, T.script_variants(F.lit("里"), ("裡裏", "里里"))) == ["裡", "裏"]
+
+
+def test_evidence(spark):
+    lit, arr = F.lit, lambda *x: F.array(*map(F.lit, x))
+    text = "白云草治头痛。另有一句很长的话不相干！霜花治腹胀。"
+    assert one(spark, evidence.anchor_snippet(lit(text), arr("白云草", "头痛"))) == "白云草治头痛。"
+    assert one(spark, evidence.anchor_snippet(lit(text), arr("白云草", "腹胀"))) == "白云草治头痛。 霜花治腹胀。"
+    pair = "甲一二三四五六七八。乙一二三四五六七八。"
+    assert one(spark, evidence.anchor_snippet(lit(pair), arr("甲", "乙"), most=12)) == pair[:12]
+    assert one(spark, evidence.anchor_snippet(lit("甲" + "一" * 50 + "乙"), arr("甲", "乙"), most=15)) == "甲一一一一一 … 一一一一一乙"
+    assert one(spark, evidence.anchor_snippet(lit(text), arr("没有"))) == "" and one(spark, evidence.anchor_snippet(lit("甲乙丙丁"), arr("甲乙丙丁"), most=2)) is None
+    assert one(spark, evidence.literal_snippet(lit(text), arr("没有", "腹胀"))) == "霜花治腹胀。" and one(spark, evidence.literal_snippet(lit("一" * 300 + "腹胀"), arr("腹胀"), most=6)) == "一一一一腹胀"
+    assert one(spark, evidence.verified_quotes(lit(text), arr(" 霜花治腹胀 ", "霜花治腹胀", "没有", ""))) == ["霜花治腹胀"]
+    assert one(spark, fusion.merge_unique(arr("b", "a"), arr("a", "c"))) == ["b", "a", "c"]
+
+
+def test_build_store(spark, tmp_path):
+    pages = spark.createDataFrame([("x/a.pdf", 1, "12\n\n白云汤主头顶胀满，每次用三两五克。不可久服，误服则吐。\n\n短"), ("x/a.pdf", 2, "短页"), ("x/b.pdf", 1, None)], "source_path string, page int, text string")
+    p = units.paragraphs_of_pages(pages)
+    assert sorted((r.page_start, r.text) for r in p.collect()) == [(1, "白云汤主头顶胀满，每次用三两五克。不可久服，误服则吐。"), (2, "短页")]
+    out = str(tmp_path / "store")
+
+    def make():
+        return lambda texts: [[float(len(t)), 1.0] for t in texts]
+
+    counts = build.build_store(p, out, make=make, dims=2, traces=str(tmp_path / "traces"))
+    assert counts["paragraphs"] == 2 and counts["unit_types"] == 4 and counts["knowledge_units"] > 0
+    u = spark.read.parquet(f"{out}/retrieval_units")
+    before = u.count()
+    assert u.filter("size(vector) = 2").count() == u.count() == counts["retrieval_units"]
+    questions = u.filter("unit_type = 'question'").count()
+    assert build.augment_questions(out, spark, make=make, dims=2) == questions and spark.read.parquet(f"{out}/retrieval_units").count() == before
+    config = json.loads((tmp_path / "traces" / "build_config.json").read_text())
+    assert config["n_paragraphs"] == 2 and config["n_build_events"] == 1
+    with pytest.raises(Exception, match="components"):
+        build.embedded(p, "text", make, 3).collect()
+    with pytest.raises(ValueError, match="unknown unit types"):
+        units.checked_types("sentence, verse")
+    assert units.checked_types("window,sentence") == ("window", "sentence") and len(units.checked_types(None)) == 4
+    merged = build.upsert(p.withColumn("at", F.lit(1)), p.withColumn("at", F.lit(2)), "paragraph_id", "at")
+    assert {r.at for r in merged.collect()} == {2}
+
+
+def test_lines_are_numbered_through_splits(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("\n".join(f"line {i}" for i in range(1, 401)) + "\n")
+    (tmp_path / "b.txt").write_text("only\n")
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        rows = files.numbered_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert len(rows) == 401 and all(r.value in (f"line {r.line}", "only") for r in rows) and [r.line for r in rows if r.value == "only"] == [1]
+
+
+def test_chain_of_a_hot_document(spark):
+    rows = [(f"e{i:03d}", None if i == 150 else "hot" if i % 3 else f"d{i % 7}", i // 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "evidence_id string, document_id string, at int").withColumn("recorded_at", F.timestamp_seconds("at"))
+    got = {r.evidence_id: (r.previous_id, r.next_id) for r in store.chain(df, 7).collect()}
+    want = {}
+    for doc in {d for _, d, _ in rows}:
+        ids = [e for e, d, a in sorted(rows, key=lambda r: (r[2], r[0])) if d == doc]
+        want |= {e: (ids[k - 1] if k else None, ids[k + 1] if k + 1 < len(ids) else None) for k, e in enumerate(ids)}
+    assert got == want
+    audit = spark.createDataFrame([("a", "ok", 0, None), ("b", "warning", 1, "x")], "code string, status string, n long, example string")
+    assert [(r.status, r.n) for r in store.overall(audit).filter("code = 'overall'").collect()] == [("warning", 1)]
 
 
 def channel(spark, rows):
@@ -74,12 +165,14 @@ def test_fusion_ties_duplicates_and_weights(spark):
     assert low.row_id == "shared"
     runs = spark.createDataFrame([("q", 0, "a", 1.0, 1), ("q", 1, "a", 3.0, 2), ("q", 1, "b", 2.0, 1)], "query_id string, rewrite int, row_id string, score double, rank int")
     first = fusion.fuse_rewrites(runs, 5).orderBy("rank").first()
-    assert first.row_id == "a" and first.raw_score == 3.0 and [tuple(x) for x in first.seen] == [(0, 1), (1, 2)]
+    assert first.row_id == "a" and first.raw_score == 3.0 and (first.rewrite, first.place) == (1, 2) and [tuple(x) for x in first.seen] == [(0, 1, 1.0), (1, 2, 3.0)]
 
 
 def test_diversity(spark):
-    rows = spark.createDataFrame([("q", "a", 1.0, ["x"]), ("q", "b", 0.95, ["x"]), ("q", "c", 0.8, ["y"]), ("q", "d", 0.1, None)], "query_id string, row_id string, score double, facets array<string>")
-    assert [r.row_id for r in fusion.diverse(rows, 3).orderBy("pick").collect()] == ["a", "c", "b"]
+    rows = [("q", "a", 1.0, "s", ["x"]), ("q", "b", 0.95, "s", ["x"]), ("q", "c", 0.92, "s", ["y", "z"]), ("q", "e", 0.9, "t", ["x"]), ("q", "d", 0.1, None, None), ("r", "b", 0.5, "s", None), ("r", "a", 0.7, "s", [])]
+    df = spark.createDataFrame(rows, "query_id string, row_id string, score double, source string, facets array<string>")
+    got = fusion.diverse(df, 3).orderBy("query_id", "pick").collect()
+    assert [(r.query_id, r.row_id) for r in got] == [("q", "a"), ("q", "c"), ("q", "e"), ("r", "a"), ("r", "b")]
 
 
 def test_metrics_example(spark):
@@ -109,8 +202,9 @@ def test_extraction_and_guide(spark):
     got = {r.unit_type: r for r in knowledge.extract(p).collect()}
     assert got["dosage"].object == "5克" and got["caution"].evidence_quote == "不可久服。" and "formula_pattern" in got
     assert got["formula_pattern"].subject == "白云汤"
-    nodes = knowledge.guide_nodes(knowledge.extract(p), {"dosage": ("dose", "D")}).collect()
-    assert {n.badge for n in nodes} == {"D", "other"}
+    known = knowledge.extract(p).withColumn("source_path", F.lit("x/书.pdf")).withColumn("page_start", F.lit(3))
+    nodes = knowledge.guide_nodes(known, p.withColumn("source_path", F.lit("x/书.pdf")).withColumn("page_start", F.lit(3)), {"dosage": ("dose", "D")}, ("formula", "F")).collect()
+    assert {n.badge for n in nodes} == {"D", "other", "F"} and {n.path for n in nodes if n.badge == "F"} == {"书.pdf p3 > F > 白云汤"}
 
 
 def test_graph_takes_accepted_relations_with_living_evidence(spark):
@@ -157,7 +251,7 @@ def test_files(spark, tmp_path):
     lines = [json.dumps(good), "not json", json.dumps(good | {"relevant_paragraph_ids": []}), json.dumps(good | {"forbidden_paragraph_ids": ["p"]}), ""]
     (tmp_path / "cases.jsonl").write_text("\n".join(lines))
     cases, problems = files.case_problems(spark, str(tmp_path / "cases.jsonl"))
-    assert cases.count() == 1 and {(r.line, r.problem.split()[0]) for r in problems.collect()} == {(1, "not"), (2, "no"), (3, "a")}
+    assert cases.count() == 1 and {(r.line, r.problem.split()[0]) for r in problems.collect()} == {(2, "not"), (3, "no"), (4, "a")}
     n = files.write_lines(spark.createDataFrame([("u2",), ("u1",)], "unit_id string"), str(tmp_path / "map"))
     assert n == 2 and {r.unit_id for r in files.read_mapping(spark, str(tmp_path / "map")).collect()} == {"u1", "u2"}
     (tmp_path / "bad.jsonl").write_text('{"unit_id": "a"}\n{broken\n')
@@ -167,7 +261,7 @@ def test_files(spark, tmp_path):
     pages = files.page_files(spark, str(tmp_path), lambda data: data.decode().split("\f")).orderBy("page").collect()
     assert [(r.page, r.text) for r in pages] == [(1, "one"), (2, "Two")]
     meta = spark.createDataFrame([("a", "1"), ("b", "x" * 5000)], "key string, value string")
-    assert files.settings(meta, ["a", "b"]) == {"a": "1"}
+    assert files.settings(meta, ["a", "b"]) == {"a": "1", "b": None}
 
 
 def test_streamed_ingest_equals_batch(spark, folder, tmp_path):
@@ -190,5 +284,5 @@ def test_text_channel_scores_terms_past_the_candidates(spark):
     rows = [(f"s{t}{i:02d}", term * 3) for t, term in enumerate(terms) for i in range(20)] + [("long", "".join(terms) + "字" * 6000)]
     rows = spark.createDataFrame(rows, "id string, text string")
     q = spark.createDataFrame([("q", terms)], "query_id string, terms array<string>")
-    first = textindex.text_channel(rows, "id", "text", q, 10, candidates=50).filter("rank = 1").collect()
+    first = textindex.text_channel(textindex.build_index(rows, "id", ["text"]), q, 10, candidates=50).filter("rank = 1").collect()
     assert [(r.row_id, round(r.score, 6)) for r in first] == [("long", 0.94)]
