@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -47,14 +47,17 @@ def token_dim(token: Column, dims: int, digest: str = "md5") -> Column:
     return F.pmod(F.conv(F.left(F.md5(token), F.lit(15)), 16, 10).cast("long"), F.lit(dims)).cast("int")
 
 
-def sparse_embedding(df: DataFrame, row_id: str, text: str, dims: int = 2048, digest: str = "md5") -> DataFrame:
-    """(row_id, dim, value): hashed token counts at length 1, one row per component."""
-    token = df.select(row_id, F.explode(embedding_tokens(F.col(text))).alias("token"))
+def sparse_vectors(df: DataFrame, row_id: str, text: str, dims: int = 2048, digest: str = "md5") -> DataFrame:
+    """(row_id, dims, values): hashed token counts at length 1, the components of a row in order; rows without tokens are left out.
+
+    Texts are shuffled by id once, tokens never.
+    """
+    token = df.select(row_id, text).repartition(row_id).select(row_id, F.explode(embedding_tokens(F.col(text))).alias("token"))
     counts = token.groupBy(row_id, token_dim(F.col("token"), dims, digest).alias("dim")).agg(F.count("*").alias("n"))
-    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(row_id)))
-    return counts.select(row_id, "dim", (F.col("n") / norm).alias("value"))
+    per = counts.groupBy(row_id).agg(F.sort_array(F.collect_list(F.struct("dim", "n"))).alias("c"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    return per.select(row_id, F.col("c.dim").alias("dims"), F.transform("c", lambda x: x["n"] / F.col("norm")).alias("values"))
 
 
-def sparse_dot(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(query_id, row_id, score) over common components; `left` is the small side."""
-    return left.join(right, "dim").groupBy("query_id", "row_id").agg(F.sum(F.col("q_value") * F.col("value")).alias("score"))
+def sparse_embedding(df: DataFrame, row_id: str, text: str, dims: int = 2048, digest: str = "md5") -> DataFrame:
+    """(row_id, dim, value): `sparse_vectors` with one row per component."""
+    return sparse_vectors(df, row_id, text, dims, digest).select(row_id, F.explode(F.arrays_zip("dims", "values")).alias("x")).select(row_id, F.col("x.dims").alias("dim"), F.col("x.values").alias("value"))

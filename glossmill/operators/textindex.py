@@ -38,14 +38,14 @@ def postings(rows: DataFrame, row_id: str, text: str) -> DataFrame:
 def build_index(rows: DataFrame, row_id: str, fields: list[str], domain: Domain = DOMAIN) -> TextIndex:
     """The index over the given text fields, written to the shared folder once; rows of nulls only are left out.
 
-    Postings lie in files by ranges of grams, so a search reads the row groups
-    of the grams it asks for.
+    Postings are sorted by gram in each file, so a search for few grams reads
+    the row groups that hold them.
     """
     low = folded(F.concat_ws("\n", *fields), domain.scripts)
     known = F.coalesce(*fields).isNotNull()
     docs = written(rows.filter(known & F.col(row_id).isNotNull()).select(F.col(row_id).alias("row_id"), low.alias("low")))
     grams = docs.select(F.explode(grams_of(F.col("low"))).alias("gram"), "row_id")
-    ordered = written(grams.repartitionByRange("gram").sortWithinPartitions("gram"))
+    ordered = written(grams.repartition("gram").sortWithinPartitions("gram"))
     size = docs.agg(F.count("*").alias("n_rows"), F.avg(F.greatest(F.length("low") - 2, F.lit(0))).alias("avg_len"))
     return TextIndex(docs, ordered, written(size))
 

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossmill.functions.vectors import sparse_dot, sparse_embedding
+from glossmill.functions.vectors import sparse_vectors
 from glossmill.session import written
 
-#: Bytes of the query vectors that are spread to the tasks at once, and queries multiplied at once.
-SPREAD_BYTES, BLOCK = 64 << 20, 512
+#: Bytes of the query vectors that are spread to the tasks at once, rows multiplied at once.
+SPREAD_BYTES, BLOCK = 64 << 20, 1024
 
 
 def exact_top(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -21,50 +22,59 @@ def exact_top(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     Queries come in blocks of `SPREAD_BYTES`; each block is one pass over the
     rows, in which every task keeps a running best k per query from one matrix
-    product per batch, and a window ranks what the tasks found. Rows of null
-    vectors or scores not above 0 are left out; ties go to the smaller id.
+    product per block of rows, and a window ranks what the tasks found. Rows of
+    null vectors or scores not above 0 are left out; ties go to the smaller id.
     """
     q = queries.filter(F.col("vector").isNotNull()).groupBy("query_id").agg(F.min("vector").alias("vector"))
     q = written(q.withColumn("width", F.size("vector")))
-    kinds = dict(rows.dtypes)
-    schema = f"query_id {dict(q.dtypes)['query_id']}, row_id {kinds['row_id']}, score double"
     usable = rows.filter(F.col("vector").isNotNull()).select("row_id", "vector", F.coalesce("weight", F.lit(1.0)).alias("weight"))
-    out = None
-    for width, n in [(r["width"], r["n"]) for r in q.groupBy("width").agg(F.count("*").alias("n")).collect()]:
-        parts = max(1, -(-n * width * 8 // SPREAD_BYTES))
-        for part in range(parts):
-            mine = q.filter((F.col("width") == width) & (F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part))
-            found = usable.filter(F.size("vector") == width).mapInPandas(_search(mine.orderBy("query_id").collect(), k), schema)
-            out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = usable.sparkSession.createDataFrame([], schema)
+    found = [
+        _passes(usable.filter(F.size("vector") == width), q.filter(F.col("width") == width), n, width, lambda batch: np.stack(batch["vector"].to_numpy()).astype(np.float64), k)
+        for width, n in [(r["width"], r["n"]) for r in q.groupBy("width").agg(F.count("*").alias("n")).collect()]
+    ]
+    return _ranked(found, usable, q, k)
+
+
+def _passes(rows: DataFrame, queries: DataFrame, n: int, width: int, matrix: Callable[[pd.DataFrame], np.ndarray], k: int) -> DataFrame:
+    """What the tasks find for `n` queries of `width` components, a pass over the rows for each block of queries."""
+    parts = max(1, -(-n * width * 8 // SPREAD_BYTES))
+    out = []
+    for part in range(parts):
+        held = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).orderBy("query_id").toPandas()
+        if len(held):
+            search = _search(held["query_id"].to_numpy(), np.concatenate([matrix(held[at : at + BLOCK]) for at in range(0, len(held), BLOCK)]), matrix, k)
+            out.append(rows.mapInPandas(search, _schema(rows, queries)))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _schema(rows: DataFrame, queries: DataFrame) -> str:
+    return f"query_id {dict(queries.dtypes)['query_id']}, row_id {dict(rows.dtypes)['row_id']}, score double"
+
+
+def _ranked(found: list[DataFrame], rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    out = reduce(DataFrame.unionByName, found) if found else rows.sparkSession.createDataFrame([], _schema(rows, queries))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id")
     return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _search(held: list, k: int):
-    ids = np.array([r["query_id"] for r in held], dtype=object)
-    x = np.array([r["vector"] for r in held], np.float64)
-
+def _search(ids: np.ndarray, x: np.ndarray, matrix: Callable[[pd.DataFrame], np.ndarray], k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         floor = np.zeros(len(ids))  # the k-th best score so far
         kept = [(np.empty(0), np.empty(0, object)) for _ in ids]
         for batch in batches:
-            if not len(batch) or not len(ids):
-                continue
-            v = np.stack(batch["vector"].to_numpy()).astype(np.float64)
-            name, weight = batch["row_id"].to_numpy(), batch["weight"].to_numpy(np.float64)
-            for at in range(0, len(ids), BLOCK):
-                score = (x[at : at + BLOCK] @ v.T) * weight
-                i, j = np.nonzero((score >= floor[at : at + BLOCK, None]) & (score > 0))
-                for query in np.unique(i):
-                    mine = j[i == query]
-                    s, r = (np.concatenate(z) for z in zip(kept[at + query], (score[query, mine], name[mine]), strict=True))
+            for at in range(0, len(batch), BLOCK):
+                rows = batch[at : at + BLOCK]
+                name = rows["row_id"].to_numpy()
+                score = np.round((x @ matrix(rows).T) * rows["weight"].to_numpy(np.float64), 12)
+                reach = (score >= floor[:, None]) & (score > 0)
+                for query in np.flatnonzero(reach.any(axis=1)):
+                    mine = np.flatnonzero(reach[query])
+                    s, r = (np.concatenate(z) for z in zip(kept[query], (score[query, mine], name[mine]), strict=True))
                     if len(s) > k:
                         best = np.lexsort((r, -s))[:k]
                         s, r = s[best], r[best]
-                        floor[at + query] = s[-1]
-                    kept[at + query] = (s, r)
+                        floor[query] = s[-1]
+                    kept[query] = (s, r)
         for at in range(0, len(ids), BLOCK):
             part = kept[at : at + BLOCK]
             yield pd.DataFrame({"query_id": np.repeat(ids[at : at + BLOCK], [len(s) for s, _ in part]), "row_id": np.concatenate([r for _, r in part]), "score": np.concatenate([s for s, _ in part])})
@@ -72,22 +82,36 @@ def _search(held: list, k: int):
     return run
 
 
+#: Components of hashed sparse vectors.
+DIMS = 2048
+
+
+def _spread(batch: pd.DataFrame) -> np.ndarray:
+    """Rows of (dims, values) as a dense matrix."""
+    out = np.zeros((len(batch), DIMS))
+    if len(batch):
+        sizes = batch["dims"].map(len).to_numpy()
+        out[np.repeat(np.arange(len(batch)), sizes), np.concatenate(batch["dims"].to_numpy())] = np.concatenate(batch["values"].to_numpy())
+    return out
+
+
 def sparse_units(units: DataFrame) -> DataFrame:
-    """(row_id, dim, value) of units(unit_id, text_for_embedding), to be written once for many searches."""
-    return sparse_embedding(units.select(F.col("unit_id").alias("row_id"), "text_for_embedding"), "row_id", "text_for_embedding")
+    """(row_id, dims, values) of units(unit_id, text_for_embedding), to be written once for many searches."""
+    return sparse_vectors(units.select(F.col("unit_id").alias("row_id"), "text_for_embedding"), "row_id", "text_for_embedding", DIMS)
 
 
 def sparse_top(vectors: DataFrame, units: DataFrame, queries: DataFrame, unit_limit: int = 120) -> DataFrame:
     """(query_id, unit_id, paragraph_id, unit_type, score, rank): units(unit_id, paragraph_id, unit_type, weight) nearest to queries(query_id, query).
 
-    Both sides are hashed sparse vectors and meet by an equi-join on their
-    components; the score is weighted afterwards, ties go to the smaller id.
+    Hashed sparse vectors, multiplied in blocks as in `exact_top`; the score is
+    weighted, ties go to the smaller id.
     """
-    q = sparse_embedding(queries.select("query_id", "query"), "query_id", "query").withColumnRenamed("value", "q_value")
-    scored = sparse_dot(q, vectors).withColumnRenamed("row_id", "unit_id").join(units.select("unit_id", "paragraph_id", "unit_type", F.coalesce("weight", F.lit(1.0)).alias("weight")), "unit_id")
-    scored = scored.withColumn("score", F.round(F.col("score") * F.col("weight"), 9)).drop("weight")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "unit_id")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= unit_limit)
+    known = units.select(F.col("unit_id").alias("row_id"), "paragraph_id", "unit_type", F.coalesce("weight", F.lit(1.0)).alias("weight"))
+    rows = vectors.join(known.select("row_id", "weight"), "row_id")
+    q = written(sparse_vectors(queries, "query_id", "query", DIMS))
+    n = q.count()
+    found = _ranked([_passes(rows, q, n, DIMS, _spread, unit_limit)] if n else [], rows, q, unit_limit)
+    return found.withColumn("score", F.round("score", 9)).join(known.drop("weight"), "row_id").withColumnRenamed("row_id", "unit_id")
 
 
 def hits_to_paragraphs(hits: DataFrame, limit: int, most_hits: int = 5) -> DataFrame:

@@ -320,7 +320,7 @@ def _sparse(source: str, key: str, text: str, name: str) -> str:
 _NEAR = f"""u1 as (select * from (select *, row_number() over (partition by unit_id order by weight desc nulls last, paragraph_id desc nulls last, text_for_embedding desc nulls last) as rn from retrieval_units) where rn = 1),
 {_sparse('u1', 'unit_id', 'text_for_embedding', 'uvec')}, {_sparse('judged', 'query_id', 'query', 'qvec')},
 vs as (select query_id, unit_id, sum(q.value * v.value) as score from qvec q join uvec v using (dim) group by 1, 2),
-vh as (select query_id, vs.unit_id, paragraph_id, unit_type, round(score * coalesce(weight, 1.0), 9) as score, row_number() over (partition by query_id order by round(score * coalesce(weight, 1.0), 9) desc, vs.unit_id) as r from vs join u1 using (unit_id) qualify r <= 120),
+vh as (select query_id, vs.unit_id, paragraph_id, unit_type, round(score * coalesce(weight, 1.0), 9) as score, row_number() over (partition by query_id order by round(score * coalesce(weight, 1.0), 12) desc, vs.unit_id) as r from vs join u1 using (unit_id) qualify r <= 120),
 vp as (select query_id, paragraph_id as row_id, max(score) + 0.03 * (count(distinct unit_type) - 1) + 0.01 * least(8, count(*) - 1) as score from vh group by 1, 2),
 vchan as (select query_id, row_id, round(score, 9) as score, row_number() over (partition by query_id order by round(score, 9) desc, row_id) as rank from vp)"""
 _LASTR = """lastr as (select * from (select *, row_number() over (partition by relation_id order by recorded_at desc nulls last, evidence_id desc nulls last, subject_entity_id desc nulls last) as rn from relations) where rn = 1)"""
