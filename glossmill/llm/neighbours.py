@@ -1,31 +1,31 @@
 """Problem 7: the k most similar vectors of every vector, by shifted Hilbert curves.
 
-Vectors are scaled to unit length, projected to a few dimensions along random
-directions, shifted at random and put in the order of a Hilbert curve; several
-such orders are made. Spark range-partitions and sorts the rows of all orders
-by (order, key). In each partition a window slides over the sorted rows, and
-every vector is compared with the `window` rows on either side by one matrix
-product a block. The k-th best cosine found in all orders is a lower bound for
-each vector.
-
-A group of near copies may hold far more rows than a window, so the windows
-only give the bound. The rows are then packed in the first order into blocks of
-`BLOCK` bytes, and every pair of blocks meets in one matrix product unless the
-angle between their centres, less their radii, shows that no row of one can
-reach the bound of a row of the other. What reaches it is ranked by its exact
-cosine: nothing is lost, at any density. Where vectors lie apart in all
-dimensions few blocks are ruled out and the work grows with the square of the
-rows.
-
-Identical vectors become one row first, so that a vector shared by a third of
-all units costs one row; of such a class the k + 1 smallest ids stand as
-neighbours, which suffices for k neighbours of any unit.
+1. Identical vectors become one row, so that a vector shared by a third of all
+   units costs one row. Each is scaled to unit length and coded in 16 bits a
+   component (cosines move by less than 2e-5).
+2. Vectors are projected to a few random dimensions, cut at quantiles of a
+   bounded sample (so dense regions get fine cells), and put in the order of a
+   Hilbert curve; `ORDERS` such orders are made. Spark range-partitions and
+   sorts the rows of all orders by (order, key). In each partition a window
+   slides over the sorted rows: every vector meets the `window` rows on either
+   side in matrix products of blocks. Rows at the edges of partitions are
+   handed on and meet those of the next one.
+3. The lists of all orders are merged. Every vector then visits the blocks of
+   the first order in which its `VISITS` best neighbours lie, and meets all
+   rows there: what one order misses lies near what another has found.
+4. The best k of all that was met are the neighbours.
+
+The work grows in proportion to the rows. The result is approximate; the
+README has the share of true neighbours that is found. Where a block has very
+many visitors they are split over several tasks, each with a copy of the block.
 
 Defined results: null and zero vectors, vectors with a null or non-finite
 component and null ids have no neighbours and are none; duplicate rows count
 once; of different vectors of one id the smallest counts; vectors of different
-length are never neighbours; ties go to the smaller id. Extra columns are
-ignored, empty tables give empty results.
+length are never neighbours; ties go to the smaller id. Of a class of identical
+vectors the k + 1 smallest ids stand as neighbours, which suffices for k
+neighbours of any unit. Extra columns are ignored, empty tables give empty
+results.
 """
 
 from __future__ import annotations
@@ -34,16 +34,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossmill.session import written
 
-#: Orders, projected dimensions, bits of a dimension, rows compared on either side.
-ORDERS, DIMS, BITS, WINDOW = 12, 8, 7, 256
-#: Bytes of the vectors of a block.
-BLOCK = 1 << 20
-_BLOCKS = "block string, width int, cids array<string>, vectors binary, bounds array<double>, centre array<double>, radius double, low double"
+#: Orders, projected dimensions, bits of a dimension, rows compared on either side (and rows of a block that is visited).
+ORDERS, DIMS, BITS, WINDOW = 6, 8, 7, 3072
+#: Neighbours whose blocks are visited, visitors of a block in one task, vectors of which quantiles are taken.
+VISITS, VISITORS, SAMPLE = 12, 8192, 20_000
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -75,154 +75,229 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def curve_keys(vectors: np.ndarray, order: int, dims: int = DIMS, bits: int = BITS) -> np.ndarray:
-    """Hilbert keys of unit vectors in one random order."""
+def projected(vectors: np.ndarray, order: int, dims: int = DIMS) -> np.ndarray:
+    """Unit vectors along the random directions of an order."""
     width = vectors.shape[1]
     rng = np.random.default_rng([11, order, width])
-    directions = np.linalg.qr(rng.normal(size=(width, min(dims, width))))[0]
-    at = vectors @ directions * np.sqrt(width) / 8 + 0.5 + rng.uniform(-0.1, 0.1, directions.shape[1])
-    return hilbert_keys(np.clip(at * (1 << bits), 0, (1 << bits) - 1), bits)
+    return vectors @ np.linalg.qr(rng.normal(size=(width, min(dims, width))))[0]
 
 
-def _ordered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for _, rows in batch.groupby("width", sort=False):
-            x = np.stack(rows["vector"].to_numpy()).astype(np.float64)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            for order in range(ORDERS):
-                yield pd.DataFrame({"width": rows["width"].to_numpy(), "ord": order, "key": curve_keys(x, order), "cid": rows["cid"].to_numpy(), "vector": rows["vector"].to_numpy()})
+def quantile_cuts(sample: np.ndarray) -> list[np.ndarray]:
+    """For each order the cuts of its dimensions into cells of equal counts, shifted at random by part of a cell."""
+    cuts = []
+    for order in range(ORDERS):
+        shift = np.random.default_rng([13, order]).uniform(0.1, 0.9)
+        at = (np.arange((1 << BITS) - 1) + shift) / ((1 << BITS) - 1)
+        cuts.append(np.quantile(projected(sample, order), at, axis=0).T)
+    return cuts
+
+
+def curve_keys(vectors: np.ndarray, order: int, cuts: list[np.ndarray]) -> np.ndarray:
+    """Hilbert keys of unit vectors in one order."""
+    at = projected(vectors, order)
+    return hilbert_keys(np.stack([np.searchsorted(c, x) for c, x in zip(cuts[order], at.T, strict=True)], axis=1), BITS)
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    x = vectors.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def coded(unit: np.ndarray) -> list[bytes]:
+    """16 bits a component, the greatest component of a vector being 32767."""
+    return [x.tobytes() for x in np.rint(unit / np.abs(unit).max(axis=1, keepdims=True) * 32767).astype(np.int16)]
+
+
+def decoded(codes: np.ndarray) -> np.ndarray:
+    """Unit vectors of codes of one length."""
+    x = np.frombuffer(b"".join(codes), np.int16).reshape(len(codes), -1).astype(np.float32)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def best_columns(score: np.ndarray, k: int, group: int = 16) -> np.ndarray:
+    """Columns of the k greatest values of each row: they lie in the k groups of columns of greatest maximum."""
+    n, m = score.shape
+    if m <= 4 * k * group:
+        return np.argpartition(-score, min(k, m) - 1, axis=1)[:, :k]
+    if m % group:
+        score = np.pad(score, ((0, 0), (0, group - m % group)), constant_values=-9)
+    tops = score.reshape(n, -1, group).max(axis=2)
+    near = np.argpartition(-tops, k - 1, axis=1)[:, :k]
+    columns = (near[:, :, None] * group + np.arange(group)).reshape(n, -1)
+    return np.take_along_axis(columns, np.argpartition(-np.take_along_axis(score, columns, 1), k - 1, axis=1)[:, :k], 1)
+
+
+def _lists(cids: np.ndarray, near: np.ndarray, score: np.ndarray, k: int, least: float) -> pd.DataFrame:
+    """(cid, near, cosine): of each row the ids of its best columns."""
+    top = best_columns(score, k)
+    value = np.take_along_axis(score, top, 1)
+    fine = value >= max(least, -2)
+    return _frame(cids, [near[t[f]] for t, f in zip(top, fine, strict=True)], [v[f] for v, f in zip(value, fine, strict=True)])
+
+
+def _frame(cids, near: list, cosine: list) -> pd.DataFrame:
+    return pd.DataFrame({"cid": np.asarray(cids, np.int64), "near": pd.Series(near, dtype=object), "cosine": pd.Series(cosine, dtype=object)})
+
+
+def _ordered(cuts: dict[int, list[np.ndarray]]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for width, rows in batch.groupby("width", sort=False):
+                x = _unit(np.stack(rows["vector"].to_numpy()))
+                codes = coded(x)
+                known = cuts.get(int(width)) or quantile_cuts(x)  # a length so rare that the sample has none
+                for order in range(ORDERS):
+                    yield pd.DataFrame({"width": rows["width"].to_numpy(), "ord": order, "key": curve_keys(x, order, known), "cid": rows["cid"].to_numpy(), "code": codes})
+
+    return run
+
+
+_PASSED = "cid long, near array<long>, cosine array<float>, block long, code binary, edge int, side int, width int, ord int"
 
 
 def _windows(k: int, least: float, window: int):
-    """Best k of the sorted window round every row; the partition is read as a stream."""
+    """Lists from the window round every row, read as a stream; rows of the first order with their block; rows at the edges of the partition."""
 
-    def best(rows: pd.DataFrame, start: int, stop: int) -> pd.DataFrame:
-        cid, group = rows["cid"].to_numpy(), rows["width"].to_numpy() * ORDERS + rows["ord"].to_numpy()
-        found = []
-        for at in range(start, stop, 256):
-            end = min(at + 256, stop)
+    def best(rows: pd.DataFrame, x: np.ndarray, start: int, stop: int) -> Iterator[pd.DataFrame]:
+        cid, group = rows["cid"].to_numpy(), rows["group"].to_numpy()
+        step = max(64, min(512, window))
+        for at in range(start, stop, step):
+            end = min(at + step, stop)
             for g in np.unique(group[at:end]):
                 mine = np.flatnonzero(group[at:end] == g) + at
-                lo, hi = max(0, mine[0] - window), min(len(rows), mine[-1] + 1 + window)
-                near = np.flatnonzero(group[lo:hi] == g) + lo
-                x = np.stack(rows["vector"].to_numpy()[near]).astype(np.float64)
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
-                cosine = x[mine - near[0]] @ x.T
-                cosine[np.abs(mine[:, None] - near[None]) > window] = -9
-                cosine[cid[mine][:, None] == cid[near][None]] = -9
-                top = np.argpartition(-cosine, min(k, len(near)) - 1, axis=1)[:, :k]
-                value = np.take_along_axis(cosine, top, 1)
-                i, j = np.nonzero(value >= max(least, -2))
-                found.append(pd.DataFrame({"cid": cid[mine[i]], "near": cid[near[top[i, j]]], "cosine": value[i, j]}))
-        return pd.concat(found) if found else pd.DataFrame({"cid": [], "near": [], "cosine": []})
+                lo = max(0, mine[0] - window, int(np.searchsorted(group, g)))
+                hi = min(mine[-1] + 1 + window, int(np.searchsorted(group, g, side="right")))
+                score = x[mine] @ x[lo:hi].T
+                score[np.arange(len(mine)), mine - lo] = -9
+                out = _lists(cid[mine], cid[lo:hi], score, k, least)
+                first = rows["ord"].to_numpy()[mine[0]] == 0
+                yield out.assign(block=rows["block"].to_numpy()[mine] if first else -1, code=rows["code"].to_numpy()[mine] if first else None, edge=-1, side=-1, width=rows["width"].to_numpy()[mine], ord=rows["ord"].to_numpy()[mine])
+
+    def edges(rows: pd.DataFrame, part: int, side: int) -> pd.DataFrame:
+        empty = [[]] * len(rows)
+        out = _frame(rows["cid"], empty, empty)
+        return out.assign(block=-1, code=rows["code"].to_numpy(), edge=part - side, side=side, width=rows["width"].to_numpy(), ord=rows["ord"].to_numpy())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest, done = None, 0
+        part = TaskContext.get().partitionId()
+        rest, x, done, place = None, None, 0, 0
+        opening = 0
         for batch in batches:
-            rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            if not len(batch):
+                continue
+            batch = batch.assign(group=batch["width"].to_numpy() * ORDERS + batch["ord"].to_numpy(), block=(part << 32) + (place + np.arange(len(batch))) // window)
+            place += len(batch)
+            if opening < window:
+                yield edges(batch.iloc[: window - opening], part, 1)
+                opening += len(batch)
+            for width, rows in batch.groupby("width", sort=True):
+                y = decoded(rows["code"].to_numpy())
+                if rest is not None and len(rest) and x.shape[1] != width:
+                    yield from best(rest, x, done, len(rest))
+                    yield edges(rest.iloc[-window:], part, 0)
+                    rest = None
+                rest, x = (rows.reset_index(drop=True), y) if rest is None else (pd.concat([rest, rows], ignore_index=True), np.concatenate([x, y]))
+                done = done if len(rest) > len(rows) else 0
             stop = len(rest) - window
-            if stop > done:
-                yield best(rest, done, stop)
+            if stop - done >= window:
+                yield from best(rest, x, done, stop)
                 keep = max(0, stop - window)
-                rest, done = rest.iloc[keep:].reset_index(drop=True), stop - keep
-        if rest is not None and len(rest) > done:
-            yield best(rest, done, len(rest))
+                rest, x, done = rest.iloc[keep:].reset_index(drop=True), x[keep:], stop - keep
+        if rest is not None and len(rest):
+            yield from best(rest, x, done, len(rest))
+            yield edges(rest.iloc[-window:], part, 0)
 
     return run
 
 
-def _unit(vectors: np.ndarray) -> np.ndarray:
-    x = vectors.astype(np.float64)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+def _stitched(k: int, least: float):
+    """The last rows of a partition against the first of the next, where they are of the same order."""
 
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, same in rows.groupby(["width", "ord"]):
+            left, right = same[same["side"] == 0], same[same["side"] == 1]
+            if len(left) and len(right):
+                a, b, score = left["cid"].to_numpy(), right["cid"].to_numpy(), decoded(left["code"].to_numpy()) @ decoded(right["code"].to_numpy()).T
+                out += [_lists(a, b, score, k, least), _lists(b, a, np.ascontiguousarray(score.T), k, least)]
+        return pd.concat(out) if out else _frame([], [], [])
 
-def _first_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for _, rows in batch.groupby("width", sort=False):
-            yield rows.assign(key=curve_keys(_unit(np.stack(rows["vector"].to_numpy())), 0))
-
-
-def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Blocks of rows that follow each other in the sorted partition; in a block rows lie by their smallest unit id."""
-
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("uid")
-        x = np.stack(rows["vector"].to_numpy()).astype(np.float32)
-        unit = _unit(x)
-        centre = unit.sum(axis=0)
-        centre = centre / np.linalg.norm(centre) if np.linalg.norm(centre) > 1e-9 else unit[0]
-        radius = float(np.arccos(np.clip(unit @ centre, -1, 1)).max())
-        return pd.DataFrame([{
-            "block": rows["cid"].min(), "width": int(rows["width"].iat[0]), "cids": rows["cid"].tolist(), "vectors": x.tobytes(), "bounds": rows["bound"].tolist(),
-            "centre": centre.tolist(), "radius": radius, "low": float(rows["bound"].min()),
-        }])
-
-    rest: pd.DataFrame | None = None
-    for batch in batches:
-        rest = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-        while len(rest):
-            width = rest["width"].iat[0]
-            most, own = max(1, BLOCK // (4 * int(width))), int((rest["width"] == width).sum())
-            if own < most and own == len(rest):
-                break
-            yield pack(rest.iloc[: min(most, own)])
-            rest = rest.iloc[min(most, own) :].reset_index(drop=True)
-    if rest is not None and len(rest):
-        yield pack(rest)
-
-
-def _reach(cosine: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, column, cosine) of the k best of each row that reach its bound; ties go to the first column."""
-    i, j = np.nonzero(cosine >= bounds[:, None] - 1e-9)
-    value = cosine[i, j]
-    order = np.lexsort((j, -value, i))
-    i, j, value = i[order], j[order], value[order]
-    kept = np.arange(len(i)) - np.searchsorted(i, i) < k
-    return i[kept], j[kept], value[kept]
-
-
-def _meet(k: int, least: float):
-    """All rows of one block against all of another, in both directions."""
-
-    def run(pairs: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for p in pairs.itertuples():
-            x, y = (_unit(np.frombuffer(v, dtype=np.float32).reshape(-1, p.width)) for v in (p.a_vectors, p.b_vectors))
-            a_cids, b_cids, a_bounds, b_bounds = np.asarray(p.a_cids, object), np.asarray(p.b_cids, object), np.asarray(p.a_bounds), np.asarray(p.b_bounds)
-            for at in range(0, len(x), 512):
-                cosine = x[at : at + 512] @ y.T
-                if p.a == p.b:
-                    own = np.arange(at, at + len(cosine))
-                    cosine[own - at, own] = -9
-                i, j, value = _reach(cosine, np.maximum(a_bounds[at : at + 512], -2), k)
-                found.append((a_cids[at + i], b_cids[j], value))
-                if p.a != p.b:
-                    i, j, value = _reach(cosine.T, np.maximum(b_bounds, -2), k)
-                    found.append((b_cids[i], a_cids[at + j], value))
-        cid, near, value = (np.concatenate(x) for x in zip(*found, strict=True))
-        fine = value >= max(least, -2)
-        return pd.DataFrame({"cid": cid[fine], "near": near[fine], "cosine": value[fine]})
+    return run
+
+
+def _visited(k: int, least: float):
+    """Rows sorted by (block, part, role): the rows of a block, then its visitors, who meet them batch by batch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, home = None, []
+        for batch in batches:
+            for key, rows in batch.groupby(["block", "part"], sort=False):
+                if key != at:
+                    at, home = key, []
+                there, guests = rows[rows["role"] == 0], rows[rows["role"] == 1]
+                if len(there):
+                    home.append((there["cid"].to_numpy(), decoded(there["code"].to_numpy())))
+                if len(guests) and home:
+                    if len(home) > 1:
+                        home = [tuple(map(np.concatenate, zip(*home, strict=True)))]
+                    cids, x = home[0]
+                    for start in range(0, len(guests), 512):
+                        some = guests.iloc[start : start + 512]
+                        yield _lists(some["cid"].to_numpy(), cids, decoded(some["code"].to_numpy()) @ x.T, k, least)
 
     return run
 
 
-def _complete(classes: DataFrame, bounds: DataFrame, k: int, least: float) -> DataFrame:
-    """(cid, near, cosine): all that may be among the k best, from every pair of blocks that the bounds don't rule out."""
-    rows = classes.join(bounds, "cid", "left").withColumn("bound", F.coalesce("bound", F.lit(float(least))))
-    kind = classes.schema["uid"].dataType.simpleString()
-    rows = rows.select("width", "cid", "uid", "vector", "bound").mapInPandas(_first_keys, f"width int, cid string, uid {kind}, vector array<float>, bound double, key long")
-    rows = rows.repartitionByRange("width", "key").sortWithinPartitions("width", "key", "cid")
-    blocks = written(rows.mapInPandas(_packed, _BLOCKS))
-    a, b = ([F.col(c).alias(f"{side}_{c}") for c in ("centre", "radius", "low")] for side in "ab")
-    # A few hundred bytes for each MB of vectors.
-    pairs = blocks.select("width", F.col("block").alias("a"), *a).join(F.broadcast(blocks.select("width", F.col("block").alias("b"), *b)), "width").filter("a <= b")
-    dot = F.aggregate(F.zip_with("a_centre", "b_centre", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    one = lambda c: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))
-    apart = F.acos(one(dot)) - F.col("a_radius") - F.col("b_radius")
-    pairs = pairs.filter(apart <= F.acos(one(F.least("a_low", "b_low"))) + 1e-6).select("width", "a", "b")
-    for side in "ab":
-        pairs = pairs.join(blocks.select(F.col("block").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("cids", "vectors", "bounds")]), side)
-    return pairs.groupBy("a", "b").applyInPandas(_meet(k, least), "cid string, near string, cosine double")
+def _merged(k: int):
+    """Several lists of a class as one: every neighbour once, the best k."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            near, cosine = [], []
+            for ids, values in zip(batch["near"], batch["cosine"], strict=True):
+                ids = np.concatenate(ids) if len(ids) else np.empty(0, np.int64)
+                values = np.concatenate(values) if len(values) else np.empty(0, np.float32)
+                order = np.argsort(-values, kind="stable")
+                ids, values = ids[order], values[order]
+                first = np.sort(np.unique(ids, return_index=True)[1])[:k]
+                near.append(ids[first])
+                cosine.append(values[first])
+            yield _frame(batch["cid"], near, cosine)
+
+    return run
+
+
+_LIST = "cid long, near array<long>, cosine array<float>"
+
+
+def _merge(lists: DataFrame, k: int) -> DataFrame:
+    return lists.groupBy("cid").agg(F.collect_list("near").alias("near"), F.collect_list("cosine").alias("cosine")).mapInPandas(_merged(k), _LIST)
+
+
+def near_classes(classes: DataFrame, k: int, least: float, window: int) -> DataFrame:
+    """(cid, near, cosine): the best classes of classes(cid, width, vector), as arrays."""
+    n = classes.count()
+    sample = classes.sample(min(1.0, 1.2 * SAMPLE / max(1, n)), seed=5).limit(SAMPLE).select("width", "vector").toPandas()
+    cuts = {int(w): quantile_cuts(_unit(np.stack(rows["vector"].to_numpy()))) for w, rows in sample.groupby("width")}
+    at = ["width", "ord", "key", "cid"]
+    rows = classes.select("width", "cid", "vector").mapInPandas(_ordered(cuts), "width int, ord int, key long, cid long, code binary")
+    most = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(most, n * ORDERS // (4 * window)))  # windows should be short against partitions
+    found = max(k + 1, VISITS // 2)
+    passed = written(rows.repartitionByRange(parts, *at).sortWithinPartitions(*at).mapInPandas(_windows(found, least, window), _PASSED))
+    edges = passed.filter("edge >= 0").groupBy("edge").applyInPandas(_stitched(found, least), _LIST)
+    lists = passed.filter("edge = -1 and side = -1").select("cid", "near", "cosine").unionByName(edges)
+    first = written(_merge(lists, max(k + 1, VISITS)))
+    homes = passed.filter("block >= 0").select("cid", "block", "code")
+    wanted = first.select("cid", F.explode(F.slice("near", 1, VISITS)).alias("near")).join(homes.select(F.col("cid").alias("near"), "block"), "near").select("cid", "block").distinct()
+    wanted = wanted.join(homes.select("cid", F.col("block").alias("own"), "code"), "cid").filter("block != own").select("block", "cid", "code")
+    wanted = written(wanted)
+    parts_of = wanted.groupBy("block").agg(F.ceil(F.count("*") / VISITORS).cast("int").alias("parts"))
+    guests = wanted.join(parts_of, "block").select("block", F.pmod(F.xxhash64("cid"), "parts").cast("int").alias("part"), F.lit(1).alias("role"), "cid", "code")
+    there = homes.join(parts_of, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), "cid", "code")
+    met = there.unionByName(guests).repartition("block", "part").sortWithinPartitions("block", "part", "role").mapInPandas(_visited(k + 1, least), _LIST)
+    return _merge(first.unionByName(met), k + 1)
 
 
 def nearest(df: DataFrame, unit_id: str, vector: str, k: int = 5, least: float = -2.0, window: int = WINDOW) -> DataFrame:
@@ -231,24 +306,18 @@ def nearest(df: DataFrame, unit_id: str, vector: str, k: int = 5, least: float =
     units = df.select(F.col(unit_id).alias("uid"), v.alias("vector"))
     fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     units = units.filter(F.col("uid").isNotNull() & F.col("vector").isNotNull()).filter(fine).groupBy("uid").agg(F.min("vector").alias("vector"))
-    units = units.withColumn("cid", F.concat_ws("-", F.md5(F.to_json("vector")), F.size("vector")))
-    member = written(units)
-    first = Window.partitionBy("cid").orderBy("uid")
-    ids = member.select("cid", "uid").withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k + 1)
-    ids = ids.groupBy("cid").agg(F.sort_array(F.collect_list("uid")).alias("uids"))
-    classes = member.groupBy("cid").agg(F.first("vector").alias("vector"), F.min("uid").alias("uid")).withColumn("width", F.size("vector"))
-    rows = classes.drop("uid").mapInPandas(_ordered, "width int, ord int, key long, cid string, vector array<float>")
-    rows = rows.repartitionByRange("width", "ord", "key").sortWithinPartitions("width", "ord", "key", "cid")
-    pairs = rows.mapInPandas(_windows(k, least, window), "cid string, near string, cosine double")
-    pairs = pairs.groupBy("cid", "near").agg(F.max("cosine").alias("cosine"))
-    bounds = pairs.groupBy("cid").agg(F.sort_array(F.collect_list("cosine"), False).alias("c")).filter(F.size("c") >= k).select("cid", F.col("c")[k - 1].alias("bound"))
-    pairs = _complete(classes, bounds, k, least)
-    near = ids.select(F.col("cid").alias("near"), F.col("uids").alias("near_uids"))
-    # No more than k classes are needed: each has a unit of its own.
-    best = Window.partitionBy("cid").orderBy(F.desc("cosine"), F.col("near_uids")[0])
-    kept = pairs.join(near, "near").withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).drop("r")
-    named = kept.select("cid", F.explode(F.slice("near_uids", 1, k)).alias("nid"), "cosine")
+    units = written(units.withColumn("same", F.md5(F.to_json("vector"))))
+    classes = units.groupBy("same").agg(F.first("vector").alias("vector"))
+    classes = written(classes.select("same", "vector", F.size("vector").alias("width"), F.monotonically_increasing_id().alias("cid")))
+    member = units.select("uid", "same").join(classes.select("same", "cid"), "same").drop("same")
+    smallest = F.row_number().over(Window.partitionBy("cid").orderBy("uid"))
+    ids = written(member.withColumn("r", smallest).filter(F.col("r") <= k + 1).groupBy("cid").agg(F.sort_array(F.collect_list("uid")).alias("uids")))
+    pairs = near_classes(classes, k, least, window)
+    pairs = pairs.select("cid", F.explode(F.arrays_zip("near", "cosine")).alias("n")).select("cid", "n.near", F.round(F.col("n.cosine").cast("double"), 6).alias("cosine"))
+    near = ids.select(F.col("cid").alias("near"), F.slice("uids", 1, k).alias("near_uids"))
+    named = pairs.join(near, "near").select("cid", F.explode("near_uids").alias("nid"), "cosine")
     same = ids.filter(F.size("uids") > 1).select("cid", F.explode("uids").alias("nid"), F.lit(1.0).alias("cosine")).filter(F.lit(least) <= 1)
+    # At most k + 1 classes of k ids each, and k + 1 ids of the own class.
     lists = named.unionByName(same).groupBy("cid").agg(F.sort_array(F.collect_list(F.struct((-F.col("cosine")).alias("far"), "nid"))).alias("near"))
     mine = member.select("cid", "uid").join(lists, "cid")
     mine = mine.withColumn("near", F.slice(F.filter("near", lambda x: x["nid"] != F.col("uid")), 1, k))
