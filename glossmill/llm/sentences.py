@@ -4,13 +4,19 @@ A text is read once for its marks (terminators, quotation marks, brackets). A
 stack of what is open decides which marks count; each remaining gap is then
 classified:
 
-* In scripts without spaces the text after the gap is segmented by the
-  cheapest path through a lattice of dictionary words; a gap whose right side
-  opens with a word that continues a sentence (a particle, a resumption such as
-  "said so") is none, nor is one before a comma.
-* In spaced scripts a period is read through a lattice of what it may be: the
-  end of a sentence, of an abbreviation, of an ordinal, or the inside of a
-  number. Costs from the words on both sides decide.
+* In scripts without spaces the clauses on both sides of the gap are segmented
+  by the cheapest path through a lattice of dictionary words (function words
+  and the given lexicon). The last word before the gap (a final particle) and
+  the first after it (a word that opens a sentence, or one that carries it on,
+  such as a particle or "said so") then classify the gap. Behind quotations,
+  brackets and ellipses a gap is an end unless the sentence is carried on;
+  at a blank of a script that has no end marks (Thai, Lao, Khmer), and of a
+  single line of Chinese or Japanese without any mark, it is one only behind a
+  final particle or before an opening word.
+* In spaced scripts all periods of a text are read by one cheapest path through
+  a lattice of what each may be: the end of a sentence, or part of an
+  abbreviation, an ordinal or a number. The words on both sides give the costs
+  of each reading, and two ends in a row with no word between them cost more.
 
 Defined results: null texts and texts of nothing but white space have no
 sentences; a text cut off ends with its last non-white character; a text
@@ -34,8 +40,10 @@ from pyspark.sql import functions as F
 OPEN = {"“": "”", "‘": "’", "「": "」", "『": "』", "（": "）", "(": ")", "【": "】", "〔": "〕", "《": "》", "〈": "〉", "[": "]", "«": "»", "„": "“”", "‚": "‘’", "｢": "｣"}
 CLOSE = set("”’」』）)】〕》〉]»“‘｣")
 QUOTES = set("“‘「『„‚\"«｢")
-ENDS = set("。｡！？!?；;…")
-_MARK = re.compile(r"[。｡！？!?；;…]+|\.+|[“”‘’「」『』（）()【】〔〕《》〈〉\[\]«»„‚\"｢｣]")
+#: Marks that always end a sentence: of Chinese and Japanese, Devanagari, Arabic and Urdu, Armenian, Ethiopic, Burmese, Khmer, Tibetan, Mongolian.
+ALWAYS = "。｡！？；।॥؟۔։።፧။។៕།᠃"
+ENDS = set(ALWAYS) | set("!?;…")
+_MARK = re.compile(rf"[{ALWAYS}!?;…]+|\.+|[“”‘’「」『』（）()【】〔〕《》〈〉\[\]«»„‚\"｢｣]")
 _IGNORED = re.compile(r"[\s­͏؜​-‏‪-‮⁠-⁯︀-️﻿]*")
 _NOISE = re.compile(r"[^\S\n]*[\W_]{0,3}\s?(?:p\.\s?)?第?\s?\d{1,4}(?:\s?/\s?\d{1,4})?[页頁]?\s?[\W_]{0,3}[^\S\n]*(?:\n|$)")
 #: An open quotation or bracket lasts to the end of a rest of at most this many characters.
@@ -54,7 +62,17 @@ NUMBERED = set("fig figs no nos nr vol vols p pp s abb tab bd kap sec ch eq art"
 CLOSING = set("a.m p.m etc usw std min oz hrs sec kg mg lb ft in tbsp tsp u.s b.c a.d".split())
 ORDINAL = set("am vom zum zur der die das dem den des im beim seit bis jeden ein eine einen und".split())
 
-_WORDS = {w: 1.0 + 0.2 / len(w) for w in [*CONTINUING, *OPENING]}
+# Particles that close a sentence, and words that begin one, in Chinese, Japanese, Thai, Lao and Khmer.
+FINAL = "了 吗 嗎 呢 吧 啊 呀 嘛 啦 矣 焉 哉 乎 也 です でした ます ました ません だ である か よ ね ครับ ครับผม ค่ะ คะ นะ นะคะ นะครับ จ้ะ จ๊ะ ล่ะ เลย แล้ว ແລ້ວ ເດີ ទេ ហើយ".split()
+STARTING = (
+    "然后 然後 但是 可是 不过 不過 所以 因此 于是 於是 接着 首先 其次 最后 最後 另外 此外 そして しかし また 次に ところで だから さて まず つぎに "
+    "แต่ ดังนั้น จากนั้น ต่อมา นอกจากนี้ อย่างไรก็ตาม เพราะฉะนั้น แล้วก็ ແຕ່ ดังน้ัน ដូច្នេះ ប៉ុន្តែ"
+).split()
+#: Words that carry on a sentence over a blank.
+BINDING = set(CONTINUING) | set("และ หรือ ที่ ซึ่ง ว่า เพราะ กับ ແລະ ຫຼື ທີ່ និង ឬ ដែល".split())
+_FINAL, _STARTING, _CARRIED = set(FINAL), set(STARTING), set(CONTINUING)
+
+_WORDS = {w: 1.0 + 0.2 / len(w) for w in [*CONTINUING, *OPENING, *FINAL, *STARTING, *BINDING]}
 
 
 def add_words(words: list[str]) -> dict[str, float]:
@@ -62,23 +80,68 @@ def add_words(words: list[str]) -> dict[str, float]:
     return _WORDS | {w: 1.0 + 0.2 / len(w) for w in words if w}
 
 
-def first_word(text: str, at: int, words: dict[str, float], reach: int = 8) -> str:
-    """First word of the cheapest segmentation of the next `reach` characters; an unknown character costs 2."""
-    end = min(len(text), at + reach)
-    n = end - at
+def segmented(text: str, words: dict[str, float], longest: int = 0) -> list[str]:
+    """The cheapest segmentation of a text; an unknown character costs 2."""
+    n = len(text)
+    longest = longest or max(map(len, words), default=1)
     best = [0.0] * (n + 1)
     take = [1] * (n + 1)
     for i in range(n - 1, -1, -1):
         best[i] = best[i + 1] + 2.0
-        for size in range(1, n - i + 1):
-            cost = words.get(text[at + i : at + i + size])
+        for size in range(1, min(longest, n - i) + 1):
+            cost = words.get(text[i : i + size])
             if cost is not None and best[i + size] + cost < best[i]:
                 best[i], take[i] = best[i + size] + cost, size
-    return text[at : at + take[0]]
+    out, at = [], 0
+    while at < n:
+        out.append(text[at : at + take[at]])
+        at += take[at]
+    return out
+
+
+_CLAUSE = re.compile(rf"[^{ALWAYS}!?;….,，、：:\s“”‘’「」『』（）()【】]+")
+_CLAUSE_END = re.compile(_CLAUSE.pattern + r"\Z")
+
+
+def first_word(text: str, at: int, words: dict[str, float]) -> str:
+    """First word of the clause that begins at a place."""
+    m = _CLAUSE.match(text, at)
+    return segmented(m.group(), words)[0] if m else ""
+
+
+def last_word(text: str, start: int, at: int, words: dict[str, float]) -> str:
+    """Last word of the clause before a place, marks left out."""
+    clause = text[start:at].rstrip("".join(ENDS | CLOSE) + " \t\r\n\u3000.")
+    m = _CLAUSE_END.search(clause)
+    return segmented(m.group(), words)[-1] if m else ""
 
 
 def _spaceless(char: str) -> bool:
-    return "⺀" <= char <= "꓏" or "豈" <= char <= "﫿" or "︰" <= char <= "￯" or char >= "\U00020000"
+    return "⺀" <= char <= "꓏" or "豈" <= char <= "﫿" or "︰" <= char <= "￯" or char >= "\U00020000" or _unmarked(char)
+
+
+def _unmarked(char: str) -> bool:
+    """Of a script that has neither spaces between words nor marks at the ends of sentences."""
+    return "\u0e00" <= char <= "\u0eff" or "\u1780" <= char <= "\u17ff"
+
+
+_BLANK = re.compile(r"(?<=\S)[^\S\n]+(?=\S)")
+
+
+def blank_ends(text: str, start: int, end: int, words: dict[str, float]) -> list[int]:
+    """Ends at blanks in a piece of a text without marks, by the words on both sides."""
+    out, since = [], start
+    for m in _BLANK.finditer(text, start, end):
+        at, after = m.start(), m.end()
+        if not (_spaceless(text[at - 1]) and _spaceless(text[after])):
+            continue
+        right = first_word(text, after, words)
+        if right in BINDING:
+            continue
+        if right in _STARTING or last_word(text, since, at, words) in _FINAL:
+            out.append(at)
+            since = after
+    return out
 
 
 def _skip(text: str, at: int) -> int:
@@ -104,38 +167,78 @@ def _continues(text: str, at: int, words: dict[str, float]) -> bool:
     if char in "，,、：:；;。.！!？?…—-～~）)】」』”":
         return True
     if _spaceless(char):
-        return first_word(text, at, words) in CONTINUING
+        return first_word(text, at, words) in _CARRIED
     return char.islower()
 
 
-def _period_ends(text: str, at: int, end: int) -> bool:
-    """Cheapest reading of a single period at `at`: end of sentence, or part of an abbreviation, ordinal or number."""
+_BEFORE_PERIOD = re.compile(r"(?<![A-Za-zÀ-ÿ])(?:[A-Za-zÀ-ÿ]\.\s?)+[A-Za-zÀ-ÿ]$|[A-Za-zÀ-ÿ]+$|\d+$")
+_INITIAL = re.compile(r"([A-Za-z]+)\.\s+[A-ZÀ-Þ]$")
+_ORDINAL_LEAD = re.compile(r"([A-Za-zÀ-ÿ]+)\s+\d+$")
+#: No abbreviation, with the word before an ordinal, is longer.
+LOOK_BACK = 24
+
+
+def period_costs(text: str, at: int, end: int) -> tuple[float, float]:
+    """Costs of reading a single period at `at` as the end of a sentence, and as part of an abbreviation, ordinal or number."""
+    never, always = (9.0, 0.0), (0.0, 9.0)
     nxt = _skip(text, end)
     glued = nxt == end
     while (noise := _NOISE.match(text, nxt)) and noise.end() > nxt and "\n" in text[end:nxt]:
         nxt = _skip(text, noise.end())
     after = text[nxt] if nxt < len(text) else ""
     if not after:
-        return True
+        return always
     if glued and not (after in QUOTES or _spaceless(after)):
-        return False
+        return never
     if _spaceless(_last(text, at)) or (glued and _spaceless(after)):
-        return False  # a dot between ideographs, or as in "No.9"
-    before = re.search(r"(?:[A-Za-zÀ-ÿ]\.\s?)+[A-Za-zÀ-ÿ]$|[A-Za-zÀ-ÿ]+$|\d+$", text[max(0, at - 24) : at])
+        return never  # a dot between ideographs, or as in "No.9"
+    lead_in = text[max(0, at - LOOK_BACK) : at]
+    before = _BEFORE_PERIOD.search(lead_in)
     word = re.sub(r"\s", "", before.group()).lower() if before else ""
     as_end = 2.0 if after.islower() else 0.0
     as_other = 1.0
     if word in BEFORE or (len(word) == 1 and word.isalpha() and re.match(r"\s?[A-ZÀ-Þa-z]\.", text[end : end + 3])):
         as_other = -1.0
+    elif (title := _INITIAL.search(lead_in)) and title.group(1).lower() in BEFORE:
+        as_other = -1.0  # an initial behind a title
     elif word in NUMBERED:
         as_other = -1.0 if after.isdigit() or after.islower() else 1.5
     elif word in CLOSING:
         as_other = 0.5 if after.islower() or after.isdigit() else 1.0
         as_end += 1.0 if after.isdigit() else 0.0
     elif word.isdigit() and len(word) <= 2:
-        lead = re.search(r"([A-Za-zÀ-ÿ]+)\s+\d+$", text[max(0, at - 24) : at])
+        lead = _ORDINAL_LEAD.search(lead_in)
         as_other = -1.0 if lead and lead.group(1).lower() in ORDINAL else 1.0
-    return as_end < as_other
+    return as_end, as_other
+
+
+_LETTERS = re.compile(r"[^\W\d_]{2}")
+
+
+def period_readings(text: str, marks: list[re.Match]) -> set[int]:
+    """Places of the single periods that end a sentence, by the cheapest path through the readings of all."""
+    steps = []  # place, costs, extra cost of an end right behind an end
+    previous = None
+    for m in marks:
+        if m.group() != ".":
+            previous = previous if m.group()[0] != "." and m.group() not in ENDS else None
+            continue
+        empty = previous is not None and not _LETTERS.search(text, previous, m.start())
+        steps.append((m.start(), period_costs(text, m.start(), m.end()), 1.25 if empty else 0.0))
+        previous = m.end()
+    end, other = 0.0, 0.0
+    came: list[tuple[bool, bool]] = []  # whether the cheapest way to an end, and to another reading, comes from an end
+    for _, (as_end, as_other), extra in steps:
+        from_end, to_other = end + extra < other, end < other
+        came.append((from_end, to_other))
+        end, other = as_end + min(end + extra, other), as_other + min(end, other)
+    out = set()
+    is_end = end < other
+    for (at, _, _), (from_end, to_other) in zip(reversed(steps), reversed(came), strict=True):
+        if is_end:
+            out.add(at)
+        is_end = from_end if is_end else to_other
+    return out
 
 
 def sentence_ends(text: str, words: dict[str, float] = _WORDS, headings: frozenset[str] = frozenset()) -> list[int]:
@@ -145,6 +248,7 @@ def sentence_ends(text: str, words: dict[str, float] = _WORDS, headings: frozens
     stack: list[tuple[str, int]] = []  # closing characters, place of the opening
     start, skip_to, any_mark = 0, 0, False
     closed = _closings(text, marks)
+    periods = period_readings(text, marks) if "." in text else ()
 
     def finish(at: int) -> None:
         nonlocal start
@@ -191,7 +295,7 @@ def sentence_ends(text: str, words: dict[str, float] = _WORDS, headings: frozens
                 any_mark = True
                 if not _continues(text, end, words) and (end >= len(text) or text[end].isspace()):
                     finish(end)
-            elif _period_ends(text, at, end):
+            elif at in periods:
                 any_mark = True
                 finish(end)
             continue
@@ -204,7 +308,7 @@ def sentence_ends(text: str, words: dict[str, float] = _WORDS, headings: frozens
         if set(mark) == {"…"} or mark[-1] == "…":
             if not _continues(text, end, words):
                 finish(end)
-        elif lead and _spaceless(lead) or "。" in mark or "；" in mark or "！" in mark or "？" in mark:
+        elif lead and _spaceless(lead) or any(c in ALWAYS for c in mark):
             at = _skip(text, end)
             after = text[at : at + 1]
             if after not in tuple("，,、：:") and not (after and _spaceless(after) and first_word(text, at, words) in ("と", "という", "って", "とは")):
@@ -215,11 +319,23 @@ def sentence_ends(text: str, words: dict[str, float] = _WORDS, headings: frozens
                 if after > end or after >= len(text) or _spaceless(text[after]) or text[after] in QUOTES:
                     finish(end)
     if not any_mark:
-        return _line_ends(text, headings)
+        ends = _line_ends(text, headings)
+        return _with_blank_ends(text, ends, words) if len(ends) == 1 or _UNMARKED.search(text) else ends
     rest = text[start:].rstrip()
     if rest and _IGNORED.fullmatch(rest) is None:
         ends.append(start + len(rest))
-    return ends
+    return _with_blank_ends(text, ends, words) if _UNMARKED.search(text) else ends
+
+
+_UNMARKED = re.compile(r"[\u0e01-\u0eff\u1780-\u17ff]")
+
+
+def _with_blank_ends(text: str, ends: list[int], words: dict[str, float]) -> list[int]:
+    out, start = [], 0
+    for end in ends:
+        out += [*blank_ends(text, start, end, words), end]
+        start = end
+    return out
 
 
 def _closings(text: str, marks: list[re.Match]) -> dict[int, str]:

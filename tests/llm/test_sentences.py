@@ -1,6 +1,6 @@
 import pytest
 
-from glossmill.llm.sentences import _WORDS, add_words, first_word, sentence_ends, sentence_texts, sentence_units
+from glossmill.llm.sentences import _WORDS, add_words, first_word, last_word, segmented, sentence_ends, sentence_texts, sentence_units
 
 
 def split(text, **kw):
@@ -41,6 +41,36 @@ def test_very_long_texts_stay_linear():
     assert sentence_ends("字" * 300_000) == [300_000]
 
 
+SCRIPTS = {
+    "thai": ["สวัสดีครับ", "วันนี้อากาศดีมากค่ะ", "ไปกินข้าวกันนะครับ", "ชาและ กาแฟ", "แต่ฝนตก"],
+    "japanese": ["今日は天気がいいです", "どこへ行きますか", "薬 草を見ました", "そして 帰る"],
+    "chinese": ["他来了", "你看见白云 草吗", "然后 回家"],
+    "hindi": ["यह पहला वाक्य है।", "यह दूसरा वाक्य है।", "क्या यह सच है?"],
+    "arabic": ["هل أنت بخير؟", "نعم، أنا بخير؛ شكرا۔", "الجملة الأخيرة."],
+    "armenian": ["Սա առաջինն է։", "Սա երկրորդն է։"],
+    "amharic": ["ይህ የመጀመሪያው ነው።", "ይህ ሁለተኛው ነው።"],
+    "burmese": ["ဒါပထမပါ။", "ဒါဒုတိယပါ။"],
+}
+
+
+@pytest.mark.parametrize("name", SCRIPTS)
+def test_scripts_by_marks_or_particles(name):
+    assert split(" ".join(SCRIPTS[name])) == SCRIPTS[name]
+
+
+def test_periods_are_read_together():
+    assert split("The dose is 5. 6. Then rest.") == ["The dose is 5.", "6. Then rest."]
+    assert split("So it ends.\np. 49\n\nDr. Tu asks.") == ["So it ends.", "p. 49\n\nDr. Tu asks."]
+    assert split("Add 3. Then rest. Done.") == ["Add 3.", "Then rest.", "Done."]
+    assert split("See Dr. A. Smith. He knows.") == ["See Dr. A. Smith.", "He knows."]
+
+
+def test_last_word_is_that_of_the_whole_clause():
+    words = add_words(["了解", "白云草"])
+    assert last_word("你看了", 0, 3, words) == "了" and last_word("我了解", 0, 3, words) == "了解" and last_word("有白云草。", 0, 5, words) == "白云草"
+    assert segmented("我了解白云草吗", words) == ["我", "了解", "白云草", "吗"]
+
+
 def test_lattice_prefers_the_longer_word():
     assert first_word("とても痛い", 0, _WORDS) == "とても" and first_word("と述べた", 0, _WORDS) == "と"
     assert first_word("之问，", 0, _WORDS) == "之问" and first_word("白云草", 0, add_words(["白云草"])) == "白云草"
