@@ -20,6 +20,8 @@ def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
     rows = written(p8_containers(spark, folder))
     boxes = rows.groupBy("container_kind", "capacity_tokens", "container_id").agg(F.sum("n_tokens").alias("fill"))
     whole = boxes.groupBy("container_kind", "capacity_tokens").agg(F.count("*").alias("n_containers"), F.sum("fill").alias("n_tokens"), F.max("fill").alias("fullest"))
+    like = rows.groupBy("container_kind").agg(F.avg("likeness").alias("mean_likeness"))
+    whole = whole.join(like, "container_kind", "left")
     return whole.withColumn("unused_share", 1 - F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens")))
 
 

@@ -3,7 +3,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from glossmill.llm.packing import Index, pack, pack_shard
+from glossmill.llm.packing import Index, content_keys, pack, pack_shard, pivot_table
 from glossmill.llm.tokens import with_size
 
 
@@ -40,6 +40,26 @@ def test_neighbours_share_terms():
         assert len({i % 5 for i, _, _ in box}) == 1
 
 
+def test_documents_of_one_topic_follow_each_other():
+    rng = np.random.default_rng(6)
+    topic = rng.integers(0, 6, 600)
+    terms = [np.unique(np.concatenate([100 * t + rng.integers(0, 100, 30), 900 + rng.integers(0, 90, 10)])).astype(np.int32) for t in topic]
+    df = np.bincount(np.concatenate(terms), minlength=1000)
+    tfs, weights = [np.ones(len(t), np.int32) for t in terms], np.log(1 + 600 / np.maximum(1, df)).astype(np.float32)
+    keys = content_keys(terms, tfs, weights, pivot_table(terms[:40], tfs[:40], weights))
+    ordered = topic[np.argsort(keys, kind="stable")]
+    assert (ordered[1:] == ordered[:-1]).mean() > 0.8
+
+
+def test_shards_of_a_stream_hold_every_document(spark):
+    rows = [(i, f"{'红花绿叶' if i % 2 else 'tea and ginger'} {i} " * (1 + i % 7)) for i in range(5200)]
+    got = pack(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", [("k", 256)])
+    per = got.groupBy("doc_id").count().collect()
+    assert len(per) == 5200 and got.selectExpr("max(likeness) > 0.2 as a").first().a
+    assert got.groupBy("container_id").sum("n_tokens").selectExpr("max(`sum(n_tokens)`) as m").first().m <= 256
+    assert got.select("container_id").distinct().filter("container_id like '%.0-%'").count() > 0
+
+
 def test_table(spark):
     rows = [(i, f"文字{i} text number {i} " * (1 + i % 40)) for i in range(300)] + [(0, "文字0 text number 0 "), (500, None), (None, "x"), (501, ""), (502, "长" * 20_000)]
     df = spark.createDataFrame([(i, t, 1, "s") for i, t in rows], "doc_id long, text string, n_tokens int, shard string")
