@@ -26,6 +26,7 @@ ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -35,11 +36,13 @@ from glossmill.llm.lookalikes import look_form
 from glossmill.session import written
 
 #: Texts that a heading opens at least; part of all numbers on own lines that a numbering sequence has at least.
-REPEATS, SEQUENCE_PART, LONGEST_HEADER = 3, 0.05, 28
+REPEATS, SEQUENCE_PART = 3, 0.05
+#: Characters by which a header may be longer than the longest title: lecture mark, page number and decoration; and what a line of a page number has at most.
+AROUND_TITLE, LONGEST_NUMBER = 20, 28
 #: A distance stands out if it has so many times the mean of the `ROUND` distances on either side.
 STANDS_OUT, ROUND = 4, 10
-#: The lexicon is spread to all tasks; above this many terms it is refused.
-MOST_TERMS = 100_000
+#: Misread forms of the lexicon that are spread to all tasks at once; more of them come in further passes.
+MOST_FORMS = 500_000
 
 # Ideographs that recognition takes for one another, by group.
 SIMILAR_IDEOGRAPHS = (
@@ -69,18 +72,21 @@ def variants(term: str) -> set[str]:
     return found
 
 
-def misread_finder(terms: list[str], simplified: dict[int, str]):
-    """A function from text to the sorted (as read, as meant) pairs in it."""
+def _misread_forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = [(v, term) for term in batch["term"] for v in sorted(variants(term))]
+        yield pd.DataFrame(rows, columns=["form", "term"], dtype=object)
+
+
+def misread_finder(forms: dict[str, str], simplified: dict[int, str]):
+    """A function from text to the sorted (as read, as meant) pairs in it; `forms` are misread forms with their terms."""
     import ahocorasick
 
-    known = set(terms)
-    latin = {v: t for t in terms if t.isascii() for v in variants(t) if v not in known}
+    latin = {v: t for v, t in forms.items() if t.isascii()}
     automaton = ahocorasick.Automaton()
-    for term in terms:
+    for v, term in forms.items():
         if not term.isascii():
-            for v in variants(term):
-                if v not in known:
-                    automaton.add_word(v, (v, term))
+            automaton.add_word(v, (v, term))
     automaton.make_automaton()
 
     def find(text: str) -> list[tuple[str, str]]:
@@ -95,6 +101,16 @@ def misread_finder(terms: list[str], simplified: dict[int, str]):
     return find
 
 
+def _finder(forms: dict[str, str], simplified: dict[int, str]):
+    @F.pandas_udf("array<struct<seen string, meant string>>")
+    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        finder = misread_finder(forms, simplified)  # once a task
+        for texts in batches:
+            yield texts.map(lambda t: [{"seen": a, "meant": b} for a, b in finder(t)])
+
+    return find
+
+
 def heading_key(line: str, simplified: dict[int, str]) -> str:
     """What is left of a header without script, blanks, numbers, marks and lecture."""
     line = look_form(line).translate(simplified)
@@ -117,15 +133,14 @@ class ScanNoise:
 
         spark = paragraphs.sparkSession
         self.simplified = simplified_map(spark)
-        if lexicon.count() > MOST_TERMS:
-            raise ValueError("the lexicon is too large to be spread")
-        self.terms = sorted({r[0] for r in lexicon.select("term").dropna().collect() if len(r[0]) > 2})
+        self.terms = lexicon.select("term").filter(F.length("term") > 2).distinct()
         rows = paragraphs.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull())
         doc = F.col("doc_id").cast("string") if "doc_id" in paragraphs.columns else F.lit(None).cast("string")
         rows = rows.select("item_id", doc.alias("doc_id"), "text", F.regexp_replace("title", r"\s*p\d+$", "").alias("title"), "page_start", F.coalesce("page_end", "page_start").alias("page_end"))
         self.texts = written(rows.distinct().withColumn("text_id", F.xxhash64("text")))
         lines = self.texts.select("item_id", "doc_id", "text_id", "page_start", "page_end", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-        short = (F.length("line") <= LONGEST_HEADER) & ~F.col("line").rlike(r"[，。；：？！「」『』“”\"…、,;:?!]")
+        longest = self.texts.agg(F.max(F.length("title"))).first()[0] or 0
+        short = (F.length("line") <= max(LONGEST_NUMBER, longest + AROUND_TITLE)) & ~F.col("line").rlike(r"[，。；：？！「」『』“”\"…、,;:?!]")
         lines = lines.filter(short & (F.trim("line") != ""))
         self.lines = written(self._with_keys(lines))
 
@@ -200,15 +215,18 @@ class ScanNoise:
 
     def misreads(self) -> DataFrame:
         """(item_id, text_id, misread): pairs of a term as read and as meant."""
-        terms, table = self.terms, self.simplified
-
-        @F.pandas_udf("array<struct<seen string, meant string>>")
-        def find(texts: pd.Series) -> pd.Series:
-            finder = misread_finder(terms, table)
-            return texts.map(lambda t: [{"seen": a, "meant": b} for a, b in finder(t)])
-
-        each = self.texts.select("text_id", "text").dropDuplicates(["text_id"]).select("text_id", find("text").alias("misread"))
-        return self.texts.select("item_id", "text_id").join(each.filter(F.size("misread") > 0), "text_id")
+        forms = self.terms.mapInPandas(_misread_forms, "form string, term string")
+        forms = written(forms.join(self.terms.withColumnRenamed("term", "form"), "form", "left_anti").groupBy("form").agg(F.min("term").alias("term")))
+        passes = max(1, -(-forms.count() // MOST_FORMS))
+        texts = self.texts.select("text_id", "text").dropDuplicates(["text_id"])
+        each = None
+        for part in range(passes):
+            pairs = forms.filter(F.pmod(F.xxhash64("form"), F.lit(passes)) == part).collect()
+            one = texts.select("text_id", _finder(dict(map(tuple, pairs)), self.simplified)("text").alias("misread")).filter(F.size("misread") > 0)
+            each = one if each is None else each.unionByName(one)
+        if passes > 1:
+            each = each.groupBy("text_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("misread")))).alias("misread"))
+        return self.texts.select("item_id", "text_id").join(each, "text_id")
 
     def kinds(self) -> DataFrame:
         """(item_id, noise_kind): which noise each text has."""
@@ -226,9 +244,10 @@ class ScanNoise:
     def repaired(self) -> DataFrame:
         """(item_id, text): the texts without headers and page numbers, lines joined, words and terms restored."""
         headers = written(self.headers())
-        drop = headers.select("item_id", "text_id", "line_no").unionByName(self.page_numbers(headers).filter(~F.col("part").rlike(r"^\d+$") | (F.col("line_no") > 0)).select("item_id", "text_id", "line_no"))
+        numbers = written(self.page_numbers(headers))
+        drop = headers.select("item_id", "text_id", "line_no").unionByName(numbers.filter(~F.col("part").rlike(r"^\d+$") | (F.col("line_no") > 0)).select("item_id", "text_id", "line_no"))
         drop = drop.groupBy("item_id", "text_id").agg(F.collect_set("line_no").alias("drop"))
-        stuck = self.page_numbers(headers).filter((F.col("line_no") == 0) & F.col("part").rlike(r"^\d+$")).select("item_id", "text_id", F.col("part").alias("stuck")).distinct()
+        stuck = numbers.filter((F.col("line_no") == 0) & F.col("part").rlike(r"^\d+$")).select("item_id", "text_id", F.col("part").alias("stuck")).distinct()
         hyphens = self.hyphenations().groupBy("item_id", "text_id").agg(F.collect_set(F.concat_ws("-", "head", "tail")).alias("broken"))
         keys = ["item_id", "text_id"]
         rows = self.texts.join(drop, keys, "left").join(stuck, keys, "left").join(hyphens, keys, "left").join(self.misreads().distinct(), keys, "left")

@@ -423,7 +423,7 @@ def _ends_of(words: dict[str, float]):
 
 
 #: Terms that may be spread to all tasks.
-MOST_TERMS = 100_000
+MOST_TERMS = 1_000_000
 
 
 def _items(df: DataFrame, item_id: str, text: str, title: str | None) -> DataFrame:

@@ -45,7 +45,7 @@ def test_pieces_of_the_method(spark):
     table = simplified_map(spark)
     assert heading_key("第五讲 醫 案 講 堂", table) == heading_key("医案讲堂 讲义 － 12 －", table) == "医案讲堂"
     assert "自云草" in variants("白云草") and "s1mmer" in variants("simmer") and "白云草" not in variants("白云草")
-    find = misread_finder(["白云草", "simmer"], table)
+    find = misread_finder({v: t for t in ("白云草", "simmer") for v in variants(t)}, table)
     assert find("自\n云草与白雲草") == [("自云草", "白云草")] and find("") == []
     assert repair_text("a", None, None, None, None) == "a"
 
@@ -57,6 +57,19 @@ def test_empty(spark):
     assert noise.kinds().count() == 0 and noise.repaired().count() == 0
 
 
+def test_forms_in_several_passes_and_long_headings(spark, monkeypatch):
+    title = "关于草木金石诸类药物之性味归经与煎煮法度的讲义汇编第二辑增订本"
+    rows = [(f"h{i}", f"{title}\n凡肺津受病，先看头顶{i}。", title, i, i) for i in range(4)] + [("m", "宜自云草配之，再用s1mmer。", None, 2, 2), ("w", "自云草", None, 2, 2)]
+    df = spark.createDataFrame(rows, "item_id string, text string, title string, page_start int, page_end int")
+    lexicon = spark.createDataFrame([("白云草",), ("simmer",), ("白石草",)], "term string")
+    whole = {tuple(r) for r in ScanNoise(df, lexicon).kinds().collect()}
+    assert {("m", "misread"), ("w", "misread")} | {(f"h{i}", "running_header") for i in range(4)} == whole
+    monkeypatch.setattr("glossmill.llm.scan_noise.MOST_FORMS", 7)
+    noise = ScanNoise(df, lexicon)
+    assert {tuple(r) for r in noise.kinds().collect()} == whole
+    assert {r.item_id: r.text for r in noise.repaired().collect()}["m"] == "宜白云草配之，再用simmer。"
+
+
 def test_every_document_has_its_own_distance(spark):
     rows = [(f"d{d}-{i}", f"d{d}", f"〔{i * 7 + d * 13 + 5}〕\n凡肺津受病，先看头顶{d}{i}。", None, i * 7, i * 7) for d in range(30) for i in range(1, 5)]
     rows += [(f"x{i}", "hot", f"甲\n{i % 9 + 1}\n乙{i}", None, i, i) for i in range(200)]
