@@ -33,6 +33,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from glossmill.llm.tokens import TOKENIZER, with_terms
 from glossmill.session import written
@@ -209,18 +210,20 @@ def pivot_table(terms: list[np.ndarray], tfs: list[np.ndarray], weights: np.ndar
 
 def content_keys(terms: list[np.ndarray], tfs: list[np.ndarray], weights: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """The places of the four pivots that each document is most like, the first of them leading."""
-    like = np.stack([x @ pivots[t] if len(t) else np.zeros(pivots.shape[1], np.float32) for t, x in zip(terms, _weighed(terms, tfs, weights), strict=True)])
+    like = np.zeros((len(terms), pivots.shape[1]), np.float32)
+    for i, (token, tf) in enumerate(zip(terms, tfs, strict=True)):
+        if len(token):
+            like[i] = (np.sqrt(tf, dtype=np.float32) * weights[token]) @ pivots[token]
     nearest = np.argsort(-like, axis=1, kind="stable")[:, :4]
     return (nearest.astype(np.int64) * (pivots.shape[1] ** np.arange(3, -1, -1))[: nearest.shape[1]]).sum(axis=1)
 
 
-def _keyed(weights: np.ndarray, pivots: np.ndarray):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                yield batch.assign(key=content_keys(list(batch["terms"]), list(batch["tfs"]), weights, pivots))
+def _key_of(weights: np.ndarray, pivots: np.ndarray):
+    @F.pandas_udf(LongType())
+    def key(terms: pd.Series, tfs: pd.Series) -> pd.Series:
+        return pd.Series(content_keys(terms.tolist(), tfs.tolist(), weights, pivots), dtype="int64")
 
-    return run
+    return key
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -310,7 +313,8 @@ def pack(documents: DataFrame, doc_id: str, text: str, kinds: list[tuple[str, in
     weights[counts["token"]] = np.log(1 + n / counts["n"])
     few = made.filter("n > 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(PIVOTS).toPandas()
     pivots = pivot_table(list(few["terms"]), list(few["tfs"]), weights) if len(few) else np.zeros((len(weights), 1), np.float32)
-    keyed = made.mapInPandas(_keyed(weights, pivots), "doc_id long, n int, terms array<int>, tfs array<int>, key long")
+    # Written, as it would be made twice: the ranges are sampled first.
+    keyed = written(made.withColumn("key", _key_of(weights, pivots)("terms", "tfs")))
     parts = max(1, math.ceil(n / SHARD))
     rows = keyed.repartitionByRange(parts, "key", "doc_id").sortWithinPartitions("key", "doc_id").mapInPandas(_packed(kinds), ROWS)
     rows = written(rows)
