@@ -11,7 +11,7 @@ from glossmill.config import checked_limit
 from glossmill.operators.planner import cited_answers, run_plan
 from glossmill.operators.queries import query_terms
 from glossmill.plans import common, quality, retrieval
-from glossmill.session import session
+from glossmill.session import remove_written, session
 
 COMMANDS = {"stats": quality.a1_store_counts, "doctor": quality.d2_mapping_audit, "evaluate": retrieval.e2_mean_metrics}
 
@@ -41,6 +41,7 @@ def main(argv: list[str] | None = None) -> None:
             rows = retrieval.search(spark, a.folder, a.mode, q, limit).join(shown, "row_id").orderBy("rank")
     for line in rows.toJSON().take(max(limit, 100)):
         print(json.dumps(json.loads(line), ensure_ascii=False))
+    remove_written(spark)
 
 
 if __name__ == "__main__":

@@ -48,9 +48,9 @@ def query_terms(queries: DataFrame, lexicon: DataFrame, domain: Domain = DOMAIN,
     words that ask: runs of ideographs without particles at the end, or
     their trigrams if they are long.
     """
-    spark = queries.sparkSession
     texts = queries.select("query_id", normalised(F.col("query"), domain).alias("norm"))
-    given = spark.createDataFrame([("term", t) for t in domain.terms] + [("glue", g) for g in (*domain.scaffold, *domain.generic)], "kind string, phrase string")
+    words = [F.struct(F.lit(kind).alias("kind"), F.lit(x).alias("phrase")) for kind, xs in (("term", domain.terms), ("glue", (*domain.scaffold, *domain.generic))) for x in xs]
+    given = queries.sparkSession.range(1).select(F.explode(F.array(*words) if words else F.array().cast("array<struct<kind string, phrase string>>")).alias("w")).select("w.*")
     known = lexicon.select(F.lit("term").alias("kind"), normalised(F.col("term"), domain).alias("phrase")).unionByName(given).distinct()
     places = phrase_places(texts, known)
     kept = outermost(places.filter("kind = 'term'")).unionByName(places.filter("kind = 'glue'"))

@@ -74,7 +74,7 @@ def f5_script_variants(spark: SparkSession, folder: str) -> DataFrame:
     return C.lexicon(spark, folder).select("term", plain.alias("plain"), F.array_join(T.script_variants(plain, DOMAIN.scripts), "|").alias("variants"))
 
 
-def p18_source_quality(spark: SparkSession, folder: str) -> DataFrame:
+def f18_source_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Noise of every live paragraph: leaders, stuttering, and whether it may be cited; its text without a page number before it."""
     p, text = C.paragraphs(spark, folder).filter(F.col("text").isNotNull()), F.col("text")
     spaced = T.one_spaced(text)
@@ -135,7 +135,7 @@ def j9_top_units(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    s2_paragraph_split, s4_upsert_paragraphs, f3_sentences, f1_text_functions, f15_known_terms, f39_public_paths, f56_json_attributes, f39_strip_tags, f5_script_variants, p18_source_quality, f49_verified_quotes, f43_anchor_snippets,
+    s2_paragraph_split, s4_upsert_paragraphs, f3_sentences, f1_text_functions, f15_known_terms, f39_public_paths, f56_json_attributes, f39_strip_tags, f5_script_variants, f18_source_quality, f49_verified_quotes, f43_anchor_snippets,
     g1_retrieval_units, g3_unit_counts, g10_trigram_frequencies, v2_sparse_embedding, g5_knowledge_extraction, g9_guide_nodes, j9_top_units)}
 
 _ID = "left(sha1(concat_ws(chr(10), {0})), 16)"
@@ -238,7 +238,7 @@ from documents where text is not null) select doc_id, trim({C.BARE.format("text"
 f as (select list({{'k': k, 'v': v}}) as pairs from (select substr('{C._TO}', i, 1) as k, list(substr('{C._FROM}', i, 1) order by i) as v from generate_series(1, {len(C._TO)}) as g(i) group by 1)),
 m as (select map_from_entries(list_transform(pairs, lambda p: {{'key': p.k, 'value': p.v}})) as m from f)
 select term, plain, array_to_string(list_reduce(list_transform(regexp_extract_all(plain, '(?s).'), lambda c: coalesce(m[c], [c])), lambda a, b: flatten(list_transform(a, lambda p: list_transform(b, lambda x: p || x)))[1:8]), '|') as variants from t, m""",
-    "p18_source_quality": rf"""with {C.LIVE}, s as (select paragraph_id, text, trim({C.BARE.format('text', ' ')}) as sp, {C.BARE.format('text', '')} as b from live where text is not null),
+    "f18_source_quality": rf"""with {C.LIVE}, s as (select paragraph_id, text, trim({C.BARE.format('text', ' ')}) as sp, {C.BARE.format('text', '')} as b from live where text is not null),
 r as (select *, len(list_filter(generate_series(1, length(b)), lambda i: len(list_filter([2, 3, 4, 5, 6, 7, 8], lambda l: length(substr(b, i + 2 * l, l)) = l and substr(b, i, l) = substr(b, i + l, l) and substr(b, i, l) = substr(b, i + 2 * l, l)
   and regexp_full_match(substr(b, i, l), '[一-鿿]+'))) > 0)) > 0 as stutters from s),
 n as (select *, stutters or regexp_matches(sp, '[.·…]{{6,}}') or len(regexp_extract_all(sp, '\.\.\.')) >= 2 as noisy from r)

@@ -97,6 +97,30 @@ def j6_relation_to_title(spark: SparkSession, folder: str) -> DataFrame:
     return per.join(d, per["doc_id"] == d["document_id"]).select("document_id", "canonical_title", "source_layer", "n", "n_entities")
 
 
+def j2_relation_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """For every name of an entity its twenty best relations with the documents that prove them."""
+    e, r, v, d = (table(spark, folder, t) for t in ("entities", "relations", "evidence_records", "source_documents"))
+    return graph.relations_by_name(e.select(F.col("canonical_name").alias("name")).dropna(), e, r, v, d)
+
+
+def m1_relations_from_units(spark: SparkSession, folder: str) -> DataFrame:
+    """Relations made of the knowledge units whose quotes stand in their paragraphs."""
+    return graph.relations_from_units(C.knowledge_units(spark, folder), C.paragraphs(spark, folder))
+
+
+def d1_doctor(spark: SparkSession, folder: str) -> DataFrame:
+    """The checks of the vector table with their overall status."""
+    return store.overall(d2_mapping_audit(spark, folder))
+
+
+def a6_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """What a manifest holds: counts of the store, of units by type, and of sources without units."""
+    counts = a1_store_counts(spark, folder)
+    kinds = store.type_histogram(table(spark, folder, "retrieval_units")).select(F.concat(F.lit("units:"), "unit_type").alias("name"), F.col("n").alias("value"))
+    bare = j3_units_per_source(spark, folder).filter("units = 0").agg(F.lit("sources_without_units").alias("name"), F.count("*").alias("value"))
+    return counts.unionByName(kinds).unionByName(bare)
+
+
 def j1_orders_4way(spark: SparkSession, folder: str) -> DataFrame:
     """The three dearest returned lines of each market segment and brand: part, line, order and customer joined."""
     part, line, orders, customer = (table(spark, folder, t) for t in ("part", "lineitem", "orders", "customer"))
@@ -123,7 +147,7 @@ def k1_embedding_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     a1_store_counts, a2_type_histogram, j3_units_per_source, d2_mapping_audit, d1_knowledge_audit, d1_relation_audit, d1_unit_audit, s10_case_audit,
-    w10_evidence_chain, m1_evidence_quality, j6_relation_to_title, j1_orders_4way, f56_event_properties, k1_embedding_topk)}
+    w10_evidence_chain, m1_evidence_quality, m1_relations_from_units, d1_doctor, a6_manifest, j2_relation_lookup, j6_relation_to_title, j1_orders_4way, f56_event_properties, k1_embedding_topk)}
 
 
 def _broken(source: str, key: str, rules: dict[str, str]) -> str:
@@ -165,3 +189,19 @@ from lineitem join part on l_partkey = p_partkey join orders on l_orderkey = o_o
   row_number() over (partition by q.vec_id order by list_dot_product(q.embedding::double[], e.embedding::double[]) desc, e.vec_id) as rank
 from embeddings q, embeddings e where q.vec_id % 20 = 0 and list_dot_product(q.embedding::double[], e.embedding::double[]) > 0 qualify rank <= 10""",
 }
+ORACLE |= {
+    "j2_relation_lookup": f"""with {_LASTR}, le as (select * from (select *, row_number() over (partition by evidence_id order by recorded_at desc nulls last, paragraph_id desc nulls last) as rn from evidence_records where evidence_id is not null) where rn = 1 and deleted_at is null),
+n as (select entity_id, min(canonical_name) as canonical_name from entities where entity_id is not null group by 1),
+a as (select distinct canonical_name as name, lower(trim(canonical_name)) as key from entities where canonical_name is not null)
+select a.name, r.relation_id, r.predicate, coalesce(r.literal_value, o.canonical_name) as value, le.document_id, d.canonical_title, r.confidence,
+  row_number() over (partition by a.name order by r.confidence desc nulls last, r.relation_id, le.document_id nulls first) as rank
+from a join n s on lower(trim(s.canonical_name)) = a.key join lastr r on r.subject_entity_id = s.entity_id and r.review_status <> 'rejected' join le on lower(trim(le.evidence_id)) = lower(trim(r.evidence_id))
+left join n o on o.entity_id = r.object_entity_id left join source_documents d on d.document_id = le.document_id qualify rank <= 20""",
+    "m1_relations_from_units": f"""with {C.LIVE}, {C.LASTK} select left(sha1(knowledge_unit_id || chr(10) || 'relation'), 16) as relation_id, trim(subject) as subject, predicate, object as literal_value, k.paragraph_id, l.doc_id, trim(evidence_quote) as evidence_quote, confidence,
+  case when length(trim(subject)) > 0 and length(trim(subject)) <= 20 and not regexp_matches(subject, '[。！？!?；;，,]') and confidence >= 0.7 then 'auto_accepted' else 'needs_review' end as review_status
+from lastk k join live l using (paragraph_id) where trim(evidence_quote) <> '' and contains(l.text, trim(evidence_quote))""",
+    "d1_doctor": f"""with d as ({ORACLE['d2_mapping_audit']}) select * from d
+union all select 'overall', case when count(*) filter (status = 'error') > 0 then 'error' when count(*) filter (status = 'warning') > 0 then 'warning' else 'ok' end, count(*) filter (status <> 'ok'), null from d""",
+    "a6_manifest": f"""select * from ({ORACLE['a1_store_counts']}) union all select 'units:' || unit_type, count(*) from retrieval_units group by 1
+union all select 'sources_without_units', count(*) from ({ORACLE['j3_units_per_source']}) where units = 0""",
+}

@@ -24,6 +24,9 @@ def spark():
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    from glossmill.session import remove_written
+
+    remove_written(s)
     s.stop()
 
 

@@ -126,6 +126,14 @@ def test_build_store(spark, tmp_path):
     assert {r.at for r in merged.collect()} == {2}
 
 
+def test_written_tables_can_be_removed(spark, monkeypatch):
+    from glossmill import session
+
+    monkeypatch.setattr(session, "_WRITTEN", [])
+    kept = session.written(spark.range(3))
+    assert kept.count() == 3 and session.remove_written(spark) == 1 and session.remove_written(spark) == 0
+
+
 def test_lines_are_numbered_through_splits(spark, tmp_path):
     (tmp_path / "a.txt").write_text("\n".join(f"line {i}" for i in range(1, 401)) + "\n")
     (tmp_path / "b.txt").write_text("only\n")
