@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,15 +46,19 @@ def lexicon(spark: SparkSession, folder: str) -> DataFrame:
 
 def cases(spark: SparkSession, folder: str, all_cases: bool = False) -> DataFrame:
     """(query_id, query, terms) of the query set."""
-    q = judged(spark, folder, all_cases).select("query_id", "query")
-    return written(q.join(query_terms(q, lexicon(spark, folder)), "query_id"))
 
+    def make() -> DataFrame:
+        q = judged(spark, folder, all_cases).select("query_id", "query")
+        return written(q.join(query_terms(q, lexicon(spark, folder)), "query_id"))
 
-_STORED: dict[tuple, TextIndex] = {}
+    return stored(spark, folder, f"cases-{all_cases}", make)
 
 
-def stored(spark: SparkSession, folder: str, name: str, build: Callable[[], TextIndex]) -> TextIndex:
-    """An index of a folder of tables, built once a session and read by all searches in it."""
+_STORED: dict[tuple, Any] = {}
+
+
+def stored(spark: SparkSession, folder: str, name: str, build: Callable[[], Any]) -> Any:
+    """An index of a folder of tables, or its query set, made once a session and read by all searches in it."""
     key = (spark.sparkContext.applicationId, folder, name)
     if key not in _STORED:
         _STORED[key] = build()

@@ -191,6 +191,11 @@ def w4_rewrite_fusion(spark: SparkSession, folder: str) -> DataFrame:
 def w7_diverse_results(spark: SparkSession, folder: str) -> DataFrame:
     """Five results a query, chosen from the text channel for relevance, new facets and new sources."""
     found = textindex.text_channel(C.text_index(spark, folder), C.cases(spark, folder), 40).withColumn("score", F.round("score", 9))
+    return fusion.diverse(_with_facets(spark, folder, found), 5).select("query_id", F.col("row_id").alias("paragraph_id"), "pick")
+
+
+def _with_facets(spark: SparkSession, folder: str, found: DataFrame) -> DataFrame:
+    """(query_id, row_id, score, source, facets) of results: page, known terms, measures, types and subjects of knowledge units."""
     p = C.paragraphs(spark, folder).select(F.col("paragraph_id").alias("row_id"), F.coalesce("doc_id", F.lit("")).alias("source"), "page_start", "text")
     k = C.knowledge_units(spark, folder).groupBy(F.col("paragraph_id").alias("row_id")).agg(F.collect_set(F.concat(F.lit("unit:"), "unit_type")).alias("units"), F.collect_set(F.concat(F.lit("subject:"), "subject")).alias("subjects"))
     of_terms = F.transform(longest_terms(F.col("text"), DOMAIN.terms), lambda t: F.concat(F.lit("term:"), t))
@@ -198,8 +203,7 @@ def w7_diverse_results(spark: SparkSession, folder: str) -> DataFrame:
     place = F.concat_ws(":", F.lit("source"), "source", "page_start")
     none = F.array().cast("array<string>")
     facets = F.array_distinct(F.concat(F.array(place), F.coalesce(of_terms, none), F.coalesce(of_amounts, none), F.coalesce("units", none), F.coalesce("subjects", none)))
-    rows = found.join(p, "row_id").join(k, "row_id", "left").select("query_id", "row_id", "score", "source", facets.alias("facets"))
-    return fusion.diverse(rows, 5).select("query_id", F.col("row_id").alias("paragraph_id"), "pick")
+    return found.join(p, "row_id").join(k, "row_id", "left").select("query_id", "row_id", "score", "source", facets.alias("facets"))
 
 
 def _first_search(spark: SparkSession, folder: str, queries: DataFrame) -> DataFrame:
@@ -247,6 +251,14 @@ def q11_plan_trace(spark: SparkSession, folder: str) -> DataFrame:
     return plan_trace(plan, out)
 
 
+def q6_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole way of an answer: plan, all rewrites searched and fused, a diverse choice of six, cited evidence."""
+    q, plan = C.cases(spark, folder), written(plan_of(spark, folder, C.cases(spark, folder)))
+    fused = run_plan(plan, lambda x, n: search(spark, folder, "text", x, n), 4, C.lexicon(spark, folder))
+    picked = fusion.diverse(_with_facets(spark, folder, fused.select("query_id", "row_id", F.col("fusion_score").alias("score"))), 6)
+    return cited_answers(q, picked.withColumnRenamed("pick", "rank"), C.paragraphs(spark, folder), DOMAIN)
+
+
 def e1_ranked_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """Retrieval metrics of the text channel for every evaluation case and every twentieth knowledge unit."""
     cases = C.judged(spark, folder, all_cases=True).withColumnRenamed("query_id", "case_id")
@@ -278,7 +290,7 @@ def q7_cited_answers(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     k1_vector_topk, a3_hits_to_paragraphs, k3_bm25_topk, w1_text_channel, f11_query_terms, k4_knowledge_topk, k5_guide_topk, j1_graph_relations, j1_graph_channel, j2_entity_profile,
-    k6_hybrid_topk, k6_vector_channel, k7_search, w4_rewrite_fusion, w7_diverse_results, g15_followup_sentences, a11_matched_units, q4_query_plan, q5_plan_results, q11_plan_trace,
+    k6_hybrid_topk, k6_vector_channel, k7_search, w4_rewrite_fusion, w7_diverse_results, g15_followup_sentences, a11_matched_units, q4_query_plan, q5_plan_results, q6_answers, q11_plan_trace,
     e1_ranked_metrics, e2_mean_metrics, q1_intents, q7_cited_answers)}
 
 _ROWS = f"rows as (select paragraph_id as row_id, {C.folded('title', 'text')} as low from live where coalesce(title, text) is not null)"
@@ -459,12 +471,12 @@ gone as (select * from gsc qualify row_number() over (partition by query_id, bad
 select query_id, node_id, badge, label, round(score, 6) as score, row_number() over (partition by query_id order by score desc, length(path) desc, node_id) as rank from gone qualify rank <= 8"""
 
 
-def _diverse(picks: int) -> str:
-    """Greedy picks, one after the other."""
+def _picks(picks: int, source: str, most: int) -> str:
+    """CTEs p1 to p<picks> of greedy picks from source(query_id, row_id, score, rank)."""
     out = rf"""w0 as (select c.query_id, c.row_id, c.score, coalesce(l.doc_id, '') as source, list_distinct(list_concat(list_concat([concat_ws(':', 'source', coalesce(l.doc_id, ''), l.page_start)],
     coalesce(list_transform(regexp_extract_all(l.text, '{"|".join(sorted(set(DOMAIN.terms), key=lambda t: (-len(t), t)))}'), lambda t: 'term:' || t), [])),
     list_concat(coalesce(list_transform(regexp_extract_all(l.text, '{DOMAIN.measure}'), lambda m: 'measure:' || regexp_replace(m, '\s', '', 'g')), []), coalesce(k.f, [])))) as facets
-  from chan c join live l on c.row_id = l.paragraph_id left join (select paragraph_id, list_concat(list_transform(list(distinct unit_type) filter (unit_type is not null), lambda u: 'unit:' || u), list_transform(list(distinct subject) filter (subject is not null), lambda s: 'subject:' || s)) as f from lastk group by 1) k on k.paragraph_id = c.row_id where c.rank <= 40),
+  from {source} c join live l on c.row_id = l.paragraph_id left join (select paragraph_id, list_concat(list_transform(list(distinct unit_type) filter (unit_type is not null), lambda u: 'unit:' || u), list_transform(list(distinct subject) filter (subject is not null), lambda s: 'subject:' || s)) as f from lastk group by 1) k on k.paragraph_id = c.row_id where c.rank <= {most}),
 cand as (select *, score / max(score) over (partition by query_id) as rel, count(*) over (partition by query_id) > {picks} as greedy from w0),
 v0 as (select distinct query_id, []::varchar[] as covered, []::varchar[] as sources, []::varchar[] as picked from cand)"""
     for k in range(1, picks + 1):
@@ -472,12 +484,16 @@ v0 as (select distinct query_id, []::varchar[] as covered, []::varchar[] as sour
         out += f""",
 p{k} as (select c.*, {k} as pick from cand c join v{k - 1} v using (query_id) where not list_contains(picked, c.row_id) qualify row_number() over (partition by c.query_id order by {gain} desc, c.score desc, c.row_id) = 1),
 v{k} as (select v.query_id, list_concat(covered, facets) as covered, list_append(sources, source) as sources, list_append(picked, row_id) as picked from v{k - 1} v join p{k} p using (query_id))"""
-    return out + " " + " union all ".join(f"select query_id, row_id as paragraph_id, pick from p{k}" for k in range(1, picks + 1))
+    return out
+
+
+def _picked(picks: int) -> str:
+    return " union all ".join(f"select query_id, row_id, pick from p{k}" for k in range(1, picks + 1))
 
 
 _LOW_SENTENCES = _SENTENCES_RAW.format("lower(text)")
-_ANSWERS = f"""{_BASE}, {_CHANNEL}, a0 as (select c.query_id, cases.query, c.rank, lower(l.text) as low, l.text, l.source_path, l.page_start, l.page_end, cases.terms, list_filter(cases.terms, lambda t: contains(lower(l.text), t)) as present, {_LOW_SENTENCES.replace('text', 'l.text')} as sents
-  from chan c join live l on c.row_id = l.paragraph_id join cases using (query_id) where c.rank <= 6 and l.text is not null),
+_ANSWERS = f"""a0 as (select c.query_id, cases.query, c.rank, lower(l.text) as low, l.text, l.source_path, l.page_start, l.page_end, cases.terms, list_filter(cases.terms, lambda t: contains(lower(l.text), t)) as present, {_LOW_SENTENCES.replace('text', 'l.text')} as sents
+  from SOURCE c join live l on c.row_id = l.paragraph_id join cases using (query_id) where c.rank <= 6 and l.text is not null),
 a1 as (select *, list_filter(sents, lambda s: length(s) <= {DOMAIN.quote_chars} and len(list_filter(present, lambda t: contains(s, t))) > 0) as fits, greatest(0, instr(low, present[1]) - 1 - ((220 - length(present[1])) // 2)) as s0 from a0 where len(present) > 0),
 a2 as (select *, least(length(low), s0 + {DOMAIN.quote_chars}) as e1 from (select * replace (greatest(0, instr(low, present[1]) - 1 - (({DOMAIN.quote_chars} - length(present[1])) // 2)) as s0) from a1)),
 a3 as (select *, case when len(fits) > 0 then fits[1] else {C.STRIPPED.format(f'substr(low, greatest(0, e1 - {DOMAIN.quote_chars}) + 1, e1 - greatest(0, e1 - {DOMAIN.quote_chars}))')} end as raw_piece, {PUBLIC} as pub from a2),
@@ -517,14 +533,16 @@ union all select 'knowledge', query_id, paragraph_id, row_number() over (partiti
     "w4_rewrite_fusion": f"""{_SPLIT}, b as (select split_part(query_id, '#', 1) as query_id, split_part(query_id, '#', 2)::int as rewrite, row_id, round(score, 9) as score,
   row_number() over (partition by bm.query_id order by round(score, 9) desc, row_id) as rank from bm qualify rank <= 20), {_rewrites('b', 'f')}
 select query_id, row_id as paragraph_id, round(fusion_score, 9) as fusion_score, round(raw_score, 6) as raw_score, rewrite, place, n_seen, rank from f where rank <= 10""",
-    "w7_diverse_results": f"{_BASE}, {_CHANNEL}, {_LASTK}, {_diverse(5)}",
+    "w7_diverse_results": f"{_BASE}, {_CHANNEL}, {_LASTK}, {_picks(5, 'chan', 40)} select query_id, row_id as paragraph_id, pick from ({_picked(5)})",
     "g15_followup_sentences": f"{_BASE}, {_CHANNEL}, {_LASTK}, {_FOLLOW} select * from follow",
     "a11_matched_units": f"{_BASE}, {_CHANNEL}, {_LASTK}, {_FOLLOW}, {_MATCHED} select * from munit",
     "q4_query_plan": f"{_BASE}, {_CHANNEL}, {_PLAN} select * from plan",
     "q5_plan_results": f"""{_BASE}, {_CHANNEL}, {_PLAN}, {_RUN} select query_id, row_id as paragraph_id, round(fusion_score, 9) as fusion_score, round(raw_score, 6) as raw_score, rewrite, n_seen, rank from fused where rank <= 16""",
     "q11_plan_trace": f"""{_BASE}, {_CHANNEL}, {_PLAN}, {_RUN}, seen as (select f.query_id, f.rewrite, f.row_id, f.rank from found2 f join fused u on u.query_id = f.query_id and u.row_id = f.row_id and u.rank <= 16)
 select query_id, rewrite, text, count(row_id) as n_seen, array_to_string((list(row_id order by s.rank, row_id) filter (row_id is not null))[1:12], ',') as best from plan left join seen s using (query_id, rewrite) group by 1, 2, 3""",
-    "q7_cited_answers": _ANSWERS,
+    "q6_answers": f"""{_BASE}, {_CHANNEL}, {_PLAN}, {_RUN}, fchan as (select query_id, row_id, fusion_score as score, rank from fused where rank <= 16), {_picks(6, 'fchan', 16)},
+dchan as (select query_id, row_id, pick as rank from ({_picked(6)})), {_ANSWERS.replace('SOURCE', 'dchan')}""",
+    "q7_cited_answers": f"{_BASE}, {_CHANNEL}, {_ANSWERS.replace('SOURCE', 'chan')}",
     "e1_ranked_metrics": f"{_ALL}, {_CHANNEL}, {_metrics(_TEXT_RANKING)} select case_id, metric, round(value, 6) as value from mets",
     "e2_mean_metrics": f"""{_ALL}, {_CHANNEL}, {_KNOW}, {_NAV}, {_NEAR}, {_graph(80)}, {_fuse(10)},
 rk as (select channel, query_id, row_id, rank from hyb_c union all select 'hybrid', query_id, row_id, rank from hyb),
