@@ -21,6 +21,7 @@ The overlap must be smaller than the limit.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,12 @@ SENTENCE_AND_LINE, SENTENCE, LINE, CLAUSE, WORD, ANYWHERE = 0.0, 0.05, 0.1, 4.0,
 _CLAUSE, _WORD, _LINE = re.compile(r"[，、,;：:]|—+"), re.compile(r"\s+"), re.compile(r"\n\s*")
 
 
+def _joined(text: str, at: int) -> bool:
+    """Whether the character at a place belongs to what the eye sees as one with that before it."""
+    char = text[at]
+    return unicodedata.category(char) in ("Mn", "Me", "Mc") or "\u200d" in (char, text[at - 1]) or "\U0001f3fb" <= char <= "\U0001f3ff"
+
+
 def boundaries(text: str, reach: int) -> tuple[np.ndarray, np.ndarray]:
     """(positions, penalties), sorted, the text's end last; gaps wider than `reach` get forced positions."""
     cost: dict[int, float] = {}
@@ -50,7 +57,7 @@ def boundaries(text: str, reach: int) -> tuple[np.ndarray, np.ndarray]:
     for end in sorted(cost):
         if end - at > reach:  # one forced place each reach / 8, so that a way within the limit always exists
             for forced in range(at + max(1, reach // 8), end, max(1, reach // 8)):
-                while forced > at + 1 and 0x300 <= ord(text[forced]) < 0x370:
+                while forced > at + 1 and _joined(text, forced):
                     forced -= 1
                 cost.setdefault(forced, ANYWHERE)
         at = end

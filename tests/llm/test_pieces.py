@@ -2,7 +2,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from glossmill.llm.pieces import cut, pieces
+from glossmill.llm.pieces import _joined, cut, pieces
 
 
 def whole(text, spans, limit, overlap):
@@ -47,3 +47,10 @@ def test_overlap_must_be_below_the_limit(spark):
     df = spark.createDataFrame([("f", "a", "x" * 50, 20, 20)], "field_name string, item_id string, text string, max_chars int, overlap_chars int")
     with pytest.raises(Exception, match="overlap_chars"):
         pieces(df).collect()
+
+
+def test_forced_cuts_keep_what_is_seen_as_one():
+    for unit in ("é", "का", "👩‍🌾", "👋🏽", "ก็"):
+        text = unit * 120
+        spans = cut(text, 41, 7)
+        assert all(end == len(text) or not _joined(text, end) for _, end in spans) and max(b - a for a, b in spans) <= 41
