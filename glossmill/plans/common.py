@@ -13,6 +13,7 @@ from glossmill.functions import text as T  # noqa: F401
 from glossmill.operators.store import latest, live_paragraphs
 from glossmill.operators.queries import query_terms
 from glossmill.operators.textindex import TextIndex, build_index
+from glossmill import session
 from glossmill.session import table, written
 
 
@@ -54,15 +55,9 @@ def cases(spark: SparkSession, folder: str, all_cases: bool = False) -> DataFram
     return stored(spark, folder, f"cases-{all_cases}", make)
 
 
-_STORED: dict[tuple, Any] = {}
-
-
 def stored(spark: SparkSession, folder: str, name: str, build: Callable[[], Any]) -> Any:
     """An index of a folder of tables, or its query set, made once a session and read by all searches in it."""
-    key = (spark.sparkContext.applicationId, folder, name)
-    if key not in _STORED:
-        _STORED[key] = build()
-    return _STORED[key]
+    return session.stored(spark, (folder, name), build)
 
 
 def text_index(spark: SparkSession, folder: str) -> TextIndex:

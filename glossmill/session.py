@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,12 +54,34 @@ def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
 _WRITTEN: list[str] = []
 
 
+def _located(spark: SparkSession, path: str) -> tuple:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+#: What was made once for a session: by key the thing itself and the tables that it reads.
+_STORED: dict[tuple, tuple[Any, list[str]]] = {}
+
+
+def stored(spark: SparkSession, name: tuple, build: Callable[[], Any]) -> Any:
+    """What `build` makes, made once for a name in a session, and again if a table that it wrote is gone."""
+    key = (spark.sparkContext.applicationId, *name)
+    if key in _STORED:
+        made, paths = _STORED[key]
+        if all(fs.exists(place) for fs, place in (_located(spark, p) for p in paths)):
+            return made
+    before = len(_WRITTEN)
+    made = build()
+    _STORED[key] = (made, _WRITTEN[before:])
+    return made
+
+
 def remove_written(spark: SparkSession) -> int:
     """Delete the tables that `written` made in this process, once their results are no longer read; returns their number."""
-    jvm, removed = spark._jvm, 0
+    removed = 0
     while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        removed += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+        fs, place = _located(spark, _WRITTEN.pop())
+        removed += bool(fs.delete(place, True))
     return removed
 
 

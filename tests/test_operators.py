@@ -132,6 +132,14 @@ def test_written_tables_can_be_removed(spark, monkeypatch):
     monkeypatch.setattr(session, "_WRITTEN", [])
     kept = session.written(spark.range(3))
     assert kept.count() == 3 and session.remove_written(spark) == 1 and session.remove_written(spark) == 0
+    made = []
+
+    def build():
+        made.append(session.written(spark.range(len(made) + 1)))
+        return made[-1]
+
+    assert session.stored(spark, ("t",), build).count() == session.stored(spark, ("t",), build).count() == 1
+    assert session.remove_written(spark) == 1 and session.stored(spark, ("t",), build).count() == 2 and len(made) == 2
 
 
 def test_lines_are_numbered_through_splits(spark, tmp_path):
