@@ -302,3 +302,20 @@ def test_text_channel_scores_terms_past_the_candidates(spark):
     q = spark.createDataFrame([("q", terms)], "query_id string, terms array<string>")
     first = textindex.text_channel(textindex.build_index(rows, "id", ["text"]), q, 10, candidates=50).filter("rank = 1").collect()
     assert [(r.row_id, round(r.score, 6)) for r in first] == [("long", 0.94)]
+
+
+def test_sparse_search_equals_all_products(spark):
+    texts = ["白云草治头痛", "头痛 Tea", "白云草白云草", None, "", "青木香治头痛发热 tea tea", "头痛 tea", "石上泉。" * 40]
+    rows = spark.createDataFrame([(f"u{i % 8}{i // 8}", f"p{i % 5}", "sentence", None if i % 3 else 0.5 + i % 4, texts[i % 8]) for i in range(48)], "unit_id string, paragraph_id string, unit_type string, weight double, text_for_embedding string")
+    q = spark.createDataFrame([("a", "白云草与头痛"), ("b", "tea"), ("c", "白云草与头痛"), ("d", "。"), ("e", None)], "query_id string, query string")
+    vectors = vectorsearch.sparse_units(rows)
+    assert vectors.columns == ["row_id", "paragraph_id", "unit_type", "weight", "dims", "counts"]
+    got = sorted((r.query_id, r["rank"], r.unit_id, round(r.score, 9)) for r in vectorsearch.sparse_top(vectors, q, 7).collect())
+    u, x = (sparse_embedding(df, key, text) for df, key, text in ((rows, "unit_id", "text_for_embedding"), (q, "query_id", "query")))
+    product = u.withColumnRenamed("value", "v").join(x, "dim").groupBy("query_id", "unit_id").agg(F.sum(F.col("v") * F.col("value")).alias("s")).join(rows, "unit_id")
+    all_ = [(r.query_id, round(r.s * (1.0 if r.weight is None else r.weight), 9), r.unit_id) for r in product.collect()]
+    want = []
+    for one in "abc":
+        mine = sorted((-s, unit) for query, s, unit in all_ if query == one)[:7]
+        want += [(one, i + 1, unit, -s) for i, (s, unit) in enumerate(mine)]
+    assert got == want
