@@ -319,3 +319,35 @@ def test_sparse_search_equals_all_products(spark):
         mine = sorted((-s, unit) for query, s, unit in all_ if query == one)[:7]
         want += [(one, i + 1, unit, -s) for i, (s, unit) in enumerate(mine)]
     assert got == want
+
+
+def brute_text_channel(rows, terms, limit, candidates):
+    """The text channel of one query over {row_id: text}, written out."""
+    asked = {t for t in terms if len(t) >= 2}
+    tf = {r: {t: n for t in asked if (n := sum(x.startswith(t, i) for i in range(len(x))))} for r, x in rows.items()}
+    size = {r: max(0, len(x) - 2) for r, x in rows.items()}
+    mean = sum(size.values()) / len(size)
+    idf = {t: max(1e-6, math.log((len(rows) - (df := sum(t in f for f in tf.values())) + 0.5) / (df + 0.5))) if len(t) > 2 else 0.0 for t in asked}
+    score = {r: sum(idf[t] * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * size[r] / mean)) for t, n in f.items()) for r, f in tf.items() if f}
+    n = min(candidates, sum(s > 0 for s in score.values()))
+    merged = []
+    for place, r in enumerate(sorted(score, key=lambda r: (-round(score[r], 9), r))):
+        rank = 0.45 + 0.35 * (1 - place / n) if place < candidates and score[r] > 0 else 0.0
+        merged.append((-round(min(1.0, max(rank, 0.5 + 0.08 * len(tf[r]) + 0.12 * (len(tf[r]) == len(terms)))), 9), r))
+    return [(r, -s) for s, r in sorted(merged)[:limit]]
+
+
+def test_only_the_best_rows_leave_a_task(spark):
+    words = ["白云草", "头痛", "青木香", "石上泉", "发热", "tea", "草头痛", "白云"]
+    texts = {f"r{i:03d}": "".join(words[(i * k + k) % 8] * (1 + i % k % 3) for k in range(1, 2 + i % 7)) + "字" * (i % 11) for i in range(400)}
+    index = textindex.build_index(spark.createDataFrame(list(texts.items()), "id string, text string"), "id", ["text"])
+    asked = {"a": words, "b": ["头痛", "白云"], "c": words[:3], "d": ["发热", "没有的"], "e": words[:3], "f": ["x"], "g": []}
+    q = spark.createDataFrame(list(asked.items()), "query_id string, terms array<string>")
+    per = {r.query_id: r["count"] for r in textindex.found_rows(index, q, 3, 5).groupBy("query_id").count().collect()}
+    assert set(per) == set("abcde") and max(per.values()) <= 8 * spark.sparkContext.defaultParallelism < sum("头痛" in x for x in texts.values())
+    for limit, candidates in ((5, 200), (7, 3), (60, 20)):
+        got = {}
+        for r in textindex.text_channel(index, q, limit, candidates).orderBy("rank").collect():
+            got.setdefault(r.query_id, []).append((r.row_id, r.score))
+        for one, terms in asked.items():
+            assert got.get(one, []) == brute_text_channel(texts, terms, limit, candidates), (one, limit)
