@@ -351,3 +351,33 @@ def test_only_the_best_rows_leave_a_task(spark):
             got.setdefault(r.query_id, []).append((r.row_id, r.score))
         for one, terms in asked.items():
             assert got.get(one, []) == brute_text_channel(texts, terms, limit, candidates), (one, limit)
+
+
+def test_guide_search_equals_all_pairs(spark):
+    words = ["白云汤", "头痛", "青木散", "石上泉", "发热", "口干", "腹胀", "恶寒", "盗汗", "心悸", "水肿", "咳嗽"]
+    nodes = [(f"n{i:03d}", "formula" if i % 3 else "note", f"b{i % 4}", words[i * 7 % 12] if i % 5 else "汤", "p" * (i % 6), "".join(words[(i * k + k * k) % 12] for k in range(1, 2 + i % 6))) for i in range(300)]
+    frame = spark.createDataFrame(nodes, "node_id string, node_type string, badge string, label string, path string, search_text string")
+    asked = {"a": ("白云汤治头痛吗", words), "b": ("发热", ["发热"]), "c": ("没有", ["没有的"]), "d": ("腹胀恶寒", words[5:8] + ["石上泉", "白云汤"])}
+    q = spark.createDataFrame([(k, x, t) for k, (x, t) in asked.items()], "query_id string, query string, terms array<string>")
+    index = knowledge.guide_index(frame)
+    ranked = {}
+    for r in textindex.bm25(index, q.withColumn("terms", F.slice("terms", 1, 12))).collect():
+        ranked.setdefault(r.query_id, []).append((-round(r.score, 9), r.row_id))
+    got = {}
+    for r in knowledge.guide_scores(index, frame, q, ("formula", "b1"), 8).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append((r.node_id, r.score))
+    for one, (text, terms) in asked.items():
+        part = {n: 1 / (1 - s) for s, n in sorted(ranked.get(one, []))[:32] if s < 0}
+        scored = []
+        for n, kind, badge, label, path, said in nodes:
+            held = sum(t in said for t in terms[:8])
+            if held or n in part:
+                scored.append((-round(held + part.get(n, 0) + 20 * (label in text) + 5 * (kind == "formula") + 3 * (badge == "b1"), 9), -len(path), n, (badge, label)))
+        want, seen = [], set()
+        for s, _, n, group in sorted(scored):
+            if group not in seen:
+                seen.add(group)
+                want.append((n, -s))
+        assert got.get(one, []) == want[:8], one
+    asks = knowledge._labels_in(["汤", "", "白云", "白云汤", "云汤x"])
+    assert sorted(asks("用白云汤")) == [0, 2, 3] and asks("云") == []
