@@ -381,3 +381,12 @@ def test_guide_search_equals_all_pairs(spark):
         assert got.get(one, []) == want[:8], one
     asks = knowledge._labels_in(["汤", "", "白云", "白云汤", "云汤x"])
     assert sorted(asks("用白云汤")) == [0, 2, 3] and asks("云") == []
+
+
+def test_each_wide_channel_runs_once_for_all_modes(spark, folder, monkeypatch):
+    from glossmill.plans import retrieval
+
+    ran, channel_of = [], retrieval._channel
+    monkeypatch.setattr(retrieval, "_channel", lambda s, f, mode, q, n: ran.append(mode) or channel_of(s, f, mode, q, n))
+    assert set(retrieval.k7_search(spark, folder).columns) == {"mode", "query_id", "paragraph_id", "rank"}
+    assert sorted(ran) == ["graph", "graph", "knowledge", "text", "vector"]
