@@ -390,3 +390,30 @@ def test_each_wide_channel_runs_once_for_all_modes(spark, folder, monkeypatch):
     monkeypatch.setattr(retrieval, "_channel", lambda s, f, mode, q, n: ran.append(mode) or channel_of(s, f, mode, q, n))
     assert set(retrieval.k7_search(spark, folder).columns) == {"mode", "query_id", "paragraph_id", "rank"}
     assert sorted(ran) == ["graph", "graph", "knowledge", "text", "vector"]
+
+
+def test_knowledge_search_equals_all_pairs(spark):
+    words = ["白云汤", "头痛", "青木散", "石上", "发热", "口干"]
+    rows = [(f"k{i:03d}", f"p{i * 7 % 40:02d}" if i % 50 else None, f"d{i % 3}" if i % 11 else None, i % 4 or None, "dosage" if i % 5 else "caution", "".join(words[(i * k + k) % 6] for k in range(1, 2 + i % 4))) for i in range(500)]
+    units_ = spark.createDataFrame(rows, "knowledge_unit_id string, paragraph_id string, doc_id string, page_start int, unit_type string, subject string")
+    units_ = units_.withColumns({c: F.lit(None).cast("string") for c in ("predicate", "object", "evidence_quote")})
+    asked = {"a": words, "b": ["白云汤"], "c": ["头痛", "石上"], "d": ["没有的"], "e": ["白云汤"]}
+    q = spark.createDataFrame(list(asked.items()), "query_id string, terms array<string>")
+    index = knowledge.knowledge_index(units_)
+    for limit in (None, 4):
+        got = {}
+        for r in knowledge.knowledge_scores(index, units_, q, limit).collect():
+            got.setdefault(r.query_id, []).append((-round(r.score, 9), r.paragraph_id or "", r.n_units))
+        for one, terms in asked.items():
+            held = [(r, [t for t in terms if t in r[5]]) for r in rows]
+            held = [(r, t) for r, t in held if t]
+            full = sorted((r[2] is not None, r[2] or "", r[3] is None, r[3] or 0, r[0]) for r, t in held if any(len(x) > 2 for x in t))
+            place = {x[-1]: i for i, x in enumerate(full[:200])}
+            want = {}
+            for r, t in held:
+                s = 0.62 + 0.08 * len(t) + 0.14 * (len(t) == len(terms)) + 0.08 * (r[4] == "dosage")
+                s = max(s, 0.55 + 0.25 * (1 - place[r[0]] / min(200, len(full))) if r[0] in place else 0)
+                best, n = want.get(r[1] or "", (0, 0))
+                want[r[1] or ""] = (max(best, s), n + 1)
+            want = sorted((-round(s, 9), p, n) for p, (s, n) in want.items())
+            assert sorted(got.get(one, []))[: limit or 999] == want[: limit or 999], (one, limit)
