@@ -417,3 +417,12 @@ def test_knowledge_search_equals_all_pairs(spark):
                 want[r[1] or ""] = (max(best, s), n + 1)
             want = sorted((-round(s, 9), p, n) for p, (s, n) in want.items())
             assert sorted(got.get(one, []))[: limit or 999] == want[: limit or 999], (one, limit)
+
+
+def test_equal_queries_are_asked_once():
+    from glossmill.operators.inverted import Asked, first_best
+
+    asked = Asked(["a", "b", "c", "d"], [(2, 5, 7), (3, 5, 7), (2, 5, 7), ()])
+    assert asked.keys == [(2, 5, 7), (3, 5, 7), ()] and asked.ids == [["a", "c"], ["b"], ["d"]]
+    assert [b.ids for b in asked.blocks(4)] == [[["a", "c"]], [["b"], ["d"]]] and Asked([], []).blocks() == []
+    assert sorted(first_best(vectorsearch.np.array([1.0, 3.0, 2.0, 2.0, 2.0]), 3)) == [1, 2, 3]
