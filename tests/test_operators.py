@@ -1,14 +1,17 @@
 import hashlib
 import json
 import math
+import random
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from glossmill.config import Domain, checked_limit
 from glossmill.functions import text as T
 from glossmill.functions.vectors import dot, sparse_embedding, unit_length
-from glossmill.operators import build, evaluate, evidence, fusion, graph, knowledge, queries, store, textindex, units, vectorsearch
+from glossmill.operators import build, evaluate, evidence, fusion, graph, inverted, knowledge, queries, store, textindex, units, vectorsearch
 from glossmill.operators.planner import cited_answers, intents
 from glossmill.sources import files
 
@@ -426,3 +429,24 @@ def test_equal_queries_are_asked_once():
     assert asked.keys == [(2, 5, 7), (3, 5, 7), ()] and asked.ids == [["a", "c"], ["b"], ["d"]]
     assert [b.ids for b in asked.blocks(4)] == [[["a", "c"]], [["b"], ["d"]]] and Asked([], []).blocks() == []
     assert sorted(first_best(vectorsearch.np.array([1.0, 3.0, 2.0, 2.0, 2.0]), 3)) == [1, 2, 3]
+
+
+def test_sums_of_counts_find_the_best_rows_of_a_task(monkeypatch):
+    rng = random.Random(3)
+    for name, value in (("FIRST", 6), ("ROWS", 16), ("DEPTH", 3)):
+        monkeypatch.setattr(vectorsearch, name, value)
+    for k in (1, 5, 200):
+        rows = [Counter(rng.choices(range(12), k=rng.choice([1, 3, 9, 400]))) for _ in range(150)]
+        weight = [rng.choice([1.0, 0.5, 1.3, 0.0, -1.0]) for _ in rows]
+        asked = inverted.Asked([f"q{i}" for i in range(40)], [tuple(sorted(rng.choices(range(14), k=rng.choice([1, 4, 30, 300])))) for _ in range(40)])
+        dims, counts = (pa.array([list(f(x)) for x in rows], pa.list_(pa.int32())) for f in (Counter.keys, Counter.values))
+        batch = pa.RecordBatch.from_arrays([pa.array([f"u{i:03d}" for i in range(150)]), pa.array(weight), dims, counts], ["row_id", "weight", "dims", "counts"])
+        got = {}
+        for x in vectorsearch._sparse_search(asked, k)(iter([batch.slice(0, 70), batch.slice(70)])):
+            for q, row, score in zip(*(x.column(i).to_pylist() for i in range(3)), strict=True):
+                got.setdefault(q, []).append((-round(score, 8), row))
+        for keys, (one, *_) in zip(asked.keys, asked.ids, strict=True):
+            q = Counter(keys)
+            size = lambda c: math.sqrt(sum(n * n for n in c.values()))
+            all_ = [(-round(w * sum(n * x[d] for d, n in q.items()) / size(q) / size(x), 8), f"u{i:03d}") for i, (x, w) in enumerate(zip(rows, weight, strict=True))]
+            assert sorted(got.get(one, []))[:k] == sorted(x for x in all_ if x[0] < 0)[:k]
