@@ -10,7 +10,8 @@ less on average: phrases recur everywhere, but densely only where a page is
 stuffed. In lines without clauses a substring of `LONG` symbols or more counts
 at any distance, and so do items of two or more symbols between separators that
 the page holds `ITEM_TIMES` times or more. All occurrences are covered, and three
-links or tags within `ROW` symbols. The work is linear in the page.
+links or tags within `ROW` symbols. The work is linear in the page; a page in
+which pairs of symbols recur too seldom for that needs no automaton.
 
 Coverage is combined with missing clause structure, line by line:
 
@@ -233,18 +234,38 @@ def variety(line: str) -> float:
     return sum(shares) / len(shares)
 
 
+def may_cover(s: list) -> list[bool]:
+    """Which symbols can be covered at all: those of pairs that the page has three times, links and tags.
+
+    All that counts holds two symbols or more and recurs, so its pairs do.
+    """
+    pairs = list(zip(s, s[1:]))  # noqa: B905
+    often = {x for x, n in Counter(pairs).items() if n >= 3}
+    out = [c == LINK or c == TAG for c in s] if LINK in s or TAG in s else [False] * len(s)
+    if often:
+        for i, x in enumerate(pairs):
+            if x in often:
+                out[i] = out[i + 1] = True
+    return out
+
+
 def stuffed_share(text: str) -> float:
     """Share of the characters of a page that lie in stuffed lines."""
     s, sizes = symbols(text)
+    ends = [0, *accumulate(sizes)]
+    over = [0, *accumulate(map(mul, sizes, may_cover(s)))]
+    cuts = [-1, *[i for i, c in enumerate(s) if c == "\n"], len(s)]
+    # Most pages end here, without an automaton.
+    if not any(ends[b] > ends[a + 1] and over[b] - over[a + 1] >= CLAUSE_COVER * (ends[b] - ends[a + 1]) for a, b in zip(cuts, cuts[1:])):  # noqa: B905
+        return 0.0
     near, far = covered(s, text)
     if True not in far:
         return 0.0
-    ends = [0, *accumulate(sizes)]
     over_near = [0, *accumulate(map(mul, sizes, near))]
     over_far = [0, *accumulate(map(mul, sizes, far))] if near != far else over_near
     lines = []
     first = 0
-    for last in [*[i for i, c in enumerate(s) if c == "\n"], len(s)]:
+    for last in cuts[1:]:
         if ends[last] > ends[first]:
             lines.append((ends[first], ends[last], over_near[last] - over_near[first], over_far[last] - over_far[first]))
         first = last + 1

@@ -1,7 +1,8 @@
 import random
 import time
 
-from glossmill.llm.spam_pages import LINK, TAG, _spread, repeats, spam_pages, stuffed_share, symbols
+from glossmill.llm import spam_pages as module
+from glossmill.llm.spam_pages import LINK, TAG, _spread, covered, may_cover, repeats, spam_pages, stuffed_share, symbols
 
 R = random.Random(5)
 GOODS, WORDS = ["足浴包", "汐瑶梅饮", "艾条"], ["哪里买", "代理", "价格", "官网", "批发", "图片"]
@@ -75,3 +76,15 @@ def test_table_and_long_page(spark):
     df = spark.createDataFrame([(i, t, 1.0) for i, t in rows], "doc_id long, text string, stuffed double")
     assert sorted(r.item_id for r in spam_pages(df, "doc_id", "text").collect()) == [1, 5]
     assert spam_pages(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_pages_without_recurring_pairs_need_no_automaton(monkeypatch):
+    for seed in range(40):
+        rng = random.Random(seed)
+        text = "".join(rng.choice(["a ", "b ", "，", "甲", "乙", "\n", "#x ", "http://a.example/x "]) for _ in range(rng.randint(0, 90)))
+        s, _ = symbols(text)
+        near, far = covered(s, text)
+        may = may_cover(s)
+        assert all(m or not (a or b) for m, a, b in zip(may, near, far, strict=True)), text
+    monkeypatch.setattr(module, "suffix_automaton", lambda s: 1 / 0)
+    assert stuffed_share(PROSE) == 0.0 and stuffed_share("") == 0.0
