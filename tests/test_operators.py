@@ -450,3 +450,16 @@ def test_sums_of_counts_find_the_best_rows_of_a_task(monkeypatch):
             size = lambda c: math.sqrt(sum(n * n for n in c.values()))
             all_ = [(-round(w * sum(n * x[d] for d, n in q.items()) / size(q) / size(x), 8), f"u{i:03d}") for i, (x, w) in enumerate(zip(rows, weight, strict=True))]
             assert sorted(got.get(one, []))[:k] == sorted(x for x in all_ if x[0] < 0)[:k]
+
+
+def test_texts_are_not_shuffled_by_place(spark):
+    texts = spark.createDataFrame([("a", "白云草白云")], "query_id string, norm string")
+    phrases = spark.createDataFrame([("term", "白云"), ("term", "白云草"), ("glue", "云")], "kind string, phrase string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        places = queries.phrase_places(texts, phrases)
+        assert "SortMergeJoin" not in places._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.phrase, r.start) for r in places.collect()) == [("白云", 1), ("白云", 4), ("白云草", 1)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
