@@ -452,6 +452,37 @@ def test_sums_of_counts_find_the_best_rows_of_a_task(monkeypatch):
             assert sorted(got.get(one, []))[:k] == sorted(x for x in all_ if x[0] < 0)[:k]
 
 
+def test_rows_with_great_counts_are_summed_together(monkeypatch):
+    made = []
+
+    class Counted(vectorsearch._Counts):
+        def __init__(self, rows, *rest):
+            made.append(len(rows))
+            super().__init__(rows, *rest)
+
+    for name, value in (("FIRST", 16), ("ROWS", 16), ("_Counts", Counted)):
+        monkeypatch.setattr(vectorsearch, name, value)
+    n = 96
+    counts = [200 if i % 16 == 0 else 1 for i in range(n)]  # one such row a block
+    batch = pa.RecordBatch.from_arrays([pa.array([f"u{i:03d}" for i in range(n)]), pa.array([1.0] * n), pa.array([[1, 2]] * n), pa.array([[c, 1] for c in counts])], ["row_id", "weight", "dims", "counts"])
+    out = list(vectorsearch._sparse_search(inverted.Asked(["q"], [(1, 2)]), 5)(iter([batch])))
+    assert made == [15] * 6 + [6]
+    best = sorted((-round(s, 9), r) for x in out for r, s in zip(x.column("row_id").to_pylist(), x.column("score").to_pylist(), strict=True))[:5]
+    assert best == [(-1.0, f"u{i:03d}") for i in range(1, 6)]
+
+
+def test_rows_that_reach_a_score_are_found():
+    rng = vectorsearch.np.random.default_rng(4)
+    for n, most in ((1, 9), (500, 9), (3000, 900)):
+        share = rng.uniform(0.01, 1.2, n)
+        counts = vectorsearch._Counts(vectorsearch.np.arange(n), share, *(vectorsearch.np.zeros(n, int),) * 3, 1)
+        total = rng.integers(0, most, n).astype(vectorsearch._small(most))
+        for least in (-1.0, 0.5, 5.0, 9.0, 1e6):
+            near = counts.reaching(total, least).tolist()
+            assert set(vectorsearch.np.flatnonzero((total * share >= least) & (total > 0))) <= set(near)
+            assert all(total[i] * share[i] >= least * 0.98 or total[i] == vectorsearch.np.iinfo(total.dtype).max for i in near)
+
+
 def test_texts_are_not_shuffled_by_place(spark):
     texts = spark.createDataFrame([("a", "白云草白云")], "query_id string, norm string")
     phrases = spark.createDataFrame([("term", "白云"), ("term", "白云草"), ("glue", "云")], "kind string, phrase string")
