@@ -11,7 +11,7 @@ stuffed. In lines without clauses a substring of `LONG` symbols or more counts
 at any distance, and so do items of two or more symbols between separators that
 the page holds `ITEM_TIMES` times or more. All occurrences are covered, and three
 links or tags within `ROW` symbols. The work is linear in the page; a page in
-which pairs of symbols recur too seldom for that needs no automaton.
+which pairs of symbols recur too seldom, or too far apart, needs no automaton.
 
 Coverage is combined with missing clause structure, line by line:
 
@@ -234,29 +234,66 @@ def variety(line: str) -> float:
     return sum(shares) / len(shares)
 
 
-def may_cover(s: list) -> list[bool]:
-    """Which symbols can be covered at all: those of pairs that the page has three times, links and tags.
+def _may(s: list) -> tuple[list[bool], list[bool]]:
+    """Which symbols can be covered at all, in lines of sentences and in lines without clauses.
 
-    All that counts holds two symbols or more and recurs, so its pairs do.
+    All that counts holds two symbols or more and recurs, so its pairs do. Of
+    three occurrences or more, `REACH` apart on average, some three in a row lie
+    within 3 `REACH`: of an even number of gaps two neighbours sum to 2 `REACH`
+    at most, of an odd number m to 2 m / (m - 1) of it. Long substrings are runs
+    of pairs that the page has three times, pairs of items it has `ITEM_TIMES`.
     """
+    near = [c == LINK or c == TAG for c in s] if LINK in s or TAG in s else [False] * len(s)
     pairs = list(zip(s, s[1:]))  # noqa: B905
-    often = {x for x, n in Counter(pairs).items() if n >= 3}
-    out = [c == LINK or c == TAG for c in s] if LINK in s or TAG in s else [False] * len(s)
-    if often:
-        for i, x in enumerate(pairs):
-            if x in often:
-                out[i] = out[i + 1] = True
-    return out
+    times = {x: n for x, n in Counter(pairs).items() if n >= 3}
+    if not times:
+        return near, near
+    at = [i for i, x in enumerate(pairs) if x in times]
+    last: dict[tuple, tuple[int, int]] = {}
+    dense = set()
+    for i in at:
+        x = pairs[i]
+        if x not in dense:
+            before, one = last.get(x, (-len(s), -len(s)))
+            if i - before <= 3 * REACH and before >= 0:
+                dense.add(x)
+            last[x] = one, i
+    far = near[:]
+    begin = end = -1
+    for i in at:
+        x = pairs[i]
+        if x in dense:
+            near[i] = near[i + 1] = far[i] = far[i + 1] = True
+        elif times[x] >= ITEM_TIMES:
+            far[i] = far[i + 1] = True
+        if i != end + 1 or begin < 0:
+            begin = i
+        end = i
+        if end - begin == LONG - 2:
+            far[begin : end + 2] = [True] * LONG
+        elif end - begin > LONG - 2:
+            far[i + 1] = True
+    return near, far
+
+
+def may_cover(s: list) -> list[bool]:
+    """Which symbols can be covered in lines of either kind."""
+    return _may(s)[1]
+
+
+def _reaches(n: int, near: int, far: int) -> bool:
+    """Whether a line of n characters is covered enough for either kind."""
+    return n > 0 and (near >= CLAUSE_COVER * n or far >= BARE_COVER * n)
 
 
 def stuffed_share(text: str) -> float:
     """Share of the characters of a page that lie in stuffed lines."""
     s, sizes = symbols(text)
     ends = [0, *accumulate(sizes)]
-    over = [0, *accumulate(map(mul, sizes, may_cover(s)))]
+    may_near, may_far = ([0, *accumulate(map(mul, sizes, x))] for x in _may(s))
     cuts = [-1, *[i for i, c in enumerate(s) if c == "\n"], len(s)]
     # Most pages end here, without an automaton.
-    if not any(ends[b] > ends[a + 1] and over[b] - over[a + 1] >= CLAUSE_COVER * (ends[b] - ends[a + 1]) for a, b in zip(cuts, cuts[1:])):  # noqa: B905
+    if not any(_reaches(ends[b] - ends[a + 1], may_near[b] - may_near[a + 1], may_far[b] - may_far[a + 1]) for a, b in zip(cuts, cuts[1:])):  # noqa: B905
         return 0.0
     near, far = covered(s, text)
     if True not in far:
@@ -270,7 +307,7 @@ def stuffed_share(text: str) -> float:
             lines.append((ends[first], ends[last], over_near[last] - over_near[first], over_far[last] - over_far[first]))
         first = last + 1
     # Where no line reaches a limit, no set of lines does.
-    if not any(a >= CLAUSE_COVER * (end - start) or b >= BARE_COVER * (end - start) for start, end, a, b in lines):
+    if not any(_reaches(end - start, a, b) for start, end, a, b in lines):
         return 0.0
     bare = bare_covered = stuffed = total = 0
     for start, end, in_near, in_far in lines:

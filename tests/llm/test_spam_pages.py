@@ -88,3 +88,16 @@ def test_pages_without_recurring_pairs_need_no_automaton(monkeypatch):
         assert all(m or not (a or b) for m, a, b in zip(may, near, far, strict=True)), text
     monkeypatch.setattr(module, "suffix_automaton", lambda s: 1 / 0)
     assert stuffed_share(PROSE) == 0.0 and stuffed_share("") == 0.0
+
+
+def test_pages_whose_pairs_recur_far_apart_need_no_automaton(monkeypatch):
+    for seed in range(60):
+        rng = random.Random(seed)
+        common = ["".join(rng.choices(HAN, k=rng.choice([2, 3, 30]))) for _ in range(3)]
+        text = "".join(x for _ in range(rng.randint(3, 12)) for x in ("".join(rng.choices(HAN, k=rng.choice([1, 20, 45, 100]))), rng.choice([*common, "，", "\n", common[0] + "，"])))
+        s, _ = symbols(text)
+        may = module._may(s)
+        for have, want in zip(may, covered(s, text), strict=True):
+            assert all(m or not x for m, x in zip(have, want, strict=True)), text
+    monkeypatch.setattr(module, "suffix_automaton", lambda s: 1 / 0)
+    assert stuffed_share("\n".join(["甲乙", *("".join(R.sample(HAN, 119)) + "\n甲乙" for _ in range(3))])) == 0.0
