@@ -494,3 +494,43 @@ def test_texts_are_not_shuffled_by_place(spark):
         assert sorted((r.phrase, r.start) for r in places.collect()) == [("白云", 1), ("白云", 4), ("白云草", 1)]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_mean_metrics_are_over_every_case_and_unit(spark, folder, monkeypatch):
+    from glossmill.plans import common, retrieval
+
+    monkeypatch.setattr(retrieval, "JUDGED", 40, raising=False)
+    got = {r.metric: r.value for r in retrieval.e2_mean_metrics(spark, folder).filter("channel = 'text'").collect()}
+    units = common.knowledge_units(spark, folder).select(F.col("knowledge_unit_id").alias("case_id"), F.concat_ws(" ", "object", "subject").alias("query"), F.array("paragraph_id").alias("relevant"), F.array().cast("array<string>").alias("forbidden"))
+    cases = common.judged(spark, folder, all_cases=True).withColumnRenamed("query_id", "case_id").join(units, "case_id", "left_anti").unionByName(units)
+    asked = cases.select(F.col("case_id").alias("query_id"), "query")
+    found = textindex.text_channel(common.text_index(spark, folder), asked.join(queries.query_terms(asked, common.lexicon(spark, folder)), "query_id"))
+    want = evaluate.mean_metrics(evaluate.ranked_metrics(cases, found.select(F.col("query_id").alias("case_id"), "row_id", "rank")))
+    assert cases.count() > retrieval.JUDGED and got == {r.metric: pytest.approx(r.value, abs=1e-6) for r in want.collect()}
+
+
+def test_passing_tables_are_deleted_and_stored_ones_kept(spark):
+    from pathlib import Path
+
+    from glossmill import session
+
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was = set(session._WRITTEN), spark.conf.get(setting, None)
+    with session.passing(spark):
+        session.written(spark.range(3))
+        kept = session.stored(spark, ("a test of passing",), lambda: session.written(spark.range(3)))
+        paths = [Path(p.removeprefix("file://")) for p in session._WRITTEN if p not in before]
+    assert [p.exists() for p in paths] == [False, True] and kept.count() == 3
+    assert len(set(session._WRITTEN) - before) == 1 and spark.conf.get(setting, None) == was
+
+
+def test_queries_split_among_tasks_find_the_same_rows(spark, monkeypatch):
+    rows = spark.createDataFrame([(f"u{i}", f"p{i % 9}", "sentence", 1.0, "白云草治头痛青木香"[i % 7 :] + "石上泉"[: i % 4]) for i in range(60)], "unit_id string, paragraph_id string, unit_type string, weight double, text_for_embedding string")
+    q = spark.createDataFrame([(f"q{i}", "白云草头痛石上泉"[i % 5 :] * (1 + i % 3)) for i in range(30)], "query_id string, query string")
+    vectors, split, real = vectorsearch.sparse_units(rows), [], inverted.Asked.blocks
+    monkeypatch.setattr(inverted.Asked, "blocks", lambda asked, most: split.append(real(asked, most)) or split[-1])
+    got = []
+    for many in (vectorsearch.MANY, 1):
+        monkeypatch.setattr(vectorsearch, "MANY", many)
+        got.append(sorted((r.query_id, r["rank"], r.unit_id, r.score) for r in vectorsearch.sparse_top(vectors, q, 7).collect()))
+    assert len(split[0]) == 1 < len(split[1]) <= spark.sparkContext.defaultParallelism // 2 and got[0] == got[1] and got[0]
